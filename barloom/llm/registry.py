@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.llm import chat, media
+from barloom.llm import chat, decontaminate, media
 
-MODULES = (media, chat)
+MODULES = (media, chat, decontaminate)
 
 
 def queries() -> dict:
