@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.llm import chat, decontaminate, media
+from barloom.llm import chat, decontaminate, media, neardup
 
-MODULES = (media, chat, decontaminate)
+MODULES = (media, chat, decontaminate, neardup)
 
 
 def queries() -> dict:
