@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.llm import chat, decontaminate, media, neardup
+from barloom.llm import chat, decontaminate, licenses, media, neardup, urlfilter
 
-MODULES = (media, chat, decontaminate, neardup)
+MODULES = (media, chat, decontaminate, licenses, urlfilter, neardup)
 
 
 def queries() -> dict:
