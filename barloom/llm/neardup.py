@@ -24,7 +24,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,31 +79,14 @@ _NODE = "node_key binary, doc_id long, text_hash long, n_shingles long, signatur
 
 
 def _nodes(batches):
-    for batch in batches:
+    for batch in shingles.small_batches(batches):
         texts = batch.column("text")
-        # Small steps keep the working arrays of long texts bounded.
-        for part in _steps(texts):
-            sub = batch.slice(part.start, part.stop - part.start)
-            texts = sub.column("text")
-            sig, counts = signatures(texts)
-            keys = [hashlib.blake2b(t.encode("utf-8") if t else b"", digest_size=16).digest() for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), sub.column("doc_id"), sub.column("text_hash"), pa.array(counts, pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())],
-                names=["node_key", "doc_id", "text_hash", "n_shingles", "signature"],
-            )
-
-
-def _steps(texts: pa.Array, limit: int = 4 << 20):
-    """Ranges of rows whose texts have about `limit` bytes together, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if held and held + n > limit:
-            yield range(start, i)
-            start, held = i, 0
-        held += n + 1
-    if start < len(sizes):
-        yield range(start, len(sizes))
+        sig, counts = signatures(texts)
+        keys = [hashlib.blake2b(t.encode("utf-8") if t else b"", digest_size=16).digest() for t in texts.to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.binary()), batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())],
+            names=["node_key", "doc_id", "text_hash", "n_shingles", "signature"],
+        )
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -230,8 +212,7 @@ def _shingle_sets(batches):
             seen.update((node,) if fresh else ())
             keep.append(fresh)
         kept = batch.filter(pa.array(keep, pa.bool_()))
-        for part in _steps(kept.column("text")):
-            sub = kept.slice(part.start, part.stop - part.start)
+        for sub in shingles.small_batches([kept]):
             hashes, bounds = shingles.shingle_hashes(sub.column("text"))
             sets = [np.unique(hashes[bounds[i] : bounds[i + 1]]).tobytes() for i in range(sub.num_rows)]
             yield pa.RecordBatch.from_arrays([sub.column("node"), sub.column("root"), sub.column("copies"), pa.array(sets, pa.binary())], names=["node", "root", "copies", "shingles"])

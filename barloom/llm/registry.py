@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.llm import chat, decontaminate, licenses, media, neardup, urlfilter
+from barloom.llm import chat, decontaminate, licenses, media, neardup, pieces, pii, urlfilter
 
-MODULES = (media, chat, decontaminate, licenses, urlfilter, neardup)
+MODULES = (media, chat, decontaminate, licenses, urlfilter, neardup, pii, pieces)
 
 
 def queries() -> dict:

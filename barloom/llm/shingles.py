@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SIZE = 5
+#: Bytes of text, about, whose working arrays are held at once.
+STEP_BYTES = 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -54,6 +57,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def small_batches(batches, column: str = "text"):
+    """The rows of Arrow batches in batches of about STEP_BYTES of text, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if held and held + n > STEP_BYTES:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n + 1
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of every word, and the index of each text's first word (one more at the end)."""
     inside = np.zeros(len(data) + 2, dtype=bool)
