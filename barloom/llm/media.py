@@ -12,6 +12,7 @@ null ids each keep their own output row; other input columns are ignored.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import zlib
@@ -29,9 +30,6 @@ MIN_CHUNK, MASK_BITS, MAX_CHUNK = 1024, 12, 16384
 #: Digests that one task remembers so as not to emit a chunk twice; only shuffle volume depends on it.
 REMEMBERED = 50_000
 
-_CODEC = pa.Codec("zstd", compression_level=6)
-
-
 def _gear_table() -> np.ndarray:
     """256 pseudo-random words from a splitmix sequence."""
     with np.errstate(over="ignore"):
@@ -107,7 +105,7 @@ class _Seen:
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("media_id", pa.binary()), ("n_bytes", pa.int64())])
-_PARTS = pa.schema([("media_id", pa.binary()), ("seq", pa.int32()), ("digest", pa.binary())])
+_PARTS = pa.schema([("media_id", pa.binary()), ("seq", pa.int32()), ("n_chunks", pa.int32()), ("digest", pa.binary())])
 _BLOBS = pa.schema([("digest", pa.binary()), ("blob", pa.binary())])
 #: Bytes of blobs in one Arrow batch of output.
 _FLUSH = 4 << 20
@@ -133,15 +131,15 @@ def _chunks(batches, with_blobs: bool):
             media_id = hashlib.sha256(media).digest()
             if not media_seen.add(media_id):
                 continue
-            start = 0
-            for seq, end in enumerate(cut_points(media)):
+            start, cuts = 0, cut_points(media)
+            for seq, end in enumerate(cuts):
                 chunk = media[start:end]
                 start = end
                 digest = hashlib.sha256(chunk).digest()
                 if not with_blobs:
-                    rows.append((media_id, seq, digest))
+                    rows.append((media_id, seq, len(cuts), digest))
                 elif chunk_seen.add(digest):
-                    rows.append((digest, struct.pack("<I", len(chunk)) + _CODEC.compress(chunk, asbytes=True)))
+                    rows.append((digest, bz2.compress(chunk)))
                     held += len(rows[-1][1])
             if held > _FLUSH:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -157,8 +155,8 @@ def media_ids(docs: DataFrame) -> DataFrame:
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
-    """media_id, seq, digest: the ordered chunk list of each distinct medium."""
-    rows = docs.select("text").mapInArrow(lambda it: _chunks(it, False), "media_id binary, seq int, digest binary")
+    """media_id, seq, n_chunks, digest: the ordered chunk list of each distinct medium."""
+    rows = docs.select("text").mapInArrow(lambda it: _chunks(it, False), "media_id binary, seq int, n_chunks int, digest binary")
     return rows.dropDuplicates(["media_id", "seq"])
 
 
@@ -168,11 +166,6 @@ def chunk_store(docs: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.first("blob").alias("blob"))
 
 
-def unpack(blob: bytes) -> bytes:
-    (size,) = struct.unpack_from("<I", blob)
-    return _CODEC.decompress(blob[4:], decompressed_size=size, asbytes=True)
-
-
 def feature_of(payload: bytes) -> str:
     """Integer statistics of the samples: count, sum, energy, crossings of the mid line, 16-bin histogram."""
     x = np.frombuffer(payload, dtype=np.uint8)
@@ -186,8 +179,8 @@ def feature_of(payload: bytes) -> str:
 
 
 _READ = pa.schema([
-    ("media_id", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int32()),
+    ("media_id", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.binary()), ("tail_crc32", pa.int64()),
+    ("media_bytes", pa.int64()), ("feature", pa.string()), ("n_chunks", pa.int32()),
 ])
 
 
@@ -195,13 +188,13 @@ def _rebuild(batches):
     for batch in batches:
         out = []
         for media_id, parts in zip(batch.column("media_id").to_pylist(), batch.column("parts").to_pylist()):
-            media = b"".join(unpack(p["blob"]) for p in sorted(parts, key=lambda p: p["seq"]))
+            media = b"".join(bz2.decompress(p["blob"]) for p in sorted(parts, key=lambda p: p["seq"]))
             if hashlib.sha256(media).digest() != media_id:
                 raise ValueError(f"chunks do not rebuild medium {media_id.hex()}")
             payload = from_media(media)
             out.append((
-                media_id, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
-                len(media), media_id.hex(), feature_of(payload), len(parts),
+                media_id, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-32:]),
+                len(media), feature_of(payload), len(parts),
             ))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _READ)], schema=_READ)
@@ -209,11 +202,13 @@ def _rebuild(batches):
 
 def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
     """Join chunk lists to the store, rebuild and verify each medium, and describe what was read back."""
-    parts = lists.join(store, "digest").groupBy("media_id").agg(F.collect_list(F.struct("seq", "blob")).alias("parts"))
-    return parts.mapInArrow(
+    piece = F.struct("seq", "blob")
+    # A medium of one chunk is whole as soon as the chunk is found; only longer lists are gathered.
+    whole = lists.where("n_chunks = 1").join(store, "digest").select("media_id", F.array(piece).alias("parts"))
+    longer = lists.where("n_chunks > 1").join(store, "digest").groupBy("media_id").agg(F.collect_list(piece).alias("parts"))
+    return whole.unionByName(longer).mapInArrow(
         _rebuild,
-        "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string, n_chunks int",
+        "media_id binary, payload_bytes long, payload_digest binary, tail_crc32 long, media_bytes long, feature string, n_chunks int",
     )
 
 
@@ -221,8 +216,9 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """One row per input row: the digests and features of its medium as read back from the chunks."""
     described = rebuild(chunk_lists(docs), chunk_store(docs))
     return media_ids(docs).join(described, "media_id").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"
-    )
+        "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_digest")).alias("payload_sha256"), "tail_crc32",
+        "media_bytes", F.lower(F.hex("media_id")).alias("media_sha256"), "feature", "n_chunks",
+    )
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
