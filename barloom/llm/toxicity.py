@@ -1,12 +1,12 @@
 """Op 3: toxicity by weak supervision.
 
-Many voters look at a text: single words mined from the labelled rows, a small
-lexicon, and patterns. A generative label model explains the votes of all
+Many voters look at a text: words and beginnings of words mined from the labelled
+rows, a small lexicon, and patterns. A generative label model explains the votes of all
 documents by a hidden label: it has, for each class, a tree of voters (the
 strongest correlations given the class) and each voter's rate given its
 parent's vote, so accuracies and correlations are estimated together, by
-expectation maximisation from the rates on the labelled rows. A linear classifier on word
-presence and votes is then trained on the posterior labels of a bounded sample
+expectation maximisation from the rates on the labelled rows. A linear classifier on votes and
+the presence of words and their beginnings is then trained on the posterior labels of a bounded sample
 of labelled rows, and scores every text.
 
 No label of a held-out row is read; language, source and id are never inputs.
@@ -31,10 +31,14 @@ from barloom.llm.labelled import bounded_sample, labelled_texts, training_labels
 
 #: Labelled rows that the linear classifier is fitted on, at most.
 TRAIN_ROWS = 20_000
-#: Mined word voters, at most; a word votes if it is in so many toxic families and so large a share of its families is toxic.
-MINED, MIN_FAMILIES, MIN_SHARE = 20, 5, 0.7
-#: Words of the classifier, those in most sampled texts, each in so many at least.
-VOCABULARY, MIN_TEXTS = 4096, 8
+#: Mined voters, at most; each is in so many toxic families, in so large a share of them, and so large a share of its families is toxic.
+MINED, MIN_FAMILIES, MIN_REACH, MIN_SHARE = 40, 5, 0.02, 0.7
+#: Mined candidates that the driver looks through.
+CANDIDATES = 2000
+#: Bytes of the beginnings of words that are features beside whole words.
+BEGINNINGS = (4, 5, 6)
+#: Features of the classifier, those in most sampled texts, each in so many at least.
+VOCABULARY, MIN_TEXTS = 8192, 8
 ROUNDS = 8
 THRESHOLD = 0.5
 
@@ -54,17 +58,26 @@ def _hash_words(words) -> np.ndarray:
     return shingles.word_hashes(data, starts, stops)
 
 
-def _texts_of_words(batch):
-    """Sorted unique (text, word hash) pairs of a batch, as two arrays."""
+def _features(batch):
+    """For every word of a batch and each of its features: text, feature hash, kind (the longer the later) and its first beginning's hash."""
     data, offsets = shingles.text_bytes(batch.column("text"))
     starts, stops, first = shingles.words(data, offsets)
-    hashes = shingles.word_hashes(data, starts, stops)
-    return np.repeat(np.arange(batch.num_rows), np.diff(first)), hashes
-
-
-def _presence(batch, vocabulary: np.ndarray):
+    rows = np.repeat(np.arange(batch.num_rows), np.diff(first))
+    whole = shingles.word_hashes(data, starts, stops)
+    stem = shingles.word_hashes(data, starts, np.minimum(stops, starts + BEGINNINGS[0]))
+    parts = [(rows, stem, stem)]
+    for length in BEGINNINGS[1:]:
+        longer = stops - starts >= length
+        parts.append((rows[longer], shingles.word_hashes(data, starts[longer], starts[longer] + length), stem[longer]))
+    parts.append((rows, whole, stem))
+    kinds = np.repeat(np.arange(len(parts), dtype=np.uint64), [len(p[0]) for p in parts])
+    rows, hashes, stems = (np.concatenate(c) for c in zip(*parts))
+    with np.errstate(over="ignore"):
+        return rows, shingles.mix(hashes + kinds * np.uint64(0x9E3779B97F4A7C15)), kinds, stems
+
+
+def _lookup(rows: np.ndarray, hashes: np.ndarray, vocabulary: np.ndarray):
     """Unique (text, position in the sorted vocabulary) pairs."""
-    rows, hashes = _texts_of_words(batch)
     if not len(vocabulary) or not len(hashes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.searchsorted(vocabulary, hashes)
@@ -75,18 +88,19 @@ def _presence(batch, vocabulary: np.ndarray):
 
 
 class Voters:
-    """The mined words (sorted hashes), the lexicon and the patterns; a vote is whether the voter fires."""
+    """The mined features (sorted hashes), the lexicon and the patterns; a vote is whether the voter fires."""
 
     def __init__(self, mined: np.ndarray):
         self.mined = np.sort(mined)
-        self.lexicon = np.sort(_hash_words(LEXICON))
+        with np.errstate(over="ignore"):
+            self.lexicon = np.sort(shingles.mix(_hash_words(LEXICON) + np.uint64(len(BEGINNINGS)) * np.uint64(0x9E3779B97F4A7C15)))
         self.size = len(self.mined) + 1 + len(_PATTERNS)
 
-    def votes(self, batch) -> np.ndarray:
+    def votes(self, batch, features=None) -> np.ndarray:
+        rows, hashes = (features or _features(batch))[:2]
         out = np.zeros((batch.num_rows, self.size), bool)
-        rows, cols = _presence(batch, self.mined)
-        out[rows, cols] = True
-        out[_presence(batch, self.lexicon)[0], len(self.mined)] = True
+        out[_lookup(rows, hashes, self.mined)] = True
+        out[_lookup(rows, hashes, self.lexicon)[0], len(self.mined)] = True
         for i, text in enumerate(batch.column("text").to_pylist()):
             for k, (_, pattern) in enumerate(_PATTERNS):
                 if text and pattern.search(text):
@@ -95,23 +109,36 @@ class Voters:
 
 
 def mine_words(rows: DataFrame) -> np.ndarray:
-    """Hashes of the words whose presence speaks most clearly for label 1, over all labelled rows."""
+    """Hashes of words and beginnings whose presence speaks for label 1, over all labelled rows; of nested ones the shortest that does."""
 
     def count(batches):
         for batch in shingles.small_batches(batches):
-            which, hashes = _texts_of_words(batch)
+            which, hashes, kinds, stems = _features(batch)
+            if not len(hashes):
+                continue
             target = np.array(batch.column("target").to_pylist(), np.int64)
-            pairs = np.unique(np.stack([hashes, which.astype(np.uint64)]), axis=1) if len(hashes) else np.zeros((2, 0), np.uint64)
-            words, start = np.unique(pairs[0], return_index=True)
-            if len(words):
-                toxic = np.add.reduceat(target[pairs[1].astype(np.int64)], start)
-                texts = np.diff(np.append(start, pairs.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(toxic), pa.array(texts)], names=["word", "toxic", "texts"])
-
-    counts = rows.mapInArrow(count, "word long, toxic long, texts long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
-    clear = counts.where((F.col("toxic") >= MIN_FAMILIES) & (F.col("toxic") >= MIN_SHARE * F.col("texts")))
-    found = clear.orderBy(F.desc("toxic"), "texts", "word").limit(MINED).collect()
-    return np.array([r["word"] for r in found], np.int64).view(np.uint64)
+            order = np.lexsort((which, hashes))
+            h, w = hashes[order], which[order]
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+            h, w, order = h[fresh], w[fresh], order[fresh]
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (h[start].view(np.int64), kinds[order][start].astype(np.int32), stems[order][start].view(np.int64), np.add.reduceat(target[w], start), np.diff(np.append(start, len(h))))],
+                names=["feature", "kind", "stem", "toxic", "texts"],
+            )
+
+    toxic_rows = rows.agg(F.sum("target")).first()[0] or 0
+    counts = rows.mapInArrow(count, "feature long, kind int, stem long, toxic long, texts long").groupBy("feature", "kind", "stem")
+    counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
+    enough = max(MIN_FAMILIES, MIN_REACH * toxic_rows)
+    clear = counts.where((F.col("toxic") >= enough) & (F.col("toxic") >= MIN_SHARE * F.col("texts")))
+    found = clear.orderBy(F.desc("toxic"), "texts", "kind", "feature").limit(CANDIDATES).collect()
+    shortest: dict[int, int] = {}
+    for r in found:
+        shortest[r["stem"]] = min(r["kind"], shortest.get(r["stem"], r["kind"]))
+    chosen = [r["feature"] for r in found if r["kind"] == shortest[r["stem"]]][:MINED]
+    return np.array(chosen, np.int64).view(np.uint64)
 
 
 class LabelModel:
@@ -253,8 +280,9 @@ class Scorer:
         self.voters, self.vocabulary, self.weights, self.bias = voters, vocabulary, weights, bias
 
     def scores(self, batch) -> np.ndarray:
-        z = self.voters.votes(batch) @ self.weights[: self.voters.size] + self.bias
-        rows, cols = _presence(batch, self.vocabulary)
+        features = _features(batch)
+        z = self.voters.votes(batch, features) @ self.weights[: self.voters.size] + self.bias
+        rows, cols = _lookup(*features[:2], self.vocabulary)
         z += np.bincount(rows, weights=self.weights[self.voters.size :][cols], minlength=batch.num_rows)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -267,10 +295,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
 
     def featurise(batches):
         for batch in shingles.small_batches(batches):
-            which, hashes = _texts_of_words(batch)
-            votes = voters.votes(batch)
-            bounds = np.searchsorted(which, np.arange(batch.num_rows + 1))
-            sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])]
+            features = which, hashes, *_ = _features(batch)
+            votes = voters.votes(batch, features)
+            order = np.argsort(which, kind="stable")
+            bounds = np.searchsorted(which[order], np.arange(batch.num_rows + 1))
+            sets = [np.unique(hashes[order[a:b]]).tobytes() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(votes.tolist(), pa.list_(pa.bool_()))], names=["words", "votes"])
 
     sample = labelled_texts(docs, bounded_sample(chosen, train_rows)).mapInArrow(featurise, "words binary, votes array<boolean>").toPandas()
