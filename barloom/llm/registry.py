@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.llm import chat, decontaminate, licenses, media, neardup, pieces, pii, toxicity, urlfilter
+from barloom.llm import chat, decontaminate, licenses, media, neardup, pieces, pii, quality, toxicity, urlfilter
 
-MODULES = (media, chat, decontaminate, licenses, urlfilter, neardup, pii, pieces, toxicity)
+MODULES = (media, chat, decontaminate, licenses, urlfilter, neardup, pii, pieces, toxicity, quality)
 
 
 def queries() -> dict:
