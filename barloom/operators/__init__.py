@@ -1 +1 @@
-
+"""Relational operators on records, bars, days and partitions."""

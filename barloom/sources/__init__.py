@@ -1 +1 @@
-
+"""Readers of listings and of record files."""

@@ -1,0 +1,69 @@
+"""Record files as rows: one 64-byte record a row, its words unpacked."""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.functions.binary import le_word
+from barloom.schema import HEADER_HEX, RECORD_BYTES
+
+#: Words that bars, checks or audits need.
+WORDS = (0, 1, 2, 3, 4, 6, 8, 9, 13, 14)
+RECORDS = "path string, sha256 string, length long, failure string, rec int, raw binary, " + ", ".join(f"w{k} long" for k in WORDS)
+#: Records of one Arrow batch of output.
+BATCH = 100_000
+
+
+def file_failure(length, head) -> "F.Column":
+    """First structural reason to refuse a file, from its length and first eight bytes, else null."""
+    return (
+        F.when((length < 8) | (head != F.unhex(F.lit(HEADER_HEX))), "unknown-header").when(length == 8, "empty-dat")
+        .when((length - 8) % RECORD_BYTES != 0, "invalid-record-length")
+    )
+
+
+def _unpack(batches):
+    names = ["path", "sha256", "length", "failure", "rec", "raw", *(f"w{k}" for k in WORDS)]
+    for batch in batches:
+        for path, content, failure in zip(*(batch.column(c) for c in ("path", "content", "failure"))):
+            path, failure = path.as_py(), failure.as_py()
+            data = content.as_buffer()
+            digest, size = hashlib.sha256(data).hexdigest(), data.size
+            if failure:
+                row = [[path], [digest], [size], [failure], [None], [None], *([None] for _ in WORDS)]
+                types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.binary(), *(pa.int64() for _ in WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=names)
+                continue
+            words = np.frombuffer(data, "<u4", offset=8).reshape(-1, RECORD_BYTES // 4)
+            for start in range(0, len(words), BATCH):
+                part = words[start : start + BATCH]
+                n = len(part)
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(RECORD_BYTES), n, [None, pa.py_buffer(np.ascontiguousarray(part).tobytes())])
+                columns = [
+                    pa.array([path] * n), pa.array([digest] * n), pa.array(np.full(n, size)), pa.nulls(n, pa.string()),
+                    pa.array(np.arange(start, start + n, dtype=np.int32)), raw.cast(pa.binary()),
+                    *(pa.array(part[:, k].astype(np.int64)) for k in WORDS),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All records of the files; a refused file is one row with its failure and no record."""
+    files = spark.read.format("binaryFile").load([f"file://{p}" if p.startswith("/") else p for p in paths])
+    files = files.select(
+        F.regexp_replace("path", "^file:/*", "/").alias("path"), "content",
+        file_failure(F.length("content"), F.substring("content", 1, 8)).alias("failure"),
+    )
+    return files.mapInArrow(_unpack, RECORDS)
+
+
+def read_records_sql(files: DataFrame) -> DataFrame:
+    """path, rec, w0..: the same unpacking in Spark expressions, for rows of (path, content) of sound files."""
+    recs = files.select("path", "content", F.explode(F.sequence(F.lit(0), ((F.length("content") - 8) / RECORD_BYTES).cast("int") - 1)).alias("rec"))
+    block = recs.select("path", "rec", F.expr(f"substring(content, 9 + {RECORD_BYTES} * rec, {RECORD_BYTES})").alias("raw"))
+    return block.select("path", "rec", "raw", *[le_word(F.col("raw"), k).alias(f"w{k}") for k in WORDS])
