@@ -33,12 +33,10 @@ from barloom.llm.labelled import bounded_sample, labelled_texts, training_labels
 TRAIN_ROWS = 20_000
 #: Mined voters, at most; each is in so many toxic families, in so large a share of them, and so large a share of its families is toxic.
 MINED, MIN_FAMILIES, MIN_REACH, MIN_SHARE = 40, 5, 0.02, 0.7
-#: Mined candidates that the driver looks through.
-CANDIDATES = 2000
 #: Bytes of the beginnings of words that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
-#: Features of the classifier, those in most sampled texts, each in so many at least.
-VOCABULARY, MIN_TEXTS = 8192, 8
+#: Features of the classifier, at most: those in most toxic families.
+VOCABULARY = 8192
 ROUNDS = 8
 THRESHOLD = 0.5
 
@@ -108,36 +106,50 @@ class Voters:
         return out
 
 
-def mine_words(rows: DataFrame) -> np.ndarray:
-    """Hashes of words and beginnings whose presence speaks for label 1, over all labelled rows; of nested ones the shortest that does."""
+def common_features(rows: DataFrame) -> list:
+    """Rows (feature, kind, stem, toxic) of the features in most toxic families, VOCABULARY at most.
+
+    Each is in MIN_REACH of these families at least, so there are no more than the
+    features of an average text divided by that share.
+    """
 
     def count(batches):
         for batch in shingles.small_batches(batches):
             which, hashes, kinds, stems = _features(batch)
             if not len(hashes):
                 continue
-            target = np.array(batch.column("target").to_pylist(), np.int64)
             order = np.lexsort((which, hashes))
             h, w = hashes[order], which[order]
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-            h, w, order = h[fresh], w[fresh], order[fresh]
+            fresh = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]))
+            h, order = h[fresh], order[fresh]
             start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in (h[start].view(np.int64), kinds[order][start].astype(np.int32), stems[order][start].view(np.int64), np.add.reduceat(target[w], start), np.diff(np.append(start, len(h))))],
-                names=["feature", "kind", "stem", "toxic", "texts"],
-            )
-
-    toxic_rows = rows.agg(F.sum("target")).first()[0] or 0
-    counts = rows.mapInArrow(count, "feature long, kind int, stem long, toxic long, texts long").groupBy("feature", "kind", "stem")
-    counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
-    enough = max(MIN_FAMILIES, MIN_REACH * toxic_rows)
-    clear = counts.where((F.col("toxic") >= enough) & (F.col("toxic") >= MIN_SHARE * F.col("texts")))
-    found = clear.orderBy(F.desc("toxic"), "texts", "kind", "feature").limit(CANDIDATES).collect()
+            columns = (h[start].view(np.int64), kinds[order][start].astype(np.int32), stems[order][start].view(np.int64), np.diff(np.append(start, len(h))))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature", "kind", "stem", "toxic"])
+
+    toxic = rows.where("target = 1")
+    enough = max(MIN_FAMILIES, MIN_REACH * toxic.count())
+    counts = toxic.mapInArrow(count, "feature long, kind int, stem long, toxic long").groupBy("feature", "kind", "stem").agg(F.sum("toxic").alias("toxic"))
+    return counts.where(F.col("toxic") >= enough).orderBy(F.desc("toxic"), "kind", "feature").limit(VOCABULARY).collect()
+
+
+def mine_words(rows: DataFrame, common: list) -> np.ndarray:
+    """Hashes of the features whose presence speaks for label 1, by their counts in all labelled rows; of nested ones the shortest that does."""
+    vocabulary = np.sort(np.array([r["feature"] for r in common], np.int64).view(np.uint64))
+
+    def count(batches):
+        total = np.zeros(len(vocabulary), np.int64)
+        for batch in shingles.small_batches(batches):
+            total += np.bincount(_lookup(*_features(batch)[:2], vocabulary)[1], minlength=len(vocabulary))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(vocabulary[some].view(np.int64)), pa.array(total[some])], names=["feature", "texts"])
+
+    counted = rows.mapInArrow(count, "feature long, texts long").groupBy("feature").agg(F.sum("texts").alias("texts")).collect()
+    texts = {r["feature"]: r["texts"] for r in counted}
+    clear = [r for r in common if r["toxic"] >= MIN_SHARE * texts[r["feature"]]]
     shortest: dict[int, int] = {}
-    for r in found:
+    for r in clear:
         shortest[r["stem"]] = min(r["kind"], shortest.get(r["stem"], r["kind"]))
-    chosen = [r["feature"] for r in found if r["kind"] == shortest[r["stem"]]][:MINED]
+    chosen = [r["feature"] for r in clear if r["kind"] == shortest[r["stem"]]][:MINED]
     return np.array(chosen, np.int64).view(np.uint64)
 
 
@@ -290,35 +302,26 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
     chosen = training_labels(docs, labels, "toxic")
     rows = labelled_texts(docs, chosen)
-    voters = Voters(mine_words(rows))
+    common = common_features(rows)
+    voters = Voters(mine_words(rows, common))
     model = fit_label_model(docs, rows, voters)
+    vocabulary = np.sort(np.array([r["feature"] for r in common], np.int64).view(np.uint64))
 
     def featurise(batches):
         for batch in shingles.small_batches(batches):
-            features = which, hashes, *_ = _features(batch)
+            features = _features(batch)
             votes = voters.votes(batch, features)
-            order = np.argsort(which, kind="stable")
-            bounds = np.searchsorted(which[order], np.arange(batch.num_rows + 1))
-            sets = [np.unique(hashes[order[a:b]]).tobytes() for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(votes.tolist(), pa.list_(pa.bool_()))], names=["words", "votes"])
-
-    sample = labelled_texts(docs, bounded_sample(chosen, train_rows)).mapInArrow(featurise, "words binary, votes array<boolean>").toPandas()
-    votes = np.array(sample["votes"].tolist(), bool).reshape(len(sample), voters.size)
-    sets = [np.frombuffer(w, np.uint64) for w in sample["words"]]
-    every = np.concatenate([np.zeros(0, np.uint64), *sets])
-    words, texts = np.unique(every, return_counts=True)
-    usual = words[texts >= MIN_TEXTS]
-    vocabulary = np.sort(usual[np.argsort(-texts[texts >= MIN_TEXTS], kind="stable")[:VOCABULARY]])
-    indptr, indices = [0], []
-    for fired, own in zip(votes, sets):
-        at = np.searchsorted(vocabulary, own)
-        at[at == len(vocabulary)] = 0
-        known = at[vocabulary[at] == own] if len(vocabulary) else at[:0]
-        indices.append(np.concatenate([np.flatnonzero(fired), voters.size + known]))
-        indptr.append(indptr[-1] + len(indices[-1]))
-    target = model.posterior(votes) if len(votes) else np.zeros(0)
-    flat = np.concatenate([np.zeros(0, np.int64), *indices]).astype(np.int64)
-    weights, bias = fit_logistic(np.array(indptr), flat, voters.size + len(vocabulary), target)
+            row, col = _lookup(*features[:2], vocabulary)
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            known = [(col[a:b] + voters.size).astype(np.int32) for a, b in zip(bounds, bounds[1:])]
+            own = [np.concatenate([np.flatnonzero(v).astype(np.int32), k]).tobytes() for v, k in zip(votes, known)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(model.posterior(votes))], names=["columns", "posterior"])
+
+    sample = labelled_texts(docs, bounded_sample(chosen, train_rows)).mapInArrow(featurise, "columns binary, posterior double").toPandas()
+    sets = [np.frombuffer(c, np.int32) for c in sample["columns"]]
+    indptr = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+    indices = np.concatenate([np.zeros(0, np.int32), *sets])
+    weights, bias = fit_logistic(indptr, indices, voters.size + len(vocabulary), sample["posterior"].to_numpy(float))
     return Scorer(voters, vocabulary, weights, bias)
 
 
