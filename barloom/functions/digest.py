@@ -34,7 +34,7 @@ def digest_of_rows(rows: Column) -> Column:
     """SHA-256 over the tag, the row count and each column of sorted bar structs."""
     parts = [F.hex(F.lit(DIGEST_TAG + "\0")), le_hex_long(F.size(rows).cast("long"))]
     for name, kind in BAR_FIELDS:
-        column = F.transform(rows, lambda r, n=name: r[n])
+        column = rows.getField(name)
         if kind.typeName() == "string":
             parts += [_offsets(column), F.hex(F.array_join(column, ""))]
         else:

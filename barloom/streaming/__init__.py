@@ -1 +1 @@
-
+"""Live observation of a run."""
