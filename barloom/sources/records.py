@@ -55,11 +55,12 @@ def _unpack(batches):
 def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All records of the files; a refused file is one row with its failure and no record."""
     files = spark.read.format("binaryFile").load([f"file://{p}" if p.startswith("/") else p for p in paths])
-    files = files.select(
-        F.regexp_replace("path", "^file:/*", "/").alias("path"), "content",
-        file_failure(F.length("content"), F.substring("content", 1, 8)).alias("failure"),
-    )
-    return files.mapInArrow(_unpack, RECORDS)
+    path = F.regexp_replace("path", "^file:/*", "/").alias("path")
+    judged = files.select(path, "content", file_failure(F.length("content"), F.substring("content", 1, 8)).alias("failure"))
+    # The reader has no row for a file without a byte.
+    empty = spark.createDataFrame([(p,) for p in paths], "path string").join(files.select(path), "path", "left_anti")
+    empty = empty.select("path", F.unhex(F.lit("")).alias("content"), F.lit("unknown-header").alias("failure"))
+    return judged.unionByName(empty).mapInArrow(_unpack, RECORDS)
 
 
 def read_records_sql(files: DataFrame) -> DataFrame:
