@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.errors import BarError
 from barloom.schema import BAR_FIELDS
+from barloom.sources.local import local_frame
 
 _KINDS = {name: kind.typeName() for name, kind in BAR_FIELDS}
 EXPECTED = "item long, code string, period string, timestamp long, field string, text string, whole long, number double"
@@ -63,7 +64,7 @@ def expected_fields(spark: SparkSession, payload: dict) -> DataFrame:
             whole = value if kind == "long" and abs(value) < 2**63 else None
             number = float(value) if kind == "double" else None
             rows.append((i, item["code"], item["period"], item["timestamp"], name, value if kind == "string" else None, whole, number))
-    return spark.createDataFrame(rows, EXPECTED)
+    return local_frame(spark, rows, EXPECTED)
 
 
 def match_evidence(expected: DataFrame, bars: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ from barloom.sources.listing import scan_sources, stat_signature
 from barloom.sources.records import read_records
 from barloom.state import State, output_lock, own_output, safe_path, write_json
 from barloom.streaming.progress import Issues, Progress
+from barloom.sources.local import local_frame
 
 COUNTERS = (
     "source_files", "new_days", "revised_days", "reused_days", "written_partitions", "stat_reused_files", "scope_reused_files",
@@ -71,7 +72,7 @@ class Run:
             self.codes.setdefault(r["partition"], set()).update(r["codes"])
 
     def frame(self, names, schema: str = "source string") -> DataFrame:
-        return self.spark.createDataFrame([(n,) for n in names], schema)
+        return local_frame(self.spark, [(n,) for n in names], schema)
 
     # -- check ---------------------------------------------------------------
 
@@ -158,7 +159,7 @@ class Run:
                 continue
             self.progress.emit("source_complete", index=index, total=total, code=s["code"], period=s["period"])
         self.candidates: dict[str, dict] = {}
-        self.pending = self.spark.createDataFrame([], DAYS_SCHEMA)
+        self.pending = local_frame(self.spark, [], DAYS_SCHEMA)
         if changed:
             self._read_changed(changed)
         at = {name: i for i, name in enumerate(self.sources, 1)}
@@ -194,7 +195,7 @@ class Run:
         if not receipts:
             return {}
         asked = self.frame(same).withColumns({"start": F.lit(start), "end": F.lit(end)})
-        held = self.spark.createDataFrame([(r["source"], r["start"], r["end"]) for r in receipts], "source string, start string, end string")
+        held = local_frame(self.spark, [(r["source"], r["start"], r["end"]) for r in receipts], "source string, start string, end string")
         cover = changes.covering(asked, held).select("source", "receipt_start", "receipt_end")
         inside = F.col("day").between(start, end)
         columns = ("raw_hash", "digest", "rows", "partition", "rule_version", "good")
@@ -248,7 +249,7 @@ class Run:
         stage.mkdir(parents=True, exist_ok=True)
         if steady:
             info = [(self.sources[n]["path"], n, *(self.sources[n][k] for k in ("code", "market", "period", "kind"))) for n in steady]
-            info = spark.createDataFrame(info, "path string, source string, code string, market string, period string, kind string")
+            info = local_frame(spark, info, "path string, source string, code string, market string, period string, kind string")
             read_records(spark, [self.sources[n]["path"] for n in steady]).join(F.broadcast(info), "path").write.parquet(f"file://{stage}/records")
             self._judge(steady, decode.with_days(spark.read.parquet(f"file://{stage}/records")), stage)
         if self.failed:
@@ -263,7 +264,7 @@ class Run:
         stamps = {}
         if details:
             shown = [(k[0], x["record"]) for k, r in details.items() for x in r["rows"]]
-            wanted = self.spark.createDataFrame(shown, "path string, rec int")
+            wanted = local_frame(self.spark, shown, "path string, rec int")
             clock = F.date_format("clock", "yyyy-MM-dd HH:mm:ss").alias("clock")
             stamps = {(r["path"], r["rec"]): r["clock"] for r in priced.join(F.broadcast(wanted), ["path", "rec"]).select("path", "rec", clock).collect()}
         self.bad_days: dict[str, list[str]] = {}
@@ -338,11 +339,11 @@ class Run:
 
     def _block_failed(self) -> None:
         rows = [(n, *(self.sources[n][k] for k in ("code", "market", "period", "kind"))) for n in self.failed]
-        failed = self.spark.createDataFrame(rows, "source string, code string, market string, period string, kind string")
+        failed = local_frame(self.spark, rows, "source string, code string, market string, period string, kind string")
         self.block(blocking.blocked_by_source(self.days, failed))
         bad = [(n, d) for n, days in getattr(self, "bad_days", {}).items() for d in days]
         if bad:
-            days = self.spark.createDataFrame(bad, "source string, day string").join(failed, "source")
+            days = local_frame(self.spark, bad, "source string, day string").join(failed, "source")
             days = days.withColumn("partition", scope.partition_of(F.col("kind"), F.col("period"), F.col("day"), F.col("market")))
             self.block(blocking.blocked_by_day(days))
         for r in blocking.groups_without_history(failed, self.days).collect():
@@ -553,7 +554,7 @@ class Run:
         meta["receipts"] = [r for r in meta["receipts"] if not stale(r)]
         receipt_days = self.state.receipt_days
         keys = [(r["source"], r["start"], r["end"]) for r in meta["receipts"]]
-        kept = self.spark.createDataFrame(keys, "source string, start string, end string")
+        kept = local_frame(self.spark, keys, "source string, start string, end string")
         receipt_days = receipt_days.join(kept, ["source", "start", "end"], "left_semi").select(*receipt_days.columns)
         if self.request.bounded and granted:
             for name in granted:

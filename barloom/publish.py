@@ -15,6 +15,7 @@ from barloom.errors import BarError
 from barloom.schema import BAR_COLUMNS, PARTITION_COLUMNS, STORED_SCHEMA
 from barloom.sources.listing import check_readable, stat_signature
 from barloom.state import State, safe_path, sync_folder, write_json
+from barloom.sources.local import local_frame
 
 
 def data_files(folder: Path) -> list[Path]:
@@ -45,7 +46,7 @@ def folder_hashes(spark: SparkSession, folders: dict[str, Path]) -> dict[str, st
 def read_partitions(spark: SparkSession, root: Path, partitions: list[str]) -> DataFrame:
     """Bars of partition folders with their partition columns; schema and nulls are checked by check_stored."""
     if not partitions:
-        return spark.createDataFrame([], STORED_SCHEMA)
+        return local_frame(spark, [], STORED_SCHEMA)
     return spark.read.schema(STORED_SCHEMA).option("basePath", f"file://{root}/data").parquet(*[f"file://{root}/{p}" for p in partitions])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.binary import le_word
 from barloom.schema import HEADER_HEX, RECORD_BYTES
+from barloom.sources.local import local_frame
 
 #: Words that bars, checks or audits need.
 WORDS = (0, 1, 2, 3, 4, 6, 8, 9, 13, 14)
@@ -58,7 +59,7 @@ def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     path = F.regexp_replace("path", "^file:/*", "/").alias("path")
     judged = files.select(path, "content", file_failure(F.length("content"), F.substring("content", 1, 8)).alias("failure"))
     # The reader has no row for a file without a byte.
-    empty = spark.createDataFrame([(p,) for p in paths], "path string").join(files.select(path), "path", "left_anti")
+    empty = local_frame(spark, [(p,) for p in paths], "path string").join(files.select(path), "path", "left_anti")
     empty = empty.select("path", F.unhex(F.lit("")).alias("content"), F.lit("unknown-header").alias("failure"))
     return judged.unionByName(empty).mapInArrow(_unpack, RECORDS)
 

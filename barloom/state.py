@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.config import Request
 from barloom.errors import BarError
 from barloom.schema import DAYS_SCHEMA, PROFILE, RECEIPT_DAYS_SCHEMA, RULE_VERSION
+from barloom.sources.local import local_frame
 
 MARKER, LOCK = ".barloom.json", ".barloom.lock"
 FOLDERS = ("reports", ".state", ".staging", ".journal", "data")
@@ -114,7 +115,7 @@ class State:
     def _table(self, name: str, schema: str) -> DataFrame:
         if self.version:
             return self.spark.read.schema(schema).parquet(f"file://{self._folder}/{name}.parquet")
-        return self.spark.createDataFrame([], schema)
+        return local_frame(self.spark, [], schema)
 
     @property
     def days(self) -> DataFrame:
@@ -134,7 +135,7 @@ class State:
             if new is None and old:
                 shutil.copytree(old / f"{name}.parquet", folder / f"{name}.parquet")
             else:
-                (new if new is not None else self.spark.createDataFrame([], schema)).write.parquet(f"file://{folder}/{name}.parquet")
+                (new if new is not None else local_frame(self.spark, [], schema)).write.parquet(f"file://{folder}/{name}.parquet")
         write_json(folder / "meta.json", self.meta)
         write_text(safe_path(self.root, ".state/CURRENT"), str(self.version + 1))
         self.version += 1
