@@ -328,7 +328,7 @@ def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFra
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """Per distinct text: node_key, class_id (least doc_id of its class), n_links (documents with a similar text), n_texts (other similar texts)."""
+    """Per distinct text: node_key, root (the class), class_id (its least doc_id), n_links (documents with a similar text), n_texts (other similar texts)."""
     nodes = cut_lineage(distinct_texts(docs))
     groups = cut_lineage(components(candidate_ties(nodes)))
     links = cut_lineage(exact_links(docs, nodes, groups))
@@ -337,7 +337,7 @@ def classify(docs: DataFrame) -> DataFrame:
     joined = nodes.drop("signature", "text_hash").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = joined.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     return joined.join(names, "root").select(
-        "node_key", "class_id", "class_size",
+        "node_key", "root", "class_id", "class_size",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_texts"),
     )
@@ -346,30 +346,37 @@ def classify(docs: DataFrame) -> DataFrame:
 def _keys(batches):
     for batch in batches:
         keys = [hashlib.blake2b(t.encode("utf-8") if t else b"", digest_size=16).digest() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary())], names=["doc_id", "node_key"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.binary())], names=["doc_id", "text_hash", "node_key"])
+
+
+def _classes_of_rows(docs: DataFrame) -> DataFrame:
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash).mapInArrow(_keys, "doc_id long, text_hash long, node_key binary")
+    return keyed.join(classify(docs), "node_key")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, n_links, n_texts."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = src.mapInArrow(_keys, "doc_id long, node_key binary")
-    return keyed.join(classify(docs), "node_key").select("doc_id", "class_id", "class_size", "n_links", "n_texts")
+    return _classes_of_rows(docs).select("doc_id", "class_id", "class_size", "n_links", "n_texts")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Input rows that name their class, all columns kept: one document of each group of similar ones.
+    """One row of each group of similar documents, all columns kept: that of the least doc_id.
 
-    Of rows that share the naming id (repeated rows) one stays, the one with the
-    least text; if no row of a class has an id, all its rows stay.
+    Where several rows have it (repeated rows), the one with the least text stays;
+    a class of rows without ids keeps them all.
     """
-    classes = similar_documents(docs)
-    going = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    named = docs.join(going, docs["doc_id"] == F.col("_gone"), "left_anti")
-    repeated = classes.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    doubled = named.join(repeated, named["doc_id"] == F.col("_twice"), "left")
-    single = doubled.where(F.col("_twice").isNull()).select(*[doubled[c] for c in docs.columns])
-    packed = doubled.where(F.col("_twice").isNotNull()).select(F.struct("text", F.struct(*[doubled[c] for c in docs.columns]).alias("row")).alias("_r"), "_twice")
-    one = packed.groupBy("_twice").agg(F.min("_r").alias("_r")).select("_r.row.*")
+    rows = cut_lineage(_classes_of_rows(docs).select("doc_id", "text_hash", "root", "class_id"))
+    names_class = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    going = rows.where(~names_class).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    crowded = rows.where(names_class & F.col("doc_id").isNotNull()).groupBy("root").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    crowded = rows.where(names_class).join(crowded, "root").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("root").alias("_root")).distinct()
+    own = F.col("doc_id").cast("long")
+    same = own.eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_hash"))
+    packed = docs.join(going, same, "left_anti").select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    marked = packed.join(crowded, same, "left")
+    single = marked.where("_root IS NULL").select("_row.*")
+    one = marked.where("_root IS NOT NULL").groupBy("_root").agg(F.min_by("_row", F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
     return single.unionByName(one)
 
 
