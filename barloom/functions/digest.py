@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.errors import BarError
-from barloom.functions.binary import le_hex_double, le_hex_int, le_hex_long
+from barloom.functions.binary import double_bits, le_hex_int, le_hex_joined, le_hex_long
 from barloom.schema import BAR_COLUMNS, BAR_FIELDS, DIGEST_TAG
 
 
@@ -15,12 +15,11 @@ def _sorted_rows() -> Column:
     return F.array_sort(F.collect_list(F.struct(*order)))
 
 
-def _offsets(texts: Column) -> Column:
+def _offsets(texts: Column, width: Column) -> Column:
     """Cumulative byte offsets of a string column as hex. Equal widths, the usual case, need no running state."""
-    width = F.octet_length(F.get(texts, F.lit(0)))
     n = F.size(texts)
     even = F.forall(texts, lambda t: F.octet_length(t) == width)
-    fast = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: le_hex_int(i * width)), "")
+    fast = le_hex_joined(F.transform(F.sequence(F.lit(0), n), lambda i: i * width), 4)
     start = F.struct(F.lit(0).alias("at"), le_hex_int(F.lit(0)).alias("out"))
     slow = F.aggregate(
         texts, start,
@@ -30,17 +29,22 @@ def _offsets(texts: Column) -> Column:
     return F.when(even, fast).otherwise(slow)
 
 
-def digest_of_rows(rows: Column) -> Column:
-    """SHA-256 over the tag, the row count and each column of sorted bar structs."""
+_TEXTS = tuple(name for name, kind in BAR_FIELDS if kind.typeName() == "string")
+
+
+def digest_of_rows(groups: DataFrame, *keep: str) -> DataFrame:
+    """keep, digest, rows: SHA-256 over the tag, the row count and each column of the sorted bar structs in `_rows`."""
+    # Widths are columns of their own, else every step of a lambda would take the whole array apart again.
+    sized = groups.select(*keep, "_rows", *[F.octet_length(F.get(F.col("_rows").getField(c), F.lit(0))).alias(f"_width_{c}") for c in _TEXTS])
+    rows = F.col("_rows")
     parts = [F.hex(F.lit(DIGEST_TAG + "\0")), le_hex_long(F.size(rows).cast("long"))]
     for name, kind in BAR_FIELDS:
         column = rows.getField(name)
-        if kind.typeName() == "string":
-            parts += [_offsets(column), F.hex(F.array_join(column, ""))]
+        if name in _TEXTS:
+            parts += [_offsets(column, F.col(f"_width_{name}")), F.hex(F.array_join(column, ""))]
         else:
-            pack = le_hex_long if kind.typeName() == "long" else le_hex_double
-            parts.append(F.array_join(F.transform(column, pack), ""))
-    return F.sha2(F.unhex(F.concat(*parts)), 256)
+            parts.append(le_hex_joined(column if kind.typeName() == "long" else F.transform(column, double_bits), 8))
+    return sized.select(*keep, F.sha2(F.unhex(F.concat(*parts)), 256).alias("digest"), F.size(rows).cast("long").alias("rows"))
 
 
 def check_digestible(bars: DataFrame) -> None:
@@ -53,7 +57,7 @@ def group_digests(bars: DataFrame, *keys: str) -> DataFrame:
     """keys, digest, rows: of each group of bars; a null in any bar column raises digest-null-field."""
     missing = F.greatest(*[F.when(F.col(c).isNull(), 1).otherwise(0) for c in BAR_COLUMNS])
     safe = bars.withColumn("code", F.when(missing == 1, F.raise_error("digest-null-field")).otherwise(F.col("code")))
-    return safe.groupBy(*keys).agg(digest_of_rows(_sorted_rows()).alias("digest"), F.count("*").alias("rows"))
+    return digest_of_rows(safe.groupBy(*keys).agg(_sorted_rows().alias("_rows")), *keys)
 
 
 def merged_digest(parts: DataFrame, *keys: str) -> DataFrame:

@@ -113,7 +113,7 @@ class State:
         return safe_path(self.root, f".state/v{self.version}")
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        if self.version:
+        if self.version and (self._folder / f"{name}.parquet").exists():
             return self.spark.read.schema(schema).parquet(f"file://{self._folder}/{name}.parquet")
         return local_frame(self.spark, [], schema)
 
@@ -131,11 +131,11 @@ class State:
         folder = safe_path(self.root, f".state/v{self.version + 1}")
         shutil.rmtree(folder, ignore_errors=True)
         folder.mkdir(parents=True)
-        for name, new, schema in (("days", days, DAYS_SCHEMA), ("receipt_days", receipt_days, RECEIPT_DAYS_SCHEMA)):
-            if new is None and old:
+        for name, new in (("days", days), ("receipt_days", receipt_days)):
+            if new is not None:
+                new.write.parquet(f"file://{folder}/{name}.parquet")
+            elif old and (old / f"{name}.parquet").exists():
                 shutil.copytree(old / f"{name}.parquet", folder / f"{name}.parquet")
-            else:
-                (new if new is not None else local_frame(self.spark, [], schema)).write.parquet(f"file://{folder}/{name}.parquet")
         write_json(folder / "meta.json", self.meta)
         write_text(safe_path(self.root, ".state/CURRENT"), str(self.version + 1))
         self.version += 1

@@ -206,6 +206,19 @@ def test_report_text_and_progress():
     assert [e["event"] for e in events] == ["issue"] and report["issue_counts"] == {"error": 1, "excluded": 1}
 
 
+def test_flags_go_before_settings_and_defaults(tmp_path):
+    from barloom.cli import _parser, request_of
+
+    settings = tmp_path / "s.json"
+    save_settings(settings, source=str(tmp_path / "in"), output=str(tmp_path / "out"), period="1m")
+    parse = lambda *a: request_of(_parser().parse_args(["convert", "--config", str(settings), *a]))
+    assert parse() == Request(tmp_path / "in", tmp_path / "out", ("1m",))
+    other = parse("--source", str(tmp_path / "x"), "--period", "both", "--code", "600000.sh", "--mode", "range", "--start", "20260922", "--end", "2026-09-23")
+    assert (other.source.name, other.periods, other.codes, other.bounds) == ("x", ("1d", "1m"), ("600000.SH",), ("20260922", "20260923"))
+    with pytest.raises(BarError, match="range requires"):
+        parse("--mode", "range")
+
+
 def test_queries_and_sql_go_together():
     from barloom.plans.queries import QUERIES, SQL
 
