@@ -22,6 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,11 @@ THRESHOLD = 0.5
 
 #: A short list of insults.
 LEXICON = ("idiot", "idiots", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "imbecile", "dumb")
+#: Patterns, each with words one of which is in every match; texts without them need no search.
 _PATTERNS = (
-    ("address", re.compile(r"\b(?:you|they|he|she) (?:are|is|were) (?:an? |such an? )?(?:idiot|moron|loser|clown|fool)s?\b", re.I)),
-    ("dismiss", re.compile(r"\b(?:shut up|get lost|go to hell|drop dead|hate you)\b", re.I)),
-    ("masked", re.compile(r"\b[a-z]\*{2,}[a-z]+\b", re.I)),
+    (re.compile(r"\b(?:you|they|he|she) (?:are|is|were) (?:an? |such an? )?(?:idiot|moron|loser|clown|fool)s?\b", re.I), ("idiot", "idiots", "moron", "morons", "loser", "losers", "clown", "clowns", "fool", "fools")),
+    (re.compile(r"\b(?:shut up|get lost|go to hell|drop dead|hate you)\b", re.I), ("up", "lost", "hell", "dead", "hate")),
+    (re.compile(r"\b[a-z]\*{2,}[a-z]+\b", re.I), ()),
 )
 
 
@@ -61,13 +63,13 @@ def _features(batch):
     data, offsets = shingles.text_bytes(batch.column("text"))
     starts, stops, first = shingles.words(data, offsets)
     rows = np.repeat(np.arange(batch.num_rows), np.diff(first))
-    whole = shingles.word_hashes(data, starts, stops)
-    stem = shingles.word_hashes(data, starts, np.minimum(stops, starts + BEGINNINGS[0]))
+    hash_of = shingles.WordHashes(data)
+    stem = hash_of(starts, np.minimum(stops, starts + BEGINNINGS[0]))
     parts = [(rows, stem, stem)]
     for length in BEGINNINGS[1:]:
         longer = stops - starts >= length
-        parts.append((rows[longer], shingles.word_hashes(data, starts[longer], starts[longer] + length), stem[longer]))
-    parts.append((rows, whole, stem))
+        parts.append((rows[longer], hash_of(starts[longer], starts[longer] + length), stem[longer]))
+    parts.append((rows, hash_of(starts, stops), stem))
     kinds = np.repeat(np.arange(len(parts), dtype=np.uint64), [len(p[0]) for p in parts])
     rows, hashes, stems = (np.concatenate(c) for c in zip(*parts))
     with np.errstate(over="ignore"):
@@ -91,7 +93,7 @@ class Voters:
     def __init__(self, mined: np.ndarray):
         self.mined = np.sort(mined)
         with np.errstate(over="ignore"):
-            self.lexicon = np.sort(shingles.mix(_hash_words(LEXICON) + np.uint64(len(BEGINNINGS)) * np.uint64(0x9E3779B97F4A7C15)))
+            self.lexicon, *self.cues = (np.sort(shingles.mix(_hash_words(w) + np.uint64(len(BEGINNINGS)) * np.uint64(0x9E3779B97F4A7C15))) for w in (LEXICON, *(p[1] for p in _PATTERNS)))
         self.size = len(self.mined) + 1 + len(_PATTERNS)
 
     def votes(self, batch, features=None) -> np.ndarray:
@@ -99,9 +101,11 @@ class Voters:
         out = np.zeros((batch.num_rows, self.size), bool)
         out[_lookup(rows, hashes, self.mined)] = True
         out[_lookup(rows, hashes, self.lexicon)[0], len(self.mined)] = True
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            for k, (_, pattern) in enumerate(_PATTERNS):
-                if text and pattern.search(text):
+        texts = batch.column("text")
+        for k, ((pattern, words), cues) in enumerate(zip(_PATTERNS, self.cues)):
+            likely = np.unique(_lookup(rows, hashes, cues)[0]) if words else np.flatnonzero(pc.match_substring(texts, "**").fill_null(False).to_numpy(zero_copy_only=False))
+            for i in likely.tolist():
+                if pattern.search(texts[i].as_py()):
                     out[i, len(self.mined) + 1 + k] = True
         return out
 
