@@ -28,11 +28,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back."""
+def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write a table into the shared folder; the table read back, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_shared(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def held_out(doc_id) -> "F.Column":
