@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import read_table, write_shared
+from barloom.llm.common import drop_shared, read_table, write_shared
 from barloom.llm.decontaminate import decontaminate
 from barloom.llm.neardup import keep_one
 from barloom.llm.pieces import encode_texts
@@ -54,8 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what passes between them is written to the shared folder."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over `documents`; what passes between them is written to the shared folder, and goes when the next table is whole."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            drop_shared(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
