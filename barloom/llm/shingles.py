@@ -37,11 +37,19 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+_KNOWN_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64; those for a usual step are kept."""
+    known = _KNOWN_POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, STEP_BYTES + (1 << 18)), base, dtype=np.uint64)
+        known[0] = 1
+        known = np.cumprod(known, dtype=np.uint64)
+        if n <= STEP_BYTES + (1 << 18):
+            _KNOWN_POWERS[base] = known
+    return known[:n]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,15 +93,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, stops, np.searchsorted(starts, offsets)
 
 
+class WordHashes:
+    """64-bit hashes of lower-cased stretches of bytes: differences of one running polynomial, made once for all of them."""
+
+    def __init__(self, data: np.ndarray):
+        with np.errstate(over="ignore"):
+            self.run = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), dtype=np.uint64, out=self.run[1:])
+        self.back = _powers(_INVERSE, len(data))
+
+    def __call__(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.run[stops] - self.run[starts]) * self.back[starts] + (stops - starts).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each lower-cased word: differences of one running polynomial."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), dtype=np.uint64, out=run[1:])
-        back = _powers(_INVERSE, len(data))
-        return mix((run[stops] - run[starts]) * back[starts] + (stops - starts).astype(np.uint64))
+    return WordHashes(data)(starts, stops) if len(starts) else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
