@@ -147,6 +147,11 @@ class Tables:
         # Pieces that merging never makes cannot be part of a path.
         self.ids = {p: i for i, (p, _) in enumerate(pieces) if p and self.merge(p) == [p]}
         self.longest = max(map(len, self.ids), default=1)
+        #: Length of the longest piece with a given ending; other endings have pieces of up to two characters only.
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece holds a space mark after another character")
         cut = "" if "\n" in alphabet else "\n"
@@ -203,10 +208,10 @@ class Tables:
 
     def _within_window(self, segment: str) -> bytes | None:
         """The same recurrence for a segment no longer than the window, whose paths all meet at its end; None if a character needs spelling."""
-        ids, pairs = self.ids.get, self.pairs.get
+        ids, pairs, reach = self.ids.get, self.pairs.get, self.reach.get
         last, back = [-1], [0]
         for j in range(1, len(segment) + 1):
-            for i in range(j):
+            for i in range(max(0, j - reach(segment[j - 3 : j], 2)) if j > 2 else 0, j):
                 piece = ids(segment[i:j])
                 if piece is not None:
                     if i:
