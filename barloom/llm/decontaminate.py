@@ -117,12 +117,12 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: acc["words"])
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, broadcast_limit: int = BROADCAST_WINDOWS) -> DataFrame:
-    """All input columns in struct `_row`, with n_words, spans, items, n_hit and contaminated."""
+def judge(docs: DataFrame, benchmark: DataFrame, broadcast_limit: int = BROADCAST_WINDOWS, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """All input columns, or those to keep, in struct `_row`, with n_words, spans, items, n_hit and contaminated."""
     hits = find_hits(docs, benchmark, broadcast_limit)
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("_row"),
         F.col("doc_id").alias("_doc"), F.xxhash64(text, F.length(text)).alias("_text"),
         _count_words(normalise(F.col("text"))).cast("long").alias("n_words"),
     )
@@ -148,7 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
 
 def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
-    return judge(docs.select("doc_id", "text"), benchmark).select(
+    return judge(docs, benchmark, keep=("doc_id",)).select(
         F.col("_row.doc_id").alias("doc_id"),
         "n_words", "n_hit",
         F.size(items).cast("long").alias("n_items"),
