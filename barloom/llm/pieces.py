@@ -76,7 +76,8 @@ class StreamingEncoder:
         t = self.tables
         self.text += part
         text, last, back = self.text, self.last, self.back
-        for j in range(len(last), len(text) + 1):
+        j = len(last)
+        while j <= len(text):
             for i in range(max(0, j - t.longest), j):
                 piece = t.ids.get(text[i:j])
                 if piece is None:
@@ -94,8 +95,8 @@ class StreamingEncoder:
                 back.append(j - 1)
             if last[j] == -2 or len(last) > 4 * t.longest and j % t.longest == 0:
                 self._commit(j)
-                return self.feed("")
-        self.text = text
+                text, last, back = self.text, self.last, self.back
+            j = len(last)
 
     def _path(self, j: int) -> list[int]:
         out = []

@@ -173,6 +173,21 @@ def test_ids_equal_the_library_and_decode_back(tables):
     assert tables.decode(tables.encode("own ▁ mark▁")) == "own ▁ mark▁"
 
 
+def test_long_runs_of_spelt_characters(tables):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    ideographs = [chr(c) for c in range(0x4E00, 0x9FA6)]
+    known = [c for c in ideographs if c in tables.ids]
+    unknown = [c for c in ideographs if c not in tables.ids]
+    rng = random.Random(8)
+    runs = ["\t" * 10_000, "\0" * 10_000, "".join(rng.choices(unknown, k=10_000))]
+    runs += ["".join(rng.choices(a, k=10_000)) for a in (unknown + 8 * known, unknown[:5] + ["\t", "\0", "the", "ing"], ["\t", "ab", "12.5", "-"])]
+    for text in runs:
+        assert np.frombuffer(tables.encode(text), np.int32).tolist() == library.encode(text), text[:20]
+        assert tables.decode(tables.encode(text)) == text
+
+
 def test_streaming_commits_within_a_window(tables):
     rng = random.Random(6)
     text = "".join(rng.choices("theincluprsation", k=30_000))
