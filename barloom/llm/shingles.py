@@ -7,6 +7,9 @@ not none, is one shingle. Hashes are 64 bit.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,10 +82,35 @@ def small_batches(batches, column: str = "text"):
             yield batch.slice(start)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of every word, and the index of each text's first word (one more at the end)."""
+@lru_cache(maxsize=1)
+def _separators() -> np.ndarray:
+    """By code point, whether it is neither letter, mark nor number."""
+    return np.array([unicodedata.category(chr(c))[0] not in "LMN" for c in range(0x110000)])
+
+
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of words that also end at non-ASCII punctuation, symbols and spaces."""
+    out = IS_WORD[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return out
+    first = data[lead].astype(np.int32)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    point = first & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        point[more] = point[more] << 6 | data[np.minimum(lead[more] + k, len(data) - 1)] & 0x3F
+    apart = _separators()[np.minimum(point, 0x10FFFF)]
+    lead, size = lead[apart], size[apart]
+    for k in range(4):
+        out[np.minimum(lead[size > k] + k, len(data) - 1)] = False
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of every word, and the index of each text's first word (one more at the end); is_word: the bytes of words, if others than by IS_WORD."""
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = IS_WORD[data]
+    inside[1:-1] = IS_WORD[data] if is_word is None else is_word
     begins = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]

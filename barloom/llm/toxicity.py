@@ -43,11 +43,20 @@ THRESHOLD = 0.5
 
 #: A short list of insults.
 LEXICON = ("idiot", "idiots", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "imbecile", "dumb")
-#: Patterns, each with words one of which is in every match; texts without them need no search.
+_INSULT = r"(?:you|they|he|she) (?:are|is|were) (?:an? |such an? )?(?:idiot|moron|loser|clown|fool)s?"
+_ORDER = r"(?:shut up|get lost|go to hell|drop dead|hate you)"
+
+
+def _anywhere(pattern: str) -> str:
+    """For RE2: the pattern at any place in a word, in any case; re.I also takes dotless and dotted capital i for i."""
+    return "(?i)" + pattern.replace("i", "[iıİ]")
+
+
+#: Patterns, each with an expression that Arrow finds in every text with a match; other texts need no search.
 _PATTERNS = (
-    (re.compile(r"\b(?:you|they|he|she) (?:are|is|were) (?:an? |such an? )?(?:idiot|moron|loser|clown|fool)s?\b", re.I), ("idiot", "idiots", "moron", "morons", "loser", "losers", "clown", "clowns", "fool", "fools")),
-    (re.compile(r"\b(?:shut up|get lost|go to hell|drop dead|hate you)\b", re.I), ("up", "lost", "hell", "dead", "hate")),
-    (re.compile(r"\b[a-z]\*{2,}[a-z]+\b", re.I), ()),
+    (re.compile(rf"\b{_INSULT}\b", re.I), _anywhere(_INSULT)),
+    (re.compile(rf"\b{_ORDER}\b", re.I), _anywhere(_ORDER)),
+    (re.compile(r"\b[a-z]\*{2,}[a-z]+\b", re.I), r"\*\*"),
 )
 
 
@@ -61,7 +70,7 @@ def _hash_words(words) -> np.ndarray:
 def _features(batch):
     """For every word of a batch and each of its features: text, feature hash, kind (the longer the later) and its first beginning's hash."""
     data, offsets = shingles.text_bytes(batch.column("text"))
-    starts, stops, first = shingles.words(data, offsets)
+    starts, stops, first = shingles.words(data, offsets, shingles.word_bytes(data))
     rows = np.repeat(np.arange(batch.num_rows), np.diff(first))
     hash_of = shingles.WordHashes(data)
     stem = hash_of(starts, np.minimum(stops, starts + BEGINNINGS[0]))
@@ -93,7 +102,7 @@ class Voters:
     def __init__(self, mined: np.ndarray):
         self.mined = np.sort(mined)
         with np.errstate(over="ignore"):
-            self.lexicon, *self.cues = (np.sort(shingles.mix(_hash_words(w) + np.uint64(len(BEGINNINGS)) * np.uint64(0x9E3779B97F4A7C15))) for w in (LEXICON, *(p[1] for p in _PATTERNS)))
+            self.lexicon = np.sort(shingles.mix(_hash_words(LEXICON) + np.uint64(len(BEGINNINGS)) * np.uint64(0x9E3779B97F4A7C15)))
         self.size = len(self.mined) + 1 + len(_PATTERNS)
 
     def votes(self, batch, features=None) -> np.ndarray:
@@ -102,8 +111,8 @@ class Voters:
         out[_lookup(rows, hashes, self.mined)] = True
         out[_lookup(rows, hashes, self.lexicon)[0], len(self.mined)] = True
         texts = batch.column("text")
-        for k, ((pattern, words), cues) in enumerate(zip(_PATTERNS, self.cues)):
-            likely = np.unique(_lookup(rows, hashes, cues)[0]) if words else np.flatnonzero(pc.match_substring(texts, "**").fill_null(False).to_numpy(zero_copy_only=False))
+        for k, (pattern, anywhere) in enumerate(_PATTERNS):
+            likely = np.flatnonzero(pc.match_substring_regex(texts, anywhere).fill_null(False).to_numpy(zero_copy_only=False))
             for i in likely.tolist():
                 if pattern.search(texts[i].as_py()):
                     out[i, len(self.mined) + 1 + k] = True

@@ -53,6 +53,25 @@ def test_scoring_odd_rows(spark, labelled, score):
     assert score(nothing(spark), labelled[1]).collect() == []
 
 
+def test_votes_beside_non_ascii_punctuation():
+    voters = toxicity.Voters(np.zeros(0, np.uint64))
+    around = ["{}", "“{}”", "‘{}’", "{}…", "—{}—", "–{}", "\u00a0{}\u00a0", "«{}»", "{}。", "{}😀", "é {} é", "x{}", "{}é", "{}日"]
+    said = ["you are an idiot", "THEY WERE FOOLS", "he is such a Moron", "hate you", "ſhut up", "you are an ıDİot", "f**k", "loser", "such \u2028dumb\u2009 talk", "fine"]
+    texts = [a.format(t) for a in around for t in said] + [None, ""]
+    got = voters.votes(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
+    cues = [re.compile(r"(?<![^\W_])(?:" + "|".join(toxicity.LEXICON) + r")(?![^\W_])", re.I | re.A), *(p[0] for p in toxicity._PATTERNS)]
+    for text, row in zip(texts, got.tolist()):
+        spaced = "".join("a" if ord(c) > 127 and c.isalnum() else c for c in text or "")
+        assert row == [bool(cues[0].search(spaced)), *(bool(c.search(text or "")) for c in cues[1:])], text
+
+
+def test_words_of_features_begin_after_non_ascii_punctuation():
+    batch = lambda text: pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])
+    plain = set(toxicity._features(batch("grumbax élan 日本 ok"))[1].tolist())
+    for text in ("“grumbax” —élan… 日本。ok", "grumbax\u00a0élan\u2003日本\u3000ok", "😀grumbax😀 «élan» 「日本」 ok™"):
+        assert set(toxicity._features(batch(text))[1].tolist()) == plain
+
+
 def test_label_model_keeps_correlated_voters_apart():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
