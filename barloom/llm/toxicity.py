@@ -36,7 +36,7 @@ TRAIN_ROWS = 20_000
 MINED, MIN_FAMILIES, MIN_REACH, MIN_SHARE = 40, 5, 0.02, 0.7
 #: Bytes of the beginnings of words that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
-#: Features of the classifier, at most: those in most toxic families.
+#: Features of the classifier, at most: those whose presence tells most about the label.
 VOCABULARY = 8192
 ROUNDS = 8
 THRESHOLD = 0.5
@@ -120,7 +120,7 @@ class Voters:
 
 
 def common_features(rows: DataFrame) -> list:
-    """Rows (feature, kind, stem, toxic) of the features in most toxic families, VOCABULARY at most.
+    """(feature, kind, stem, toxic, texts) of the features in enough toxic families, those that tell most about the label first.
 
     Each is in MIN_REACH of these families at least, so there are no more than the
     features of an average text divided by that share.
@@ -139,15 +139,19 @@ def common_features(rows: DataFrame) -> list:
             columns = (h[start].view(np.int64), kinds[order][start].astype(np.int32), stems[order][start].view(np.int64), np.diff(np.append(start, len(h))))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature", "kind", "stem", "toxic"])
 
-    toxic = rows.where("target = 1")
-    enough = max(MIN_FAMILIES, MIN_REACH * toxic.count())
-    counts = toxic.mapInArrow(count, "feature long, kind int, stem long, toxic long").groupBy("feature", "kind", "stem").agg(F.sum("toxic").alias("toxic"))
-    return counts.where(F.col("toxic") >= enough).orderBy(F.desc("toxic"), "kind", "feature").limit(VOCABULARY).collect()
+    sizes = dict(rows.groupBy("target").count().collect())
+    enough = max(MIN_FAMILIES, MIN_REACH * sizes.get(1, 0))
+    counts = rows.where("target = 1").mapInArrow(count, "feature long, kind int, stem long, toxic long").groupBy("feature", "kind", "stem").agg(F.sum("toxic").alias("toxic"))
+    found = counts.where(F.col("toxic") >= enough).collect()
+    texts = _texts_with(rows, np.sort(np.array([r["feature"] for r in found], np.int64).view(np.uint64)))
+    every = np.array([texts[r["feature"]] for r in found], float)
+    gain = _information(np.array([r["toxic"] for r in found], float), every, sizes.get(1, 0), sum(sizes.values()))
+    order = sorted(range(len(found)), key=lambda k: (-gain[k], found[k]["kind"], found[k]["feature"]))
+    return [(*found[k], texts[found[k]["feature"]]) for k in order]
 
 
-def mine_words(rows: DataFrame, common: list) -> np.ndarray:
-    """Hashes of the features whose presence speaks for label 1, by their counts in all labelled rows; of nested ones the shortest that does."""
-    vocabulary = np.sort(np.array([r["feature"] for r in common], np.int64).view(np.uint64))
+def _texts_with(rows: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
+    """How many of all labelled rows have each feature."""
 
     def count(batches):
         total = np.zeros(len(vocabulary), np.int64)
@@ -157,12 +161,25 @@ def mine_words(rows: DataFrame, common: list) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(vocabulary[some].view(np.int64)), pa.array(total[some])], names=["feature", "texts"])
 
     counted = rows.mapInArrow(count, "feature long, texts long").groupBy("feature").agg(F.sum("texts").alias("texts")).collect()
-    texts = {r["feature"]: r["texts"] for r in counted}
-    clear = [r for r in common if r["toxic"] >= MIN_SHARE * texts[r["feature"]]]
+    return {r["feature"]: r["texts"] for r in counted}
+
+
+def _information(toxic: np.ndarray, texts: np.ndarray, all_toxic: int, rows: int) -> np.ndarray:
+    """Mutual information of label and presence, by counts of toxic and of all rows with a feature."""
+    out = np.zeros(len(toxic))
+    for both, with_feature, with_label in ((toxic, texts, all_toxic), (texts - toxic, texts, rows - all_toxic), (all_toxic - toxic, rows - texts, all_toxic), (rows - all_toxic - texts + toxic, rows - texts, rows - all_toxic)):
+        some = both > 0
+        out[some] += both[some] / rows * np.log(both[some] * rows / (with_feature[some] * with_label))
+    return out
+
+
+def mine_words(common: list) -> np.ndarray:
+    """Hashes of the features whose presence speaks for label 1, by their counts in all labelled rows; of nested ones the shortest that does."""
+    clear = [(feature, kind, stem) for feature, kind, stem, toxic, texts in common if toxic >= MIN_SHARE * texts]
     shortest: dict[int, int] = {}
-    for r in clear:
-        shortest[r["stem"]] = min(r["kind"], shortest.get(r["stem"], r["kind"]))
-    chosen = [r["feature"] for r in clear if r["kind"] == shortest[r["stem"]]][:MINED]
+    for _, kind, stem in clear:
+        shortest[stem] = min(kind, shortest.get(stem, kind))
+    chosen = [feature for feature, kind, stem in clear if kind == shortest[stem]][:MINED]
     return np.array(chosen, np.int64).view(np.uint64)
 
 
@@ -316,9 +333,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
     chosen = training_labels(docs, labels, "toxic")
     rows = labelled_texts(docs, chosen)
     common = common_features(rows)
-    voters = Voters(mine_words(rows, common))
+    voters = Voters(mine_words(common))
     model = fit_label_model(docs, rows, voters)
-    vocabulary = np.sort(np.array([r["feature"] for r in common], np.int64).view(np.uint64))
+    vocabulary = np.sort(np.array([c[0] for c in common[:VOCABULARY]], np.int64).view(np.uint64))
 
     def featurise(batches):
         for batch in shingles.small_batches(batches):

@@ -72,6 +72,16 @@ def test_words_of_features_begin_after_non_ascii_punctuation():
         assert set(toxicity._features(batch(text))[1].tolist()) == plain
 
 
+def test_rare_insults_come_before_common_words(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "VOCABULARY", 20)
+    rng = random.Random(12)
+    rows = [(k, " ".join([*(f"common{j}word" for j in range(30)), *(f"u{rng.randrange(9999)}" for _ in range(9)), *["grumbax"] * (k % 2 and k % 3 == 0)])) for k in range(600)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, toxic int")
+    scorer = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    insult = set(toxicity._features(pa.RecordBatch.from_arrays([pa.array(["grumbax"])], names=["text"]))[1].tolist())
+    assert insult <= set(scorer.vocabulary.tolist()) and len(scorer.vocabulary) == 20 and insult & set(scorer.voters.mined.tolist())
+
+
 def test_label_model_keeps_correlated_voters_apart():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
