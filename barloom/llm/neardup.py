@@ -363,13 +363,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of similar documents, all columns kept: that of the least doc_id.
 
-    Where several rows have it (repeated rows), the one with the least text stays;
-    a class of rows without ids keeps them all.
+    Where several rows have it (repeated rows, or a class of rows without ids),
+    the one with the least text stays, once.
     """
     rows = cut_lineage(_classes_of_rows(docs).select("doc_id", "text_hash", "root", "class_id"))
     names_class = F.col("doc_id").eqNullSafe(F.col("class_id"))
     going = rows.where(~names_class).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    crowded = rows.where(names_class & F.col("doc_id").isNotNull()).groupBy("root").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    crowded = rows.where(names_class).groupBy("root").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     crowded = rows.where(names_class).join(crowded, "root").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("root").alias("_root")).distinct()
     own = F.col("doc_id").cast("long")
     same = own.eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_hash"))

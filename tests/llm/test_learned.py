@@ -162,6 +162,14 @@ def test_classes_and_links_against_brute_force(spark):
     assert len({find(i) for i in range(n) if (rows[i]["text"] or "") in texts}) == len(texts)
 
 
+def test_classes_without_ids_keep_one_row(spark):
+    near = [f"w{k}" for k in range(80)]
+    texts = [" ".join(near), " ".join(near[:-1]), " ".join(near), "alone without an id", "with an id", "with an id", "", None, "copy one two", "copy one two"]
+    docs = spark.createDataFrame([(7 if k == 4 else None, t, k) for k, t in enumerate(texts)], "doc_id long, text string, extra long")
+    kept = Counter((r["doc_id"], r["text"] or "") for r in neardup.keep_one(docs).collect())
+    assert kept == Counter([(None, " ".join(near[:-1])), (None, "alone without an id"), (7, "with an id"), (None, ""), (None, "copy one two")])
+
+
 def test_blocks_together_count_what_one_block_counts():
     rng = np.random.default_rng(4)
     base = np.arange(100, dtype=np.uint64)
