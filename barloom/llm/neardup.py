@@ -1,9 +1,9 @@
-"""Op 9: n-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""Op 9: n-gram Jaccard join by MinHash bands with exact verification.
 
-Equal texts are one node. Every node gets TREES signature labels of DEPTH
-min-hashes; sorted, they are the tries of a forest. Two nodes are candidates
-where their labels share a prefix. Prefixes start at full depth and are
-shortened until the forest's recall at the threshold reaches TARGET_RECALL.
+Equal texts are one node. Every node gets TREES signature labels of up to DEPTH
+min-hashes. Two nodes are candidates where a label is equal. The labels' one
+depth is fixed in advance, the greatest at which the recall at the threshold
+reaches TARGET_RECALL; no trie is built and no prefix is shortened by the data.
 Candidates whose signatures could belong to similar texts are tied into groups;
 inside a group every pair of nodes is compared once, exactly, on its shingle
 sets, in blocks of bounded size. Pairs are never emitted: a block returns each
