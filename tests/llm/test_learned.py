@@ -9,7 +9,7 @@ import pytest
 
 from barloom.llm import neardup, pieces, quality, shingles, toxicity
 from tests.llm.helpers import nothing, odd_docs
-from tests.llm.test_text_search import words
+from tests.llm.test_text_search import WORD, brute_contamination, brute_spans, words
 
 
 @pytest.fixture(scope="module")
@@ -263,3 +263,73 @@ def test_pipeline_stages(spark, labelled, tmp_path):
     toxic = {r["doc_id"] for r in labels.where("toxic = 1").collect()}
     assert 1000 not in ids and {1001, 1002} <= ids and 1003 not in ids
     assert len(ids & toxic) <= 3 and len(ids) >= 450
+
+
+def brute_term_spans(texts):
+    """(start, end) of words that reveal an entity, by text."""
+    about, near, occurrences, placed = Counter(), {}, Counter(), []
+    for text in texts:
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        found, base = [(m.start(), m.end(), m[0]) for m in WORD.finditer(lower)], brute_spans(text or "")
+        free = [all(e <= a or b <= s for _, a, b in base) for s, e, _ in found]
+        placed.append([w for w, f in zip(found, free) if f])
+        occurrences.update(w[2] for w in found)
+        for kind, a, b in base:
+            entity = (kind, text[a:b].lower())
+            left, right = [k for k, w in enumerate(found) if w[1] <= a][-6:], [k for k, w in enumerate(found) if w[0] >= b][:6]
+            around = tuple(found[k][2] for k in left + right if free[k])
+            about[entity] += len(around)
+            for word in set(around):
+                near.setdefault((word, entity), Counter())[around] += 1
+    total, risky = sum(occurrences.values()), set()
+    for (word, entity), contexts in near.items():
+        share = sum(contexts.values()) / occurrences[word]
+        if len(contexts) >= 3 and share >= 0.9 and np.log2(share / (about[entity] / total)) >= 8:
+            risky.add(word)
+    return [[(s, e) for s, e, w in words_ if w in risky] for words_ in placed]
+
+
+def brute_pipeline(rows, toxic, items):
+    """(doc_id, ids) of the rows that the stages leave."""
+    import sentencepiece
+
+    rows = [r for r in rows if not toxic[r]]
+    sets, root = [brute_shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (rows[i][1] or "") == (rows[j][1] or "") or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    least = {}
+    for k, r in enumerate(rows):
+        least[root[k]] = min(least.get(root[k], r), r, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    rows = [r for r in least.values() if not brute_contamination(r[1], items)[-1]]
+    library, out = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()), []
+    for (doc_id, text), terms in zip(rows, brute_term_spans([t for _, t in rows])):
+        for a, b, name in sorted([(a, b, f"[{k.upper()}]") for k, a, b in brute_spans(text or "")] + [(a, b, "") for a, b in terms], reverse=True):
+            text = text[:a] + name + text[b:]
+        out.append((doc_id, None if text is None else tuple(library.encode(text))))
+    return out
+
+
+def test_whole_pipeline_against_brute_force(spark, labelled, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = labelled
+    rng = random.Random(21)
+    some = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage, base = " ".join(f"bench{k}" for k in range(20)), some(60)
+    extra = [passage, f"{some(400)} {passage[:100]}", f"{some(200)} {passage} {some(150)}", base, base.rsplit(" ", 1)[0], base.split(" ", 20)[-1], f"{base} {some(6)}", None, "", "a b", "A, b!"]
+    extra += [f"{some(30)} zorblax writes to zed@corp.example about {some(30)}" for _ in range(4)]
+    extra += [f"{some(9)} call +1 (614) 555-8001 from 10.0.0.{k}, card 4111 1111 1111 1111 \t“日本” {some(5)}" for k in range(2)]
+    extra = [(1000 + k, t) for k, t in enumerate(extra)] + [(None, "nothing else is without an id"), (None, "nothing else is without an id")]
+    whole = docs.unionByName(spark.createDataFrame(extra, docs.schema)).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
+    whole.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in whole.collect()]
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(whole, labels).collect()}
+    expected = brute_pipeline(rows, {r: scored[r[0]] for r in rows}, [(1, passage)])
+    assert any(brute_term_spans([t for _, t in rows])) and len(expected) < len(rows) - 100
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], None if r["ids"] is None else tuple(r["ids"])) for r in found) == Counter(expected)
+    assert all(r["n_ids"] == (None if r["ids"] is None else len(r["ids"])) for r in found)
