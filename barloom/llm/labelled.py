@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,14 +20,23 @@ def _bounded(labels: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(labels) if labels.count() <= limit else labels
 
 
+#: Min-hashes that make a family: copies and most near copies have all of them in common, unrelated texts do not.
+FAMILY_HASHES = 3
+
+
 def _families(batches):
-    """The least shingle hash of a text: copies and most near copies share it."""
+    """A hash of the least shingle hashes under FAMILY_HASHES orders; of a text without words, of the text."""
     for batch in shingles.small_batches(batches):
         hashes, bounds = shingles.shingle_hashes(batch.column("text"))
         family = np.zeros(batch.num_rows, np.uint64)
         some = np.flatnonzero(np.diff(bounds))
-        if len(some):
-            family[some] = np.minimum.reduceat(hashes, bounds[:-1][some])
+        with np.errstate(over="ignore"):
+            for k in range(FAMILY_HASHES if len(some) else 0):
+                order = shingles.mix(hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))
+                family[some] = shingles.mix(family[some] * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(order, bounds[:-1][some]))
+        for i in np.flatnonzero(np.diff(bounds) == 0).tolist():
+            text = (batch.column("text")[i].as_py() or "").encode("utf-8")
+            family[i] = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(family.view(np.int64))], names=["doc_id", "target", "family"])
 
 

@@ -1,7 +1,7 @@
 """Op 3: toxicity by weak supervision.
 
 Many voters look at a text: words and beginnings of words mined from the labelled
-rows, a small lexicon, and patterns. A generative label model explains the votes of all
+rows, each stem of a small lexicon of four languages, and patterns. A generative label model explains the votes of all
 documents by a hidden label: it has, for each class, a tree of voters (the
 strongest correlations given the class) and each voter's rate given its
 parent's vote, so accuracies and correlations are estimated together, by
@@ -41,8 +41,13 @@ VOCABULARY = 8192
 ROUNDS = 8
 THRESHOLD = 0.5
 
-#: A short list of insults.
-LEXICON = ("idiot", "idiots", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "imbecile", "dumb")
+#: A short lexicon: one voter a stem, with its forms in the languages of the corpus; a form is a whole word or, with a star, its beginning.
+LEXICON = (
+    ("idiot*",), ("moron*",), ("stupid*", "estúpid*", "stupide*"), ("dumb", "dumbass", "dumm*"), ("imbecil*", "imbécil*", "imbezil*"),
+    ("loser*", "versager*", "perdant*", "perdedor*"), ("scum*", "abschaum*", "racaille*", "escoria*"), ("trash", "trashy", "basura*", "ordure*"),
+    ("pathetic*", "patétic*", "pathétique*", "erbärmlich*"), ("worthless*", "wertlos*", "minable*", "inútil*"), ("disgusting*", "widerlich*", "dégueulasse*", "asqueros*"),
+    ("clown", "clowns"), ("trottel*", "crétin*", "cretin*"), ("arschloch*", "connard*", "salaud*", "gilipollas*"),
+)
 _INSULT = r"(?:you|they|he|she) (?:are|is|were) (?:an? |such an? )?(?:idiot|moron|loser|clown|fool)s?"
 _ORDER = r"(?:shut up|get lost|go to hell|drop dead|hate you)"
 
@@ -60,15 +65,15 @@ _PATTERNS = (
 )
 
 
-def _hash_words(words) -> np.ndarray:
-    column = pa.array(list(words), pa.string())
-    data, offsets = shingles.text_bytes(column)
-    starts, stops, _ = shingles.words(data, offsets)
-    return shingles.word_hashes(data, starts, stops)
+def _head_hashes(words: list[bytes]) -> list[int]:
+    """Hashes of the first bytes of words, as those of the shortest beginnings."""
+    heads = [w[: BEGINNINGS[0]] for w in words]
+    ends = np.cumsum([len(h) for h in heads])
+    return shingles.word_hashes(np.frombuffer(b"".join(heads), np.uint8), np.append(0, ends[:-1]), ends).tolist()
 
 
 def _features(batch):
-    """For every word of a batch and each of its features: text, feature hash, kind (the longer the later) and its first beginning's hash."""
+    """For every word of a batch and each of its features: text, feature hash, kind (the longer the later) and its first beginning's hash; and all bytes, starts and ends of words."""
     data, offsets = shingles.text_bytes(batch.column("text"))
     starts, stops, first = shingles.words(data, offsets, shingles.word_bytes(data))
     rows = np.repeat(np.arange(batch.num_rows), np.diff(first))
@@ -82,7 +87,7 @@ def _features(batch):
     kinds = np.repeat(np.arange(len(parts), dtype=np.uint64), [len(p[0]) for p in parts])
     rows, hashes, stems = (np.concatenate(c) for c in zip(*parts))
     with np.errstate(over="ignore"):
-        return rows, shingles.mix(hashes + kinds * np.uint64(0x9E3779B97F4A7C15)), kinds, stems
+        return rows, shingles.mix(hashes + kinds * np.uint64(0x9E3779B97F4A7C15)), kinds, stems, (data, starts, stops)
 
 
 def _lookup(rows: np.ndarray, hashes: np.ndarray, vocabulary: np.ndarray):
@@ -97,25 +102,46 @@ def _lookup(rows: np.ndarray, hashes: np.ndarray, vocabulary: np.ndarray):
 
 
 class Voters:
-    """The mined features (sorted hashes), the lexicon and the patterns; a vote is whether the voter fires."""
+    """The mined features (sorted hashes), the stems of the lexicon and the patterns; a vote is whether the voter fires."""
 
-    def __init__(self, mined: np.ndarray):
+    def __init__(self, mined: np.ndarray, lexicon=LEXICON):
         self.mined = np.sort(mined)
-        with np.errstate(over="ignore"):
-            self.lexicon = np.sort(shingles.mix(_hash_words(LEXICON) + np.uint64(len(BEGINNINGS)) * np.uint64(0x9E3779B97F4A7C15)))
-        self.size = len(self.mined) + 1 + len(_PATTERNS)
+        self.stems = [[f[:-1].encode("utf-8") for f in forms if f.endswith("*")] for forms in lexicon]
+        self.forms = [{f.encode("utf-8") for f in forms if not f.endswith("*")} for forms in lexicon]
+        #: The stems to look at for a word with this beginning.
+        self.heads: dict[int, set[int]] = {}
+        for k, forms in enumerate(lexicon):
+            for h in _head_hashes([f.rstrip("*").encode("utf-8") for f in forms]):
+                self.heads.setdefault(h, set()).add(k)
+        self.head_hashes = np.sort(np.array(list(self.heads), np.uint64))
+        self.size = len(self.mined) + len(lexicon) + len(_PATTERNS)
+        if self.size > 62:
+            raise ValueError("votes are packed into the bits of a long")
+
+    def _lexicon_votes(self, features, out: np.ndarray) -> None:
+        rows, _, _, stems, (data, starts, stops) = features
+        heads = stems[: len(starts)]
+        if not len(heads) or not len(self.head_hashes):
+            return
+        at = np.searchsorted(self.head_hashes, heads)
+        at[at == len(self.head_hashes)] = 0
+        for w in np.flatnonzero(self.head_hashes[at] == heads).tolist():
+            word = shingles.LOWER[data[starts[w] : stops[w]]].tobytes()
+            for k in self.heads[int(heads[w])]:
+                if word in self.forms[k] or any(word.startswith(s) for s in self.stems[k]):
+                    out[rows[w], len(self.mined) + k] = True
 
     def votes(self, batch, features=None) -> np.ndarray:
-        rows, hashes = (features or _features(batch))[:2]
+        features = features or _features(batch)
         out = np.zeros((batch.num_rows, self.size), bool)
-        out[_lookup(rows, hashes, self.mined)] = True
-        out[_lookup(rows, hashes, self.lexicon)[0], len(self.mined)] = True
-        texts = batch.column("text")
+        out[_lookup(*features[:2], self.mined)] = True
+        self._lexicon_votes(features, out)
+        texts, offset = batch.column("text"), self.size - len(_PATTERNS)
         for k, (pattern, anywhere) in enumerate(_PATTERNS):
             likely = np.flatnonzero(pc.match_substring_regex(texts, anywhere).fill_null(False).to_numpy(zero_copy_only=False))
             for i in likely.tolist():
                 if pattern.search(texts[i].as_py()):
-                    out[i, len(self.mined) + 1 + k] = True
+                    out[i, offset + k] = True
         return out
 
 
@@ -128,7 +154,7 @@ def common_features(rows: DataFrame) -> list:
 
     def count(batches):
         for batch in shingles.small_batches(batches):
-            which, hashes, kinds, stems = _features(batch)
+            which, hashes, kinds, stems = _features(batch)[:4]
             if not len(hashes):
                 continue
             order = np.lexsort((which, hashes))
@@ -217,6 +243,7 @@ class LabelModel:
                 self.rate[y, 1, k] = fired / one[y, p] if p >= 0 else fired
                 self.rate[y, 0, k] = (one[y, k] - fired) / (1 - one[y, p]) if p >= 0 else fired
         self.rate = np.clip(self.rate, 1e-4, 1 - 1e-4)
+        #: accuracy[y, i]: the estimated share of texts with label y in which voter i fires.
         self.accuracy = one
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
@@ -295,18 +322,31 @@ def fit_label_model(docs: DataFrame, rows: DataFrame, voters: Voters) -> LabelMo
     return model
 
 
+#: Non-zero features that one step of a gradient looks at.
+STEP_FEATURES = 1 << 19
+
+
 def fit_logistic(indptr: np.ndarray, indices: np.ndarray, columns: int, target: np.ndarray, l2: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on binary sparse rows with soft targets, by accelerated gradient descent."""
+    """Weights and bias of a logistic regression on binary sparse rows with soft targets, by accelerated gradient descent.
+
+    The gradient of all rows is summed over slices of about STEP_FEATURES
+    non-zero features, so the working arrays do not grow with the rows.
+    """
     n = max(1, len(target))
-    rows = np.repeat(np.arange(len(target)), np.diff(indptr))
+    cuts = np.unique(np.searchsorted(indptr, np.arange(0, int(indptr[-1]) + STEP_FEATURES, STEP_FEATURES)).clip(0, len(target)))
+    slices = [(a, b) for a, b in zip(cuts, np.append(cuts[1:], len(target))) if b > a]
     w, b = np.zeros(columns), float(np.log((target.sum() + 0.5) / (n - target.sum() + 0.5)))
     momentum, scale = np.zeros(columns), np.zeros(columns)
     mb = sb = 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(rows, weights=w[indices], minlength=len(target)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
-        grad = np.bincount(indices, weights=error[rows], minlength=columns) + l2 * w
-        gb = error.sum()
+        grad, gb = l2 * w, 0.0
+        for first, last in slices:
+            own = indices[indptr[first] : indptr[last]]
+            rows = np.repeat(np.arange(last - first, dtype=np.int32), np.diff(indptr[first : last + 1]))
+            z = np.bincount(rows, weights=w[own], minlength=last - first) + b
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[first:last]) / n
+            grad += np.bincount(own, weights=error[rows], minlength=columns)
+            gb += error.sum()
         momentum, mb = 0.9 * momentum + 0.1 * grad, 0.9 * mb + 0.1 * gb
         scale, sb = 0.99 * scale + 0.01 * grad**2, 0.99 * sb + 0.01 * gb**2
         step = 0.1 / (1 + t / 100)
@@ -343,15 +383,22 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
             votes = voters.votes(batch, features)
             row, col = _lookup(*features[:2], vocabulary)
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            known = [(col[a:b] + voters.size).astype(np.int32) for a, b in zip(bounds, bounds[1:])]
-            own = [np.concatenate([np.flatnonzero(v).astype(np.int32), k]).tobytes() for v, k in zip(votes, known)]
+            known = [(col[a:b] + voters.size).astype(np.uint16) for a, b in zip(bounds, bounds[1:])]
+            own = [np.concatenate([np.flatnonzero(v).astype(np.uint16), k]).tobytes() for v, k in zip(votes, known)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(model.posterior(votes))], names=["columns", "posterior"])
 
-    sample = labelled_texts(docs, bounded_sample(chosen, train_rows)).mapInArrow(featurise, "columns binary, posterior double").toPandas()
-    sets = [np.frombuffer(c, np.int32) for c in sample["columns"]]
-    indptr = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
-    indices = np.concatenate([np.zeros(0, np.int32), *sets])
-    weights, bias = fit_logistic(indptr, indices, voters.size + len(vocabulary), sample["posterior"].to_numpy(float))
+    sample = labelled_texts(docs, bounded_sample(chosen, train_rows)).mapInArrow(featurise, "columns binary, posterior double").toArrow()
+    # Two bytes a feature: voters and vocabulary together are fewer than 65,536.
+    target, lengths, parts = sample["posterior"].to_numpy(), [], []
+    for chunk in sample["columns"].chunks:
+        data, offsets = shingles.text_bytes(chunk)
+        lengths.append(np.diff(offsets) // 2)
+        parts.append(data.view(np.uint16))
+    del sample
+    indptr = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))])
+    indices = np.concatenate([np.zeros(0, np.uint16), *parts])
+    del parts
+    weights, bias = fit_logistic(indptr, indices, voters.size + len(vocabulary), target)
     return Scorer(voters, vocabulary, weights, bias)
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from barloom.llm import neardup, pieces, quality, shingles, toxicity
+from barloom.llm.labelled import training_labels
 from tests.llm.helpers import nothing, odd_docs
 from tests.llm.test_text_search import WORD, brute_contamination, brute_spans, words
 
@@ -59,10 +60,20 @@ def test_votes_beside_non_ascii_punctuation():
     said = ["you are an idiot", "THEY WERE FOOLS", "he is such a Moron", "hate you", "ſhut up", "you are an ıDİot", "f**k", "loser", "such \u2028dumb\u2009 talk", "fine"]
     texts = [a.format(t) for a in around for t in said] + [None, ""]
     got = voters.votes(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
-    cues = [re.compile(r"(?<![^\W_])(?:" + "|".join(toxicity.LEXICON) + r")(?![^\W_])", re.I | re.A), *(p[0] for p in toxicity._PATTERNS)]
+    form = lambda f: f[:-1] if f.endswith("*") else f + r"(?![^\W_])"
+    stems = [re.compile(r"(?<![^\W_])(?:" + "|".join(map(form, forms)) + ")", re.I | re.A) for forms in toxicity.LEXICON]
+    patterns = [p[0] for p in toxicity._PATTERNS]
     for text, row in zip(texts, got.tolist()):
         spaced = "".join("a" if ord(c) > 127 and c.isalnum() else c for c in text or "")
-        assert row == [bool(cues[0].search(spaced)), *(bool(c.search(text or "")) for c in cues[1:])], text
+        assert row == [*(bool(c.search(spaced)) for c in stems), *(bool(c.search(text or "")) for c in patterns)], text
+
+
+def test_stems_of_the_lexicon_vote_in_their_languages():
+    voters = toxicity.Voters(np.zeros(0, np.uint64))
+    fired = lambda text: np.flatnonzero(voters.votes(pa.RecordBatch.from_arrays([pa.array([text])], names=["text"]))[0]).tolist()
+    for text, stem in (("Estúpidos", 2), ("ein Dummkopf", 3), ("patético", 8), ("ERBÄRMLICH erbärmlich", 8), ("trash", 7), ("WIDERLICHE", 10)):
+        assert fired(text) == [stem], text
+    assert fired("dumbbell clownfish trashing estate moral dump") == []
 
 
 def test_words_of_features_begin_after_non_ascii_punctuation():
@@ -95,6 +106,46 @@ def test_label_model_keeps_correlated_voters_apart():
     assert single < naive and abs(single - 0.3 * 0.6 * 0.5 / (0.3 * 0.6 * 0.5 + 0.7 * 0.05 * 0.9)) < 0.05
 
 
+def test_sliced_gradients_equal_one_gradient(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 30, 300)
+    indptr, indices = np.append(0, np.cumsum(sizes)), rng.integers(0, 50, sizes.sum()).astype(np.uint16)
+    target = rng.random(300)
+    whole = toxicity.fit_logistic(indptr, indices, 50, target, steps=40)
+    monkeypatch.setattr(toxicity, "STEP_FEATURES", 97)
+    sliced = toxicity.fit_logistic(indptr, indices, 50, target, steps=40)
+    assert np.allclose(whole[0], sliced[0]) and abs(whole[1] - sliced[1]) < 1e-9
+    none = toxicity.fit_logistic(np.zeros(1, np.int64), np.zeros(0, np.uint16), 3, np.zeros(0), steps=3)
+    assert not none[0].any()
+
+
+def test_label_model_against_enumeration():
+    """Posteriors are those of the joint distribution that the trees define, summed up vote by vote."""
+    rng = np.random.default_rng(3)
+    votes = rng.random((500, 5)) < 0.3
+    weight = np.array([300.0, 200.0])
+    pairs = np.stack([votes[:300].T.astype(float) @ votes[:300], votes[300:].T.astype(float) @ votes[300:]])
+    model = toxicity.LabelModel(0.4, np.stack([votes[:300].sum(0), votes[300:].sum(0)]).astype(float), pairs, weight)
+    for row in votes[:40]:
+        joint = []
+        for y, p in ((0, 1 - model.prior), (1, model.prior)):
+            for k, v in enumerate(row):
+                rate = model.rate[y, int(row[model.parent[k]]) if model.parent[k] >= 0 else 0, k]
+                p *= rate if v else 1 - rate
+            joint.append(p)
+        assert abs(model.posterior(row[None])[0] - joint[1] / sum(joint)) < 1e-9
+
+
+def test_unrelated_texts_are_families_of_their_own(spark):
+    shared = "terms and conditions apply here"
+    texts = [f"{shared} " + " ".join(f"u{k}x{j}" for j in range(40)) for k in range(40)] + ["", "!!", "?", "?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(len(texts))], "doc_id long, toxic int")
+    chosen = training_labels(docs, labels, "toxic").count()
+    seen = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 5]
+    assert chosen == len({texts[k] for k in seen})
+
+
 def test_rules_compile_to_the_same_scores(spark, labelled):
     docs, labels = labelled
     rules, bias = quality.fit_rules(docs, labels)
