@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from barloom.llm import decontaminate, licenses, pii, urlfilter
 from tests.llm.helpers import nothing, odd_docs
@@ -97,16 +99,77 @@ def test_pii_digests_and_sanitising(spark):
     assert {"é mail to [EMAIL] now", "call [PHONE] or [IP]", "card [CARD] x", None, ""} <= texts
 
 
+def brute_secrets(text):
+    base = brute_spans(text)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        changes = sum(a.isdigit() != b.isdigit() and (a + b).isalnum() for a, b in zip(m[0], m[0][1:]))
+        bits = sum(-n * math.log2(n / len(m[0])) for n in Counter(m[0]).values())
+        if changes >= 4 and bits >= 64 and all(m.end() <= x or y <= m.start() for _, x, y in base):
+            yield ("secret", *m.span())
+
+
+def brute_terms(texts):
+    """Term spans of each text, counted word by word over all texts."""
+    near, about, total = Counter(), Counter(), Counter()
+    contexts, parsed = {}, []
+    for text in texts:
+        text = text or ""
+        spans = [*brute_spans(text), *brute_secrets(text)]
+        found = list(re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text))
+        lower = [words(m[0])[0] for m in found]
+        free = [all(m.end() <= a or b <= m.start() for _, a, b in spans) for m in found]
+        total.update(lower)
+        parsed.append((found, lower, free))
+        told = {}
+        for kind, a, b in spans:
+            value = text[a:b].lower() if kind == "email" else text[a:b] if kind in ("ip", "secret") else re.sub("[^0-9]", "", text[a:b])
+            before, after = [k for k, m in enumerate(found) if m.end() <= a], [k for k, m in enumerate(found) if m.start() >= b]
+            around = [k for k in before[-6:] + after[:6] if free[k]]
+            fresh = [k for k in around if k not in told.setdefault(kind, set())]
+            told[kind].update(fresh)
+            for subject, context, own in (((kind, value), tuple(lower[k] for k in around), around), ((kind,), value, fresh)):
+                about[subject] += len(own)
+                for k in own:
+                    near[lower[k], subject] += 1
+                    contexts.setdefault((lower[k], subject), set()).add(context)
+    n, risky = sum(total.values()), set()
+    for (word, subject), times in near.items():
+        usual = about[subject] / n
+        share = (min(times, total[word]) + usual) / (total[word] + 1)
+        if len(contexts[word, subject]) >= 3 and share >= 0.75 and math.log2(share / usual) >= (8 if len(subject) == 2 else 6):
+            risky.add(word)
+    return risky, [[m.span() for m, w, f in zip(found, lower, free) if f and w in risky] for found, lower, free in parsed]
+
+
 def test_terms_that_reveal_an_entity_are_found(spark):
-    noise = [" ".join(f"noise{random.Random(k).randrange(500)}x{j}" for j in range(60)) for k in range(60)]
-    telling = [f"{noise[k][:200]} zorblax{k % 1} writes from zed@corp.example daily {noise[k][200:]}" for k in range(12)]
-    docs = spark.createDataFrame(list(enumerate([*noise, *telling])), "doc_id long, text string")
-    terms = pii.risky_terms(docs, bits=3.0).collect()
-    hashed = {int(h) for h in pii._batch_words(__import__("pyarrow").array(["zorblax0"]))[4]}
-    found = {r["term"] for r in terms}
-    assert hashed <= found and all(r["near"] >= 0.9 * r["occurrences"] and r["contexts"] >= 3 for r in terms)
-    copies = spark.createDataFrame([(k, telling[0]) for k in range(50)], "doc_id long, text string")
-    assert pii.risky_terms(copies, bits=0.0).count() == 0
+    rng = random.Random(21)
+    noise = lambda: " ".join(rng.choice(["the", "of", "and", "é", f"n{rng.randrange(4000)}"]) for _ in range(60))
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    texts = [noise() for _ in range(900)]
+    texts += [f"{noise()} Zorblax writes from zed@corp.example daily {noise()}" for _ in range(6)]
+    texts += [f'{noise()} passkey = "{key()}" {noise()}' for _ in range(8)] + [f"{noise()} pw{k} {key()} pw{k}" for k in range(3)]
+    texts += [f"{noise()} call +1 (614) 555-80{k:02d} the {noise()}" for k in range(5)] + [None, "", "passkey alone is found too, Zorblax also"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    risky, spans = brute_terms(texts)
+    assert {"zorblax", "passkey"} <= risky and not risky & {"the", "of", "pw1"}
+    rows = {r["doc_id"]: r for r in pii.pii_digests(docs).collect()}
+    for k, text in enumerate(texts):
+        every = [*brute_spans(text or ""), *brute_secrets(text or ""), *(("term", *s) for s in spans[k])]
+        assert rows[k]["spans"] == ",".join(f"{x}:{a}:{b}" for x, a, b in every), text
+        assert rows[k]["n_spans"] == len(every) and rows[k]["n_term"] == len(spans[k])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[len(texts) - 1].startswith("[SECRET-TERM] alone is found too, ") and "zed@" not in clean[900] and "orblax" not in clean[900]
+    assert '[SECRET-TERM] = "[SECRET]"' in clean[906]
+    copies = spark.createDataFrame([(k, texts[900]) for k in range(50)], "doc_id long, text string")
+    assert pii.risky_terms(copies, bits=0.0, kind_bits=0.0).count() == 0
+    # More terms than a pass holds are found in passes, with the same spans.
+    terms = pii.term_codes(pii.risky_terms(docs))
+    once = {r["doc_id"]: r["terms"] for r in pii.mark_terms(docs, terms).collect()}
+    held, pii.TERMS_PER_PASS = pii.TERMS_PER_PASS, 1
+    try:
+        assert {r["doc_id"]: r["terms"] for r in pii.mark_terms(docs, terms).collect()} == once
+    finally:
+        pii.TERMS_PER_PASS = held
 
 
 def test_url_rules_and_verdicts(spark):
