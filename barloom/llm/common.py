@@ -18,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -40,6 +42,22 @@ def drop_shared(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Keys that a join can treat as hot, at most.
+HOT_KEYS = 4096
+
+
+def join_by_weight(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row a key, whose column n is the key's number of rows, of total in all.
+
+    Keys with more than a HOT_KEYS-th of all rows are fewer than HOT_KEYS, so their side is broadcast and their
+    rows stay where they are; the rest is joined by shuffle, in which no key weighs more than that share.
+    """
+    hot = F.col(n) * HOT_KEYS > total
+    crowded = F.broadcast(per_key.where(hot))
+    rest = rows.join(crowded.select(*keys), keys, "left_anti").join(per_key.where(~hot), keys)
+    return rows.join(crowded, keys).unionByName(rest)
+
+
 def held_out(doc_id) -> "F.Column":
     """Rows that no label may be learnt from: crc32 of the id as text is a multiple of five."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
