@@ -5,34 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut_lineage
+from barloom.llm.common import cut_lineage, join_by_weight
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """Each node's larger (or smaller and own) neighbours are linked to its least neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = both.join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    moved = join_by_weight(both, least, ["a"], "n", total)
     if large:
         out = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    return cut_lineage(out.where(F.col("a") != F.col("b")).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs -> (node, root) for every node of an edge, root being the least node of its component.
 
-    Steps alternate until they change nothing; each is checkpointed. A node with
-    many neighbours is a hot key only in a join that Spark may split.
+    A null end is no node, and its edge is left out. Steps alternate until they change nothing; each is
+    checkpointed. The edges of a node with very many neighbours stay spread over the tasks.
     """
-    edges = cut_lineage(edges.select("a", "b").where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    told = None
-    while True:
-        edges = cut_lineage(_star(_star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    edges = edges.select("a", "b").where(F.col("a") != F.col("b"))
+    edges = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = (F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    told = edges.agg(*state).first()
+    while told[0]:
+        edges = _star(_star(edges, True, 2 * told[0]), False, told[0])
+        now = edges.agg(*state).first()
         if now == told:
             break
         told = now

@@ -1,9 +1,18 @@
-"""Op 9: n-gram Jaccard join by MinHash bands with exact verification.
+"""Op 9: n-gram Jaccard join by a MinHash LSH forest with exact verification.
+
+Equal texts are one node. Every node gets TREES labels of DEPTH min-hashes. The
+labels of a tree, in sorted order, are a prefix trie: the nodes below a prefix are a
+run of neighbours, found by comparing each label with the next. The sorted labels are
+dealt by range, so a long run lies over several tasks, and only labels that share
+FLOOR min-hashes with a neighbour are kept.
+
+Each node then shortens its matched prefixes, level by level from DEPTH, until the
+texts similar to it are found with TARGET_RECALL. A tree in which the run below the
+shortened prefix has more than CROWD nodes is left at a longer prefix for as long as
+the other trees can make up for it; that many such trees also tell how much of the
+text is common matter, which makes the others less likely to match (`recall`). Where
+they can't make up for it the crowded runs are searched as well, in blocks.
 
-Equal texts are one node. Every node gets TREES signature labels of up to DEPTH
-min-hashes. Two nodes are candidates where a label is equal. The labels' one
-depth is fixed in advance, the greatest at which the recall at the threshold
-reaches TARGET_RECALL; no trie is built and no prefix is shortened by the data.
 Candidates whose signatures could belong to similar texts are tied into groups;
 inside a group every pair of nodes is compared once, exactly, on its shingle
 sets, in blocks of bounded size. Pairs are never emitted: a block returns each
@@ -28,30 +37,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import shingles
-from barloom.llm.common import cut_lineage, read_table
+from barloom.llm.common import cut_lineage, join_by_weight, read_table
 from barloom.llm.components import components
 
 THRESHOLD = 0.8
-TREES, DEPTH = 20, 5
+TREES, DEPTH = 24, 8
 TARGET_RECALL = 0.9999
-#: Candidates are tied if so large a share of their signatures is equal; five standard deviations below the threshold.
+#: Nodes of a run from which on a tree is crowded.
+CROWD = 512
+#: Candidates are tied if so large a share of their signatures is equal; more than five standard deviations below the threshold.
 TIE_SHARE = 0.6
 #: Nodes of a block; two blocks meet in one task.
-BLOCK = 256
+BLOCK = 1024
 #: Shingles of a block, about.
 BLOCK_SHINGLES = 2_000_000
-#: Members of a bucket that are compared in one task.
-BUCKET_BLOCK = 512
+#: Members of a run that are compared in one task.
+BUCKET_BLOCK = 2048
 #: Shingle columns of one step of a block comparison.
-COLUMNS = 8192
+COLUMNS = 4096
+
+
+def recall(depth: int, crowded: int = 0) -> float:
+    """Probability that a text at the threshold shares a prefix in one of the trees that are not crowded.
+
+    Crowded trees are those whose prefix is of common matter alone, so their share estimates the chance of that; what
+    is left of the chance to agree is spread over the others.
+    """
+    common = crowded / TREES
+    if common >= THRESHOLD**depth:
+        return 0.0
+    return 1 - (1 - (THRESHOLD**depth - common) / (1 - common)) ** (TREES - crowded)
+
 
+def _enough() -> int:
+    """The longest prefix that is short enough where no tree is crowded."""
+    return max((d for d in range(1, DEPTH + 1) if recall(d) >= TARGET_RECALL), default=1)
 
-def prefix_depth(threshold: float, trees: int, depth: int, target: float) -> int:
-    """The longest prefix at which a pair at the threshold shares one in some tree with the target probability."""
-    for k in range(depth, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= target:
-            return k
-    return 1
+
+#: The shortest prefix that makes up for crowded trees.
+FLOOR = max(1, _enough() - 1)
 
 
 def _multipliers() -> np.ndarray:
@@ -63,15 +87,15 @@ MULTIPLIERS = _multipliers()
 
 
 def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Min-hashes (texts x TREES*DEPTH, 32 bit) and shingle counts; rows without shingles are zero."""
+    """Min-hashes (texts x TREES*DEPTH, the last 16 bits) and shingle counts; rows without shingles are zero."""
     hashes, bounds = shingles.shingle_hashes(column)
     counts = np.diff(bounds)
-    out = np.zeros((len(counts), len(MULTIPLIERS)), np.uint32)
+    out = np.zeros((len(counts), len(MULTIPLIERS)), np.uint16)
     full = np.flatnonzero(counts)
     if len(full):
         with np.errstate(over="ignore"):
             for j, m in enumerate(MULTIPLIERS):
-                out[full, j] = np.minimum.reduceat(((hashes * m) >> np.uint64(32)).astype(np.uint32), bounds[:-1][full])
+                out[full, j] = np.minimum.reduceat(((hashes * m) >> np.uint64(32)).astype(np.uint32), bounds[:-1][full]).astype(np.uint16)
     return out, counts
 
 
@@ -100,20 +124,74 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return grouped.select(F.xxhash64("node_key").alias("node"), "node_key", "doc_id", "text_hash", "copies", "n_shingles", "signature")
 
 
-def _labels(depth: int):
-    def run(batches):
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)
-            if not len(sig):
-                continue
-            with np.errstate(over="ignore"):
-                key = np.zeros(sig.shape[:2], np.uint64) + np.arange(TREES, dtype=np.uint64)[None, :]
-                for d in range(depth):
-                    key = shingles.mix(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, d])
-            node = np.repeat(np.array(batch.column("node").to_pylist(), np.int64), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node)], names=["bucket", "node"])
+def _labels(batches):
+    """tree, label, node: a label is the tree's min-hashes, most significant byte first, so labels sort as a trie."""
+    for batch in batches:
+        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, DEPTH)
+        if not len(sig):
+            continue
+        labels = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * DEPTH), len(sig), [None, pa.py_buffer(sig.astype(">u2").tobytes())])
+        tree = np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)
+        node = np.repeat(batch.column("node").to_numpy(), TREES)
+        yield pa.RecordBatch.from_arrays([pa.array(tree), labels.cast(pa.binary()), pa.array(node)], names=["tree", "label", "node"])
+
+
+def _matched(batches):
+    """node, tree, depth, bucket: every prefix of FLOOR or more min-hashes that a label shares with a neighbour in the sorted order.
+
+    The first and the last label of a task count as matched, as their neighbours are in other tasks.
+    """
 
-    return run
+    def prefixes(tree, label, node, depth):
+        with np.errstate(over="ignore"):
+            key = shingles.mix(tree.astype(np.uint64) + np.uint64(1))
+            for d in range(1, DEPTH + 1):
+                key = shingles.mix(key * np.uint64(0xD6E8FEB86659FD93) + label[:, d - 1])
+                own = depth >= d
+                if d >= FLOOR and own.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node[own]), pa.array(tree[own]), pa.array(np.full(int(own.sum()), d, np.int32)), pa.array(key[own].view(np.int64))],
+                        names=["node", "tree", "depth", "bucket"],
+                    )
+
+    held, before = None, DEPTH
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = (
+            batch.column("tree").to_numpy(),
+            np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u2").reshape(-1, DEPTH).astype(np.uint64),
+            batch.column("node").to_numpy(),
+        )
+        tree, label, node = own if held is None else (np.concatenate([h, o]) for h, o in zip(held, own))
+        same = np.logical_and.accumulate((label[1:] == label[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1).sum(axis=1)
+        # The last one waits for its next neighbour.
+        yield from prefixes(tree[:-1], label[:-1], node[:-1], np.maximum(same, np.append(before, same[:-1])[: len(same)]))
+        held, before = (tree[-1:], label[-1:], node[-1:]), same[-1] if len(same) else before
+    if held is not None:
+        yield from prefixes(*held, np.array([DEPTH]))
+
+
+def shortened(trees: list[int], depths: list[int], sizes: list[int]) -> list[int]:
+    """Positions of the prefixes (tree, depth, nodes below) of one node at which it stops shortening."""
+    for depth in range(DEPTH, FLOOR - 1, -1):
+        crowded = {t for t, d, n in zip(trees, depths, sizes) if d == depth and n > CROWD}
+        if recall(depth, len(crowded)) >= TARGET_RECALL:
+            longer: dict[int, int] = {}
+            for k, (t, d, n) in enumerate(zip(trees, depths, sizes)):
+                if t in crowded and d > depth and n <= CROWD and (t not in longer or d < depths[longer[t]]):
+                    longer[t] = k
+            return [k for k, (t, d) in enumerate(zip(trees, depths)) if d == depth and t not in crowded] + list(longer.values())
+    return [k for k, d in enumerate(depths) if d == _enough()]
+
+
+def _stops(batches):
+    for batch in batches:
+        out = []
+        for found in batch.column("found").to_pylist():
+            kept = shortened([f["tree"] for f in found], [f["depth"] for f in found], [f["size"] for f in found])
+            out.extend(found[k]["bucket"] for k in kept)
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(out, np.int64)))], names=["bucket"])
 
 
 def _tie(nodes: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
@@ -176,19 +254,31 @@ def _ties(batches):
         yield _edges(pending)
 
 
+def candidate_runs(nodes: DataFrame) -> DataFrame:
+    """bucket, node, size: the members of every run at which a node stops shortening; of runs with the same members one."""
+    with_words = nodes.where("n_shingles > 0").select("node", "signature")
+    labels = with_words.mapInArrow(_labels, "tree int, label binary, node long")
+    forest = labels.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    prefixes = cut_lineage(forest.mapInArrow(_matched, "node long, tree int, depth int, bucket long"))
+    total = prefixes.count()
+    sizes = prefixes.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("size > 1")
+    sizes = cut_lineage(sizes)
+    sized = join_by_weight(prefixes, sizes.drop("members"), ["bucket"], "size", total)
+    # A node has TREES * (DEPTH - FLOOR + 1) prefixes at most.
+    by_node = sized.groupBy("node").agg(F.collect_list(F.struct("tree", "depth", "size", "bucket")).alias("found"))
+    stops = by_node.select("found").mapInArrow(_stops, "bucket long").distinct()
+    used = sizes.join(stops, "bucket").groupBy("size", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    return join_by_weight(prefixes.select("bucket", "node"), used, ["bucket"], "size", total)
+
+
 def candidate_ties(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) that span every set of nodes connected by plausible candidate pairs."""
-    depth = prefix_depth(THRESHOLD, TREES, DEPTH, TARGET_RECALL)
-    with_words = nodes.where("n_shingles > 0").select("node", "signature")
-    labels = with_words.mapInArrow(_labels(depth), "bucket long, node long")
-    shared = labels.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
-    # Of buckets with the same members, in several trees, one is enough.
-    shared = shared.where("size > 1").groupBy("size", "members").agg(F.min("bucket").alias("bucket")).drop("members")
+    runs = candidate_runs(nodes)
     # One byte of each min-hash is enough to tell apart texts that are far from similar.
-    short = with_words.mapInArrow(_shorten, "node long, short binary")
-    # A large bucket is split into pairs of blocks.
+    short = nodes.where("n_shingles > 0").select("node", "signature").mapInArrow(_shorten, "node long, short binary")
+    # A large run is split into pairs of blocks.
     parts = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
-    placed = labels.join(shared, "bucket").select("bucket", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"))
+    placed = runs.select("bucket", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("bucket", "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     dealt = placed.join(short, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
@@ -197,15 +287,21 @@ def candidate_ties(nodes: DataFrame) -> DataFrame:
 
 def _shorten(batches):
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
-        small = (sig & np.uint32(255)).astype(np.uint8)
+        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
+        small = (sig & np.uint16(255)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in small], pa.binary())], names=["node", "short"])
 
 
+#: Nodes that a task remembers to have made the set of; a set made twice does no harm.
+SEEN = 1_000_000
+
+
 def _shingle_sets(batches):
-    """Shingle sets of nodes, from rows whose text is the node's own; equal rows of a task once."""
+    """Shingle sets of nodes, from rows whose text is the node's own; equal rows that follow each other closely once."""
     seen = set()
     for batch in batches:
+        if len(seen) > SEEN:
+            seen.clear()
         keep = []
         for node, key, text in zip(*(batch.column(c).to_pylist() for c in ("node", "node_key", "text"))):
             fresh = node not in seen and hashlib.blake2b(text.encode("utf-8"), digest_size=16).digest() == key
@@ -321,23 +417,26 @@ def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFra
     sets = found.mapInArrow(_shingle_sets, "node long, root long, copies long, shingles binary")
     sizes = grouped_nodes.groupBy("root").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("volume"))
     parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("volume") / BLOCK_SHINGLES)).cast("int")
-    placed = sets.join(sizes.select("root", parts.alias("parts")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = cut_lineage(grouped_nodes.select("node", "root"))
+    placed = join_by_weight(placed, sizes.select("root", "size", parts.alias("parts")), ["root"], "size", placed.count()).select("node", "parts")
+    placed = sets.join(placed, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("root", "node", "copies", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_compared, _LINKS)
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """Per distinct text: node_key, root (the class), class_id (its least doc_id), n_links (documents with a similar text), n_texts (other similar texts)."""
+    """Per distinct text: node_key, copies, root (the class), class_id (its least doc_id), n_links (documents with a similar text), n_texts (other similar texts)."""
     nodes = cut_lineage(distinct_texts(docs))
     groups = cut_lineage(components(candidate_ties(nodes)))
     links = cut_lineage(exact_links(docs, nodes, groups))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     roots = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     joined = nodes.drop("signature", "text_hash").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = joined.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    return joined.join(names, "root").select(
-        "node_key", "root", "class_id", "class_size",
+    joined = cut_lineage(joined)
+    names = joined.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))
+    return join_by_weight(joined, names, ["root"], "n", joined.count()).select(
+        "node_key", "root", "class_id", "class_size", "copies",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_texts"),
     )
@@ -352,7 +451,8 @@ def _keys(batches):
 def _classes_of_rows(docs: DataFrame) -> DataFrame:
     text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash).mapInArrow(_keys, "doc_id long, text_hash long, node_key binary")
-    return keyed.join(classify(docs), "node_key")
+    keyed = cut_lineage(keyed)
+    return join_by_weight(keyed, cut_lineage(classify(docs)), ["node_key"], "copies", keyed.count())
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import zlib
@@ -238,9 +239,63 @@ def test_blocks_together_count_what_one_block_counts():
 
 
 def test_prefixes_are_shortened_to_the_recall():
-    k = neardup.prefix_depth(0.8, neardup.TREES, neardup.DEPTH, neardup.TARGET_RECALL)
-    recall = lambda d: 1 - (1 - 0.8**d) ** neardup.TREES
-    assert recall(k) >= neardup.TARGET_RECALL > recall(k + 1)
+    free = lambda d: 1 - (1 - 0.8**d) ** neardup.TREES
+    stop = neardup._enough()
+    assert free(stop) >= neardup.TARGET_RECALL > free(stop + 1) and neardup.FLOOR == stop - 1
+    depths = range(neardup.FLOOR, neardup.DEPTH + 1)
+    tries = lambda size: [(t, d, size(t, d)) for t in range(neardup.TREES) for d in depths]
+    chosen = lambda rows: [(rows[k][0], rows[k][1]) for k in neardup.shortened(*map(list, zip(*rows)))]
+    assert chosen(tries(lambda t, d: 2)) == [(t, stop) for t in range(neardup.TREES)]
+    # Two crowded trees are left at longer prefixes, and all others are shortened further for it.
+    few = chosen(tries(lambda t, d: 10_000 if t < 2 and d < 7 else 3))
+    assert sorted(few) == sorted([(0, 7), (1, 7), *((t, neardup.FLOOR) for t in range(2, neardup.TREES))])
+    assert neardup.recall(neardup.FLOOR, 2) >= neardup.TARGET_RECALL > neardup.recall(stop, 2)
+    # Nothing makes up for many crowded trees: they are searched.
+    assert chosen(tries(lambda t, d: 10_000)) == [(t, stop) for t in range(neardup.TREES)]
+    assert neardup.recall(8, neardup.TREES) == 0
+
+
+def test_sorted_tries_give_the_runs_of_every_prefix():
+    rng = np.random.default_rng(9)
+    labels = sorted((int(t), tuple(x)) for t, x in zip(rng.integers(0, 2, 300), rng.integers(0, 2, (300, neardup.DEPTH))))
+    batches, at = [], 0
+    while at < 300:
+        n = int(rng.integers(0, 40))
+        part = labels[at : at + n]
+        raw = [np.array(x, ">u2").tobytes() for _, x in part]
+        batches.append(pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.int32()), pa.array(raw, pa.binary()), pa.array(range(at, at + len(part)), pa.int64())], names=["tree", "label", "node"]))
+        at += n
+    found = {}
+    for batch in neardup._matched(iter(batches)):
+        for r in batch.to_pylist():
+            found.setdefault(r["bucket"], set()).add(r["node"])
+    expected = {}
+    for k, (t, x) in enumerate(labels):
+        for d in range(neardup.FLOOR, neardup.DEPTH + 1):
+            expected.setdefault((t, x[:d]), set()).add(k)
+    runs = sorted(sorted(v) for v in expected.values() if len(v) > 1)
+    assert sorted(sorted(v) for v in found.values() if len(v) > 1) == runs
+
+
+@pytest.mark.parametrize("crowd", [neardup.CROWD, 3])
+def test_recall_of_the_forest_on_a_table(spark, crowd):
+    """Every text whose id is divisible by 50 against all rows: links counted by brute force."""
+    table = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(table) if os.path.exists(table) else odd_docs(spark, *variants())
+    held, neardup.CROWD = neardup.CROWD, crowd
+    try:
+        found = {r["doc_id"]: r["n_links"] for r in neardup.similar_documents(docs.where("doc_id IS NOT NULL")).collect()}
+    finally:
+        neardup.CROWD = held
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text").collect()
+    sets = [brute_shingles(r["text"]) for r in rows]
+    wanted = got = 0
+    for i, r in enumerate(rows):
+        if r["doc_id"] % 50 == 0:
+            links = sum(k != i and ((r["text"] or "") == (o["text"] or "") or bool(sets[i]) and 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k])) for k, o in enumerate(rows))
+            wanted, got = wanted + links, got + min(links, found[r["doc_id"]])
+            assert found[r["doc_id"]] <= links
+    assert got >= 0.9 * wanted and got == wanted
 
 
 @pytest.fixture(scope="module")
