@@ -30,8 +30,9 @@ from barloom.report import write_text_report
 from barloom.schema import BAR_COLUMNS, DAYS_SCHEMA, PROFILE, RULE_VERSION, VALIDATION_VERSION
 from barloom.sources.listing import scan_sources, stat_signature
 from barloom.sources.records import read_records
-from barloom.state import State, output_lock, own_output, safe_path, write_json
-from barloom.streaming.progress import Issues, Progress
+from barloom.files import write_json
+from barloom.state import State, output_lock, own_output, safe_path
+from barloom.streaming.progress import RunLog
 from barloom.sources.local import local_frame
 
 COUNTERS = (
@@ -51,9 +52,9 @@ def unverified() -> dict:
 
 
 class Run:
-    def __init__(self, spark: SparkSession, request: Request, action: str, report: dict, progress: Progress, cancel):
-        self.spark, self.request, self.action, self.report, self.progress, self.cancel = spark, request, action, report, progress, cancel
-        self.counts, self.issues, self.run_id = report["counts"], report["issues"], report["run_id"]
+    def __init__(self, spark: SparkSession, request: Request, action: str, report: dict, log: RunLog, cancel):
+        self.spark, self.request, self.action, self.report, self.log, self.cancel = spark, request, action, report, log, cancel
+        self.counts, self.run_id = report["counts"], report["run_id"]
         self.blocked: set[str] = set()
         self.checked: set[str] = set()
         self.codes: dict[str, set[str]] = {}
@@ -78,11 +79,11 @@ class Run:
 
     def check_phase(self, root: Path, sources: list[dict]) -> bool:
         """False if the action ends here."""
-        self.progress.phase("check")
+        self.log.phase("check")
         self.root, self.state = root, State(self.spark, root)
         journals = list(safe_path(root, ".journal").glob("*.json"))
         if self.action == "convert":
-            recover(self.state, self.request.source, self.report)
+            recover(self.state, self.request.source, self.report, self.log)
         elif self.action == "verify" and journals:
             raise BarError("pending-recovery-run-convert")
         if self.action == "scan":
@@ -92,7 +93,7 @@ class Run:
             try:
                 self.evidence, self.evidence_hash = evidence.load_evidence(self.request.evidence)
             except BarError as exc:
-                self.issues.add(exc)
+                self.log.issue(exc)
                 self.evidence_failed = True
         self.needed = {(c["code"], c["period"]) for c in (self.evidence or {}).get("comparisons", ())}
         for s in sources:
@@ -111,7 +112,7 @@ class Run:
         known = self.frame(names)
         gone = sorted(r["source"] for r in changes.missing_sources(known, self.frame(self.sources)).collect())
         for name in gone:
-            self.issues.add("source-missing", self.request.source / name)
+            self.log.issue("source-missing", self.request.source / name)
         if gone:
             self.block(blocking.blocked_by_source(self.days, self.frame(gone)))
 
@@ -144,25 +145,25 @@ class Run:
         self.counts["checked_partitions"] += len(self.checked)
 
     def _tampered(self, name: str, why) -> None:
-        self.issues.add(f"output-tampered: {why}", self.root / name)
+        self.log.issue(f"output-tampered: {why}", self.root / name)
         self.blocked.add(name)
 
     # -- source --------------------------------------------------------------
 
     def source_phase(self) -> None:
-        self.progress.phase("source")
+        self.log.phase("source")
         reused = self._reusable() if self.action == "convert" and not self.evidence_failed else {}
         total, changed = len(self.sources), []
         self.reused: dict[str, tuple] = {}
         for index, (name, s) in enumerate(self.sources.items(), 1):
             self.check_cancel()
-            self.progress.emit("source", index=index, total=total, code=s["code"], period=s["period"])
+            self.log.emit("source", index=index, total=total, code=s["code"], period=s["period"])
             if name in reused:
                 self._reuse(name, s, reused[name])
             else:
                 changed.append(name)
                 continue
-            self.progress.emit("source_complete", index=index, total=total, code=s["code"], period=s["period"])
+            self.log.emit("source_complete", index=index, total=total, code=s["code"], period=s["period"])
         self.candidates: dict[str, dict] = {}
         self.pending = local_frame(self.spark, [], DAYS_SCHEMA)
         if changed:
@@ -170,7 +171,7 @@ class Run:
         at = {name: i for i, name in enumerate(self.sources, 1)}
         for name in changed:
             s = self.sources[name]
-            self.progress.emit("source_complete", index=at[name], total=total, code=s["code"], period=s["period"])
+            self.log.emit("source_complete", index=at[name], total=total, code=s["code"], period=s["period"])
 
     def _reusable(self) -> dict[str, tuple]:
         """source -> (counter, days, stored warnings) for sources that need no reading."""
@@ -227,17 +228,17 @@ class Run:
         try:
             check_sources(self.request.source, [self.identity[name]])
         except (BarError, OSError) as exc:
-            self.issues.add(exc, s["path"])
+            self.log.issue(exc, s["path"])
             self.block(blocking.blocked_by_source(self.days, self.frame([name])))
             return
         self.counts[counter] += 1
         self.counts["reused_days"] += days
         self.reused[name] = (counter, days)
-        self.issues.extend(dict(w) for w in warnings)
+        self.log.issues(dict(w) for w in warnings)
 
     def _fail(self, name: str, reason, details: dict | None = None) -> None:
         self.failed[name] = reason
-        self.issues.add(reason, self.sources[name]["path"], **(details or {}))
+        self.log.issue(reason, self.sources[name]["path"], **(details or {}))
 
     def _read_changed(self, names: list[str]) -> None:
         """Read, judge and fingerprint all changed sources; leaves pending days and candidates for completion."""
@@ -297,7 +298,7 @@ class Run:
                     self.bad_days[name] = told[True]["days"]
                 continue
             warnings[name] = [{"category": "warning", "reason": "invalid-ohlc-outside-scope", **told[False], "path": s["path"]}] if False in told else []
-            self.issues.extend(dict(w) for w in warnings[name])
+            self.log.issues(dict(w) for w in warnings[name])
             sound.append(name)
         self._compare_days(sound, warnings, records, inside, stage)
 
@@ -367,9 +368,9 @@ class Run:
             }
             if external["status"] == "mismatch":
                 self.evidence_failed = True
-                self.issues.add("evidence-mismatch-or-missing-scope")
+                self.log.issue("evidence-mismatch-or-missing-scope")
         self.report["verification"]["external_evidence"] = external
-        self.progress.phase("publish")
+        self.log.phase("publish")
         affected: dict[str, set[str]] = {}
         for r in blocking.affected_sources(self.pending, self.days).collect():
             affected.setdefault(r["partition"], set()).add(r["source"])
@@ -380,9 +381,9 @@ class Run:
         try:
             for index, name in enumerate(names, 1):
                 self.check_cancel()
-                self.progress.emit("partition", index=index, total=len(names), path=name)
+                self.log.emit("partition", index=index, total=len(names), path=name)
                 if name not in ready:
-                    self.issues.add("partition-unpublishable", name, blocking_codes=sorted(self._causes(name, affected[name])))
+                    self.log.issue("partition-unpublishable", name, blocking_codes=sorted(self._causes(name, affected[name])))
                     self.blocked.add(name)
                 else:
                     try:
@@ -396,9 +397,9 @@ class Run:
                             journals.append(publish(self.root, self.request.source, self.run_id, name, *outcome, ready[name]))
                             self.counts["written_partitions"] += 1
                     except FAILURES as exc:
-                        self.issues.add(exc, name)
+                        self.log.issue(exc, name)
                         self.blocked.add(name)
-                self.progress.emit("partition_complete", index=index, total=len(names), path=name)
+                self.log.emit("partition_complete", index=index, total=len(names), path=name)
         finally:
             # Also after a cancellation: what was swapped in is complete and checked.
             if journals:
@@ -519,12 +520,12 @@ class Run:
                 if folder_signature(path) != meta["partitions"][p]["signature"]:
                     suspect[p] = path
             except (BarError, OSError) as exc:
-                self.issues.add(exc, p)
+                self.log.issue(exc, p)
                 self.blocked.add(p)
         found = folder_hashes(self.spark, suspect)
         for p in suspect:
             if found.get(p) != meta["partitions"][p]["sha256"]:
-                self.issues.add("output-tampered", p)
+                self.log.issue("output-tampered", p)
                 self.blocked.add(p)
         for name, (counter, days) in self.reused.items():
             self.check_cancel()
@@ -556,7 +557,7 @@ class Run:
             check_sources(self.request.source, [self.identity[name]])
             return True
         except (BarError, OSError) as exc:
-            self.issues.add(exc, self.request.source / name)
+            self.log.issue(exc, self.request.source / name)
             return False
 
     def _grant_receipts(self, granted: list[str]) -> None:
@@ -605,24 +606,23 @@ def run(spark: SparkSession, request: Request, action: str = "convert", progress
         "counts": dict.fromkeys(COUNTERS, 0), "issues": [],
         "paths": {"source": str(request.source), "output": str(request.output), "report": None, "text_report": None}, "verification": unverified(),
     }
-    tracker = Progress(report, progress)
-    report["issues"] = Issues(tracker)
+    log = RunLog(report, progress)
     consistency = report["verification"]["conversion_consistency"]
     consistency["validation_scope"] = {"start": request.start, "end": request.end}
     try:
-        tracker.phase("scan")
+        log.phase("scan")
         if action not in ("convert", "scan", "verify"):
             raise BarError("invalid-action")
         sources, rejects = scan_sources(spark, request)
         request = replace(request, source=request.source.resolve(strict=True), output=request.output.absolute())
-        report["issues"].extend(rejects)
+        log.issues(rejects)
         report["counts"]["source_files"] = len(sources)
         with output_lock(request.output):
             root = own_output(request)
-            job = Run(spark, request, action, report, tracker, cancel)
+            job = Run(spark, request, action, report, log, cancel)
             try:
                 job.check_cancel()
-                tracker.emit("scan_complete", source_files=len(sources), issue_count=len(rejects))
+                log.emit("scan_complete", source_files=len(sources), issue_count=len(rejects))
                 if job.check_phase(root, sources):
                     try:
                         job.source_phase()
@@ -643,18 +643,18 @@ def run(spark: SparkSession, request: Request, action: str = "convert", progress
                 report["status"] = "cancelled"
             except FAILURES as exc:
                 report["status"] = "failed"
-                report["issues"].add(_first_line(exc))
-            tracker.phase("report")
+                log.issue(_first_line(exc))
+            log.phase("report")
             report["paths"] |= {"report": str(safe_path(root, f"reports/{report['run_id']}.json")), "text_report": str(safe_path(root, f"reports/{report['run_id']}.txt"))}
-            tracker.finish()
+            log.close()
             write_text_report(Path(report["paths"]["text_report"]), report)
             write_json(Path(report["paths"]["report"]), report)
     except FAILURES as exc:
         report["status"] = "failed"
         report["paths"]["report"] = None
-        report["issues"].add(_first_line(exc))
+        log.issue(_first_line(exc))
     finally:
-        tracker.finish()
+        log.close()
     return report
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from barloom.errors import BarError
 from barloom.schema import BAR_COLUMNS, PARTITION_COLUMNS, STORED_SCHEMA
 from barloom.sources.listing import check_readable, stat_signature
-from barloom.state import State, safe_path, sync_folder, write_json
+from barloom.files import sync_path, write_json
+from barloom.state import State, safe_path
 from barloom.sources.local import local_frame
 
 
@@ -104,12 +105,14 @@ def publish(root: Path, source_root: Path, run: str, partition: str, staged: Pat
         "version": 1, "run": run, "source_root": str(source_root.resolve()), "partition": partition, "staged": str(staged.relative_to(root)),
         "backup": str(backup.relative_to(root)), "old_sha256": hashes[0], "sha256": hashes[1], "digest": digest, "sources": sources,
     }
+    for part in (*data_files(staged), staged):
+        sync_path(part)
     write_json(_journal_path(root, partition), journal)
     check_sources(source_root, sources)
     if target.exists():
         os.replace(target, backup)
     os.replace(staged, target)
-    sync_folder(target.parent)
+    sync_path(target.parent)
     return journal
 
 
@@ -135,7 +138,7 @@ def commit_published(state: State, journals: list[dict]) -> None:
     state.commit(days.join(fresh.select("source", "day"), ["source", "day"], "left_anti").select(*days.columns).unionByName(fresh))
 
 
-def recover(state: State, source_root: Path, report: dict) -> None:
+def recover(state: State, source_root: Path, report: dict, log) -> None:
     """Decide every journal that a crash left: go forward, back, or into quarantine."""
     root, settled, done = state.root, set(), []
     journals = [json.loads(p.read_text(encoding="utf-8")) for p in sorted(safe_path(root, ".journal").glob("*.json"))]
@@ -162,7 +165,7 @@ def recover(state: State, source_root: Path, report: dict) -> None:
                 report["counts"]["recovery_revalidated_files"] += len(j["sources"])
             except (BarError, OSError) as exc:
                 if committed:
-                    report["issues"].add(f"source-changed-since-committed-publication: {exc}", partition, "warning")
+                    log.issue(f"source-changed-since-committed-publication: {exc}", partition, "warning")
                     report["counts"]["recovered_partitions"] += 1
                 else:
                     if j["old_sha256"] is not None and backups.get(partition) != j["old_sha256"]:
@@ -173,7 +176,7 @@ def recover(state: State, source_root: Path, report: dict) -> None:
                         known_signature = state.meta["partitions"].get(partition)
                         if known_signature:
                             known_signature["signature"] = folder_signature(target)
-                    report["issues"].add(f"recovery-rejected: {exc}", partition)
+                    log.issue(f"recovery-rejected: {exc}", partition)
             else:
                 report["counts"]["recovered_partitions"] += 1
                 if not committed:

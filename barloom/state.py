@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import fcntl
 import json
-import os
 import shutil
 from contextlib import contextmanager
 from pathlib import Path
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.config import Request
 from barloom.errors import BarError
+from barloom.files import write_json, write_text
 from barloom.schema import DAYS_SCHEMA, PROFILE, RECEIPT_DAYS_SCHEMA, RULE_VERSION
 from barloom.sources.local import local_frame
 
@@ -37,29 +37,6 @@ def safe_path(root: Path, relative: str = "") -> Path:
     return path
 
 
-def sync_folder(path: Path) -> None:
-    handle = os.open(path, os.O_RDONLY)
-    try:
-        os.fsync(handle)
-    finally:
-        os.close(handle)
-
-
-def write_text(path: Path, text: str) -> None:
-    """Durable and atomic."""
-    draft = path.with_name(path.name + ".tmp")
-    with draft.open("w", encoding="utf-8") as out:
-        out.write(text)
-        out.flush()
-        os.fsync(out.fileno())
-    os.replace(draft, path)
-    sync_folder(path.parent)
-
-
-def write_json(path: Path, value) -> None:
-    write_text(path, json.dumps(value, ensure_ascii=False, indent=2, allow_nan=False))
-
-
 @contextmanager
 def output_lock(root: Path):
     """One writer an output; a second one is refused at once."""

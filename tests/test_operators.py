@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.config import Request, iso_date, load_settings, save_settings
+from barloom.config import Request, Settings, iso_date, load_settings, save_settings
 from barloom.errors import BarError
 from barloom.functions.digest import group_digests
 from barloom.operators import decode, evidence, fingerprint, scope, validate
@@ -147,7 +147,7 @@ def test_bad_requests(tmp_path):
 def test_settings_round_trip_and_keep_the_old_file(tmp_path):
     path = tmp_path / "s.json"
     save_settings(path, source="in", output=str(tmp_path / "out"), period="1d")
-    assert load_settings(path) == {"source": str(tmp_path / "in"), "output": str(tmp_path / "out"), "period": "1d"}
+    assert load_settings(path) == Settings(str(tmp_path / "in"), str(tmp_path / "out"), "1d")
     before = path.read_text()
     with pytest.raises(BarError):
         save_settings(path, source="", output="x", period="1d")
@@ -156,7 +156,7 @@ def test_settings_round_trip_and_keep_the_old_file(tmp_path):
         path.write_text(bad)
         with pytest.raises(BarError, match="invalid-config"):
             load_settings(path)
-    assert load_settings(tmp_path / "none.json")["period"] == "both"
+    assert load_settings(tmp_path / "none.json").periods == ("1d", "1m")
     with pytest.raises(BarError, match="config-not-found"):
         load_settings(tmp_path / "none.json", required=True)
 
@@ -191,32 +191,57 @@ def test_output_guards(tmp_path):
 def test_report_text_and_progress():
     from barloom.plans.engine import COUNTERS, unverified
     from barloom.report import format_report
-    from barloom.streaming.progress import Issues, Progress
+    from barloom.streaming.progress import RunLog
 
     report = {
-        "action": "convert", "status": "partial", "run_id": "r", "elapsed_seconds": 1.0, "timings": {"scan": 0.5}, "issue_counts": {}, "counts": dict.fromkeys(COUNTERS, 0),
+        "action": "convert", "status": "partial", "run_id": "r", "elapsed_seconds": 1.0, "timings": {"scan": 0.5}, "issue_counts": {}, "issues": [], "counts": dict.fromkeys(COUNTERS, 0),
         "scope": {"source": "s", "output": "o", "periods": ["1d"], "codes": [], "start": None, "end": None, "mode": "full"}, "verification": unverified(), "paths": {"report": "p"},
     }
     events = []
-    issues = report["issues"] = Issues(Progress(report, events.append))
-    issues.add("partition-unpublishable", "data/x", blocking_codes=["600000.SH"])
-    issues.extend([{"category": "excluded", "reason": "unclassified"}])
+    log = RunLog(report, events.append)
+    log.issue("partition-unpublishable", "data/x", blocking_codes=["600000.SH"])
+    log.issues([{"category": "excluded", "reason": "unclassified"}])
     text = format_report(report)
     assert "blocked by: 600000.SH" in text and "errors: 1" in text and "excluded: 1" in text
     assert [e["event"] for e in events] == ["issue"] and report["issue_counts"] == {"error": 1, "excluded": 1}
 
 
 def test_flags_go_before_settings_and_defaults(tmp_path):
-    from barloom.cli import _parser, request_of
+    from barloom.cli import parser, resolve
 
     settings = tmp_path / "s.json"
     save_settings(settings, source=str(tmp_path / "in"), output=str(tmp_path / "out"), period="1m")
-    parse = lambda *a: request_of(_parser().parse_args(["convert", "--config", str(settings), *a]))
+    parse = lambda *a: resolve(vars(parser().parse_args(["convert", "--config", str(settings), *a])))
     assert parse() == Request(tmp_path / "in", tmp_path / "out", ("1m",))
     other = parse("--source", str(tmp_path / "x"), "--period", "both", "--code", "600000.sh", "--mode", "range", "--start", "20260922", "--end", "2026-09-23")
     assert (other.source.name, other.periods, other.codes, other.bounds) == ("x", ("1d", "1m"), ("600000.SH",), ("20260922", "20260923"))
     with pytest.raises(BarError, match="range requires"):
         parse("--mode", "range")
+    with pytest.raises(BarError, match="config-required"):
+        resolve({"action": "scan", "output": tmp_path})
+
+
+def test_exit_codes_and_what_is_said():
+    from barloom.report import outcome
+
+    report = {"action": "convert", "status": "partial", "paths": {"report": "r.json"}, "issues": [{"category": "error", "reason": "source-missing", "path": "a"}, {"category": "warning", "reason": "w"}]}
+    assert outcome(report) == (["convert: partial", "r.json"], ["source-missing: a"], 1)
+    assert outcome(report | {"status": "complete", "issues": []}).code == 0
+    assert outcome(report | {"status": "failed", "paths": {"report": None}}) == (["convert: failed"], ["source-missing: a"], 1)
+
+
+def test_commands_exit_by_status(spark, tmp_path, capsys, monkeypatch):
+    from barloom import cli
+
+    monkeypatch.chdir(tmp_path)
+    write_dat(tmp_path / "install/datadir/SH/86400/600000.DAT", row())
+    flags = ["--source", str(tmp_path / "install/datadir"), "--output", str(tmp_path / "out"), "--period", "1d"]
+    assert cli.main(["scan", *flags]) == 0 and capsys.readouterr().out.startswith("scan: complete\n")
+    assert cli.main(["scan", *flags[:2], "--output", str(tmp_path / "install/out")]) == 1
+    assert "output-path-overlaps-source-installation" in capsys.readouterr().err
+    with pytest.raises(SystemExit) as refused:
+        cli.main(["convert", "--mode", "range", "--start", "20260922", *flags])
+    assert refused.value.code == 2
 
 
 def test_queries_and_sql_go_together():
