@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +25,30 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """What is planned inside drops its shuffle files when it has run."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder."""
+    """Checkpoint into the shared folder; the shuffle files behind it go once it is written, as nothing is computed from them again."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with _shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table into the shared folder; the table read back, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

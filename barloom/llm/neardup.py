@@ -48,11 +48,11 @@ CROWD = 512
 #: Candidates are tied if so large a share of their signatures is equal; more than five standard deviations below the threshold.
 TIE_SHARE = 0.6
 #: Nodes of a block; two blocks meet in one task.
-BLOCK = 1024
+BLOCK = 256
 #: Shingles of a block, about.
 BLOCK_SHINGLES = 2_000_000
 #: Members of a run that are compared in one task.
-BUCKET_BLOCK = 2048
+BUCKET_BLOCK = 512
 #: Shingle columns of one step of a block comparison.
 COLUMNS = 4096
 
