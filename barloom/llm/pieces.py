@@ -5,8 +5,8 @@ adjacent pair of pieces is what merging gives for the two alone. So the best pat
 to a boundary is known from the best paths to the boundaries at most one piece
 length before it: one piece ends there whose pair with the last piece of its own
 best path is stable. The encoder keeps back pointers for the boundaries that
-are not committed, and commits ids whenever the paths of all boundaries that a
-coming piece can start from lead through one boundary. A boundary before a space
+are not committed, and counts the living paths through each; whenever all of them
+lead through one boundary, the ids up to it are committed. A boundary before a space
 mark, or beside a character that no piece holds, is such a boundary at once; the
 ids between two of these are cached. Ids equal those of the model's own library.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from array import array
 
 import numpy as np
@@ -62,76 +63,81 @@ def load_pieces(path: str) -> tuple[list[tuple[str, float]], list[int], list[byt
 
 
 class StreamingEncoder:
-    """Encodes one segment, given in parts, with a window of uncommitted boundaries."""
+    """Encodes one segment, given in parts, with a window of uncommitted boundaries.
+
+    A boundary that no coming piece can start from and that no later path goes through is dead. When the committed
+    boundary has one living successor left, all surviving paths lead through that one, and it is committed in turn.
+    """
 
     def __init__(self, tables: "Tables"):
         self.tables = tables
-        self.text = ""  # uncommitted characters
-        self.last: list[int] = [-1]  # last piece of the best path to each boundary; the first is committed
+        self.text = ""  # from the committed boundary on; earlier characters go at the end of a part
+        self.root = 0  # the committed boundary
+        self.before = -1  # the piece before it
+        self.last: list[int] = [-1]  # last piece of the best path to each boundary
         self.back: list[int] = [0]
-        self.before = -1  # piece before the committed boundary
+        self.paths: list[int] = [0]  # living boundaries whose back pointer is this one
+        self.dead: list[bool] = [False]
         self.committed = array("i")
 
     def feed(self, part: str) -> None:
         t = self.tables
         self.text += part
-        text, last, back = self.text, self.last, self.back
-        j = len(last)
-        while j <= len(text):
-            for i in range(max(0, j - t.longest), j):
+        text, last, back, paths = self.text, self.last, self.back, self.paths
+        for j in range(len(last), len(text) + 1):
+            for i in range(max(self.root, j - t.longest), j):
                 piece = t.ids.get(text[i:j])
                 if piece is None:
                     continue
-                left = last[i] if i else self.before
-                if left < 0 and i:
-                    continue
+                left = last[i] if i > self.root else self.before
                 if left < 0 or t.stable(left, piece):
                     last.append(piece)
                     back.append(i)
+                    paths[i] += 1
                     break
             else:
-                # No piece ends here: a character outside the alphabet, spelt in bytes.
-                last.append(-2)
+                # No piece ends here: a character outside the alphabet, spelt in bytes. What stands on either side is apart.
+                self._commit_path(j - 1)
+                self.committed.extend(t.spell(text[j - 1]))
+                last.append(-1)
                 back.append(j - 1)
-            if last[j] == -2 or len(last) > 4 * t.longest and j % t.longest == 0:
-                self._commit(j)
-                text, last, back = self.text, self.last, self.back
-            j = len(last)
-
-    def _path(self, j: int) -> list[int]:
-        out = []
-        while j:
-            out.append(j)
-            j = self.back[j]
-        return out[::-1]
-
-    def _commit(self, j: int) -> None:
-        """Commit up to the boundary through which all paths to the last boundaries up to j lead."""
-        if self.last[j] == -2:
-            # What stands on either side of a spelt character is apart.
-            self._emit(self.back[j])
-            self.committed.extend(self.tables.spell(self.text[0]))
-            self.text, self.last, self.back, self.before = self.text[1:], [-1], [0], -1
-            return
-        alive = set(range(max(0, j - self.tables.longest + 1), j + 1))
-        while len(alive) > 1:
-            top = max(alive)
-            alive.remove(top)
-            alive.add(self.back[top])
-        self._emit(alive.pop())
-
-    def _emit(self, upto: int) -> None:
-        if not upto:
-            return
-        path = self._path(upto)
-        self.committed.extend(self.last[k] for k in path)
-        self.before = self.last[upto]
-        self.text = self.text[upto:]
-        self.last = [-1, *self.last[upto + 1 :]]
-        self.back = [0, *(b - upto for b in self.back[upto + 1 :])]
+                self.root, self.before = j, -1
+            paths.append(0)
+            self.dead.append(False)
+            if j - t.longest >= self.root:
+                self._leave(j - t.longest)
+        self._trim()
+
+    def _leave(self, boundary: int) -> None:
+        """No coming piece starts at the boundary or before it."""
+        last, back, paths = self.last, self.back, self.paths
+        k = boundary
+        while k > self.root and not paths[k]:
+            self.dead[k] = True
+            k = back[k]
+            paths[k] -= 1
+        while self.root <= boundary and paths[self.root] == 1:
+            follows = range(self.root + 1, min(self.root + self.tables.longest, len(last) - 1) + 1)
+            self.root = next(c for c in follows if back[c] == self.root and not self.dead[c])
+            self.before = last[self.root]
+            self.committed.append(self.before)
+
+    def _commit_path(self, boundary: int) -> None:
+        path = []
+        while boundary > self.root:
+            path.append(self.last[boundary])
+            boundary = self.back[boundary]
+        self.committed.extend(path[::-1])
+
+    def _trim(self) -> None:
+        """Forget what lies before the committed boundary."""
+        gone = self.root
+        if gone:
+            self.text, self.last, self.paths, self.dead, self.root = self.text[gone:], self.last[gone:], self.paths[gone:], self.dead[gone:], 0
+            self.back = [max(0, b - gone) for b in self.back[gone:]]
 
     def finish(self) -> array:
-        self._emit(len(self.text))
+        self._commit_path(len(self.text))
         return self.committed
 
 
@@ -259,20 +265,21 @@ class Tables:
         return raw[1:].decode("utf-8")
 
 
-_TABLES: dict[bytes, Tables] = {}
+_TABLES: dict[str, Tables] = {}
 
 
 def _tables(model) -> Tables:
     """The tables of a broadcast model, made once a worker."""
-    key = id(model)
+    key, parts = model.value
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = Tables(*model.value)
+        _TABLES[key] = Tables(*parts)
     return _TABLES[key]
 
 
 def _broadcast(spark: SparkSession, path: str | None):
-    return spark.sparkContext.broadcast(load_pieces(path or default_model()))
+    """The model's pieces under a name of their own, by which workers know whether they have them."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, load_pieces(path or default_model())))
 
 
 #: Ids of one Arrow batch of output, about.

@@ -324,7 +324,8 @@ def test_long_runs_of_spelt_characters(tables):
     known = [c for c in ideographs if c in tables.ids]
     unknown = [c for c in ideographs if c not in tables.ids]
     rng = random.Random(8)
-    runs = ["\t" * 10_000, "\0" * 10_000, "".join(rng.choices(unknown, k=10_000))]
+    runs = [unknown[0], unknown[0] * 1000, unknown[1] * 100_000, "\ue000" * 100_000, "𠀀🫠" * 5000, "".join(rng.choices(known, k=100_000))]
+    runs += ["\t" * 10_000, "\0" * 10_000, "".join(rng.choices(unknown, k=10_000))]
     runs += ["".join(rng.choices(a, k=10_000)) for a in (unknown + 8 * known, unknown[:5] + ["\t", "\0", "the", "ing"], ["\t", "ab", "12.5", "-"])]
     for text in runs:
         assert np.frombuffer(tables.encode(text), np.int32).tolist() == library.encode(text), text[:20]
@@ -344,6 +345,28 @@ def test_streaming_commits_within_a_window(tables):
     assert widest < 400 and encoder.finish() == whole.finish()
 
 
+def test_ids_are_committed_when_all_paths_meet(tables):
+    """After every character: a boundary is committed as soon as, and only when, all paths to the window lead through it."""
+    rng = random.Random(13)
+    for size in (200, 400):
+        encoder, paths = pieces.StreamingEncoder(tables), [()]
+        text = "".join(rng.choices("theincluprsation-=(1" + "\t" * (size == 400), k=size))
+        for j, char in enumerate(text, 1):
+            encoder.feed(char)
+            done = len(encoder.committed)
+            fresh = [len(encoder.text) - 1 - k for k in range(min(tables.longest, len(encoder.text)))]
+            trails = []
+            for at in (b + 1 for b in fresh):
+                trail = {at}
+                while at:
+                    at = encoder.back[at]
+                    trail.add(at)
+                trails.append(trail)
+            if len(encoder.text) > tables.longest:
+                assert set.intersection(*trails) == {0}
+            assert done or j <= 2 * tables.longest
+
+
 def test_encoding_odd_rows(spark):
     docs = odd_docs(spark, "some text", "▁ é 😀")
     rows = pieces.encode_digests(docs).collect()
