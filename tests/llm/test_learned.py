@@ -11,7 +11,7 @@ import pytest
 from barloom.llm import neardup, pieces, quality, shingles, toxicity
 from barloom.llm.labelled import training_labels
 from tests.llm.helpers import nothing, odd_docs
-from tests.llm.test_text_search import WORD, brute_contamination, brute_spans, words
+from tests.llm.test_text_search import brute_contamination, brute_secrets, brute_spans, brute_terms, words
 
 
 @pytest.fixture(scope="module")
@@ -394,30 +394,6 @@ def test_pipeline_stages(spark, labelled, tmp_path):
     assert len(ids & toxic) <= 3 and len(ids) >= 450
 
 
-def brute_term_spans(texts):
-    """(start, end) of words that reveal an entity, by text."""
-    about, near, occurrences, placed = Counter(), {}, Counter(), []
-    for text in texts:
-        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-        found, base = [(m.start(), m.end(), m[0]) for m in WORD.finditer(lower)], brute_spans(text or "")
-        free = [all(e <= a or b <= s for _, a, b in base) for s, e, _ in found]
-        placed.append([w for w, f in zip(found, free) if f])
-        occurrences.update(w[2] for w in found)
-        for kind, a, b in base:
-            entity = (kind, text[a:b].lower())
-            left, right = [k for k, w in enumerate(found) if w[1] <= a][-6:], [k for k, w in enumerate(found) if w[0] >= b][:6]
-            around = tuple(found[k][2] for k in left + right if free[k])
-            about[entity] += len(around)
-            for word in set(around):
-                near.setdefault((word, entity), Counter())[around] += 1
-    total, risky = sum(occurrences.values()), set()
-    for (word, entity), contexts in near.items():
-        share = sum(contexts.values()) / occurrences[word]
-        if len(contexts) >= 3 and share >= 0.9 and np.log2(share / (about[entity] / total)) >= 8:
-            risky.add(word)
-    return [[(s, e) for s, e, w in words_ if w in risky] for words_ in placed]
-
-
 def brute_pipeline(rows, toxic, items):
     """(doc_id, ids) of the rows that the stages leave."""
     import sentencepiece
@@ -433,8 +409,11 @@ def brute_pipeline(rows, toxic, items):
         least[root[k]] = min(least.get(root[k], r), r, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     rows = [r for r in least.values() if not brute_contamination(r[1], items)[-1]]
     library, out = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()), []
-    for (doc_id, text), terms in zip(rows, brute_term_spans([t for _, t in rows])):
-        for a, b, name in sorted([(a, b, f"[{k.upper()}]") for k, a, b in brute_spans(text or "")] + [(a, b, "") for a, b in terms], reverse=True):
+    risky, spans = brute_terms([t for _, t in rows])
+    for (doc_id, text), terms in zip(rows, spans):
+        told = {(a, b): risky[words(text[a:b])[0]] for a, b in terms}
+        marks = [(a, b, f"[{k.upper()}]") for k, a, b in [*brute_spans(text or ""), *brute_secrets(text or "")]] + [(a, b, kind and f"[{kind.upper()}-TERM]") for (a, b), kind in told.items()]
+        for a, b, name in sorted(marks, reverse=True):
             text = text[:a] + name + text[b:]
         out.append((doc_id, None if text is None else tuple(library.encode(text))))
     return out
@@ -449,6 +428,7 @@ def test_whole_pipeline_against_brute_force(spark, labelled, tmp_path):
     passage, base = " ".join(f"bench{k}" for k in range(20)), some(60)
     extra = [passage, f"{some(400)} {passage[:100]}", f"{some(200)} {passage} {some(150)}", base, base.rsplit(" ", 1)[0], base.split(" ", 20)[-1], f"{base} {some(6)}", None, "", "a b", "A, b!"]
     extra += [f"{some(30)} zorblax writes to zed@corp.example about {some(30)}" for _ in range(4)]
+    extra += [f'{some(30)} passkey = "{rng.randbytes(20).hex()}" {some(30)}' for _ in range(4)]
     extra += [f"{some(9)} call +1 (614) 555-8001 from 10.0.0.{k}, card 4111 1111 1111 1111 \t“日本” {some(5)}" for k in range(2)]
     extra = [(1000 + k, t) for k, t in enumerate(extra)] + [(None, "nothing else is without an id"), (None, "nothing else is without an id")]
     whole = docs.unionByName(spark.createDataFrame(extra, docs.schema)).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
@@ -458,7 +438,32 @@ def test_whole_pipeline_against_brute_force(spark, labelled, tmp_path):
     rows = [(r["doc_id"], r["text"]) for r in whole.collect()]
     scored = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(whole, labels).collect()}
     expected = brute_pipeline(rows, {r: scored[r[0]] for r in rows}, [(1, passage)])
-    assert any(brute_term_spans([t for _, t in rows])) and len(expected) < len(rows) - 100
+    assert len(expected) < len(rows) - 100 and any(map(bool, brute_terms([t for _, t in rows])[1]))
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r["doc_id"], None if r["ids"] is None else tuple(r["ids"])) for r in found) == Counter(expected)
     assert all(r["n_ids"] == (None if r["ids"] is None else len(r["ids"])) for r in found)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, labelled, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, rows without ids, and columns with clashing names."""
+    import corpus_pipeline
+
+    odd = odd_docs(spark, "you are an idiot and a moron", "mail a.b@c.de now", "plain words only").selectExpr("*", "CAST(NULL AS STRING) AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars", "1L AS class_id_", "'x' AS bucket")
+    labels = spark.createDataFrame([(None, 1, 1), (2, None, None), (2, 0, 1), (2, 1, 0)], labelled[1].schema)
+    items = spark.createDataFrame([(1, None), (2, ""), (None, "some item words")], "item_id long, text string")
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        left = docs
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            before, left = left, function(spark, left, f"{tmp_path}/{name}")
+            assert left.columns == docs.columns and left.schema.simpleString() == docs.schema.simpleString(), stage
+            assert left.count() <= before.count()
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(found) == left.count() == (0 if name == "none" else len({r["text"] or "" for r in left.collect()}))
+        if name == "odd":
+            # One of the null and the empty texts stays, the repeated row stays once, the long text whole.
+            kept = [r["text"] for r in left.collect()]
+            assert sum(not t for t in kept) == 1 and kept.count("twice the same row") == 1 and "mail [EMAIL] now" in kept
+            assert max(r["n_ids"] or 0 for r in found) > 9000

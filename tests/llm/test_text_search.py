@@ -109,7 +109,7 @@ def brute_secrets(text):
 
 
 def brute_terms(texts):
-    """Term spans of each text, counted word by word over all texts."""
+    """Risky terms, each with the kind that it is generalised to (empty: removed), and term spans of each text, counted word by word over all texts."""
     near, about, total = Counter(), Counter(), Counter()
     contexts, parsed = {}, []
     for text in texts:
@@ -132,12 +132,13 @@ def brute_terms(texts):
                 for k in own:
                     near[lower[k], subject] += 1
                     contexts.setdefault((lower[k], subject), set()).add(context)
-    n, risky = sum(total.values()), set()
+    n, bits = sum(total.values()), {}
     for (word, subject), times in near.items():
         usual = about[subject] / n
         share = (min(times, total[word]) + usual) / (total[word] + 1)
         if len(contexts[word, subject]) >= 3 and share >= 0.75 and math.log2(share / usual) >= (8 if len(subject) == 2 else 6):
-            risky.add(word)
+            bits.setdefault(word, []).append((len(subject) == 1, -math.log2(share / usual), subject[0]))
+    risky = {word: min(b)[2] if min(b)[0] else "" for word, b in bits.items()}
     return risky, [[m.span() for m, w, f in zip(found, lower, free) if f and w in risky] for found, lower, free in parsed]
 
 
@@ -151,7 +152,7 @@ def test_terms_that_reveal_an_entity_are_found(spark):
     texts += [f"{noise()} call +1 (614) 555-80{k:02d} the {noise()}" for k in range(5)] + [None, "", "passkey alone is found too, Zorblax also"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     risky, spans = brute_terms(texts)
-    assert {"zorblax", "passkey"} <= risky and not risky & {"the", "of", "pw1"}
+    assert risky["zorblax"] == "" and risky["passkey"] == "secret" and not set(risky) & {"the", "of", "pw1"}
     rows = {r["doc_id"]: r for r in pii.pii_digests(docs).collect()}
     for k, text in enumerate(texts):
         every = [*brute_spans(text or ""), *brute_secrets(text or ""), *(("term", *s) for s in spans[k])]
