@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.operators.decode import amount_inexact
-
 #: Bad rows shown in an issue.
 SHOWN = 10
 
@@ -17,12 +15,12 @@ def bad_prices(o: Column, h: Column, low: Column, c: Column) -> Column:
     return (o == 0) | (h == 0) | (low == 0) | (c == 0) | (h < F.greatest(o, low, c)) | (low > F.least(o, h, c))
 
 
-def bad_price_summary(rows: DataFrame, in_scope: Column, *keys: str, prices=("open", "high", "low", "close"), shown: int = SHOWN) -> DataFrame:
+def bad_price_summary(rows: DataFrame, in_scope: Column, *keys: str, prices=("open", "high", "low", "close"), shown: int = SHOWN, show: tuple[str, ...] = ()) -> DataFrame:
     """Per key and blocking (in scope or not): count, distinct days and the first rows of bad prices."""
     bad = rows.where(bad_prices(*(F.col(p) for p in prices))).withColumn("blocking", in_scope)
     # Places are cut before rows are gathered, so no group collects more than it shows.
     placed = bad.withColumn("place", F.row_number().over(W.partitionBy(*keys, "blocking").orderBy("rec")))
-    row = F.struct(F.col("rec").alias("record"), "day", *[F.col(p) for p in prices])
+    row = F.struct(F.col("rec").alias("record"), "day", *show, *[F.col(p) for p in prices])
     return placed.groupBy(*keys, "blocking").agg(
         F.count("*").alias("count"),
         F.array_sort(F.collect_set("day")).alias("days"),
@@ -41,25 +39,3 @@ def time_order(records: DataFrame, key: str, order: str, value: str) -> DataFram
     step = F.col(value) - F.lag(value).over(W.partitionBy(key).orderBy(order))
     flagged = records.select(key, ((F.col(value) <= 0) | F.coalesce(step <= 0, F.lit(False))).alias("breaks"))
     return flagged.groupBy(key).agg(F.count_if("breaks").alias("breaks"), F.bool_or("breaks").alias("disordered"))
-
-
-def file_verdicts(records: DataFrame, in_scope: Column) -> DataFrame:
-    """Per file: sha256, length, n and the first failing reason, in the fixed order of checks; null for sound files."""
-    step = F.col("w0") - F.lag("w0").over(W.partitionBy("path").orderBy("rec"))
-    bad = bad_prices(F.col("w1"), F.col("w2"), F.col("w3"), F.col("w4"))
-    flags = records.select(
-        "path", "sha256", "length", "failure", "rec",
-        ((F.col("w0") == 0) | F.coalesce(step <= 0, F.lit(False))).alias("unordered"),
-        (bad & in_scope).alias("bad_inside"), (bad & ~in_scope).alias("bad_outside"),
-        (F.col("w14") != 0).alias("status"), amount_inexact(F.col("w8"), F.col("w9")).alias("inexact"),
-    )
-    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
-    files = flags.groupBy("path").agg(
-        F.max("sha256").alias("sha256"), F.max("length").alias("length"), F.max("failure").alias("failure"), F.count("rec").alias("n"),
-        *(any_of(c) for c in ("unordered", "bad_inside", "bad_outside", "status", "inexact")),
-    )
-    reason = (
-        F.when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("unordered"), "invalid-time-order").when(F.col("bad_inside"), "invalid-ohlc")
-        .when(F.col("status"), "unknown-status").when(F.col("inexact"), "amount-not-exactly-representable")
-    )
-    return files.select("path", "sha256", "length", "n", "bad_outside", reason.alias("reason"))

@@ -15,21 +15,23 @@ from dataclasses import replace
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
+from pyspark import InheritableThread
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.config import Request
 from barloom.errors import BarError, Cancelled
+from barloom.functions.clock import market_clock
 from barloom.functions.digest import group_digests, merged_digest
 from barloom.operators import blocking, changes, decode, evidence, fingerprint, merge, scope, validate
 from barloom.publish import (
-    check_sources, check_stored, commit_published, folder_hashes, folder_signature, forget, publish, read_partitions, recover, write_partitions,
+    check_sources, commit_published, folder_hashes, folder_signature, forget, misfits, publish, read_partitions, recover, write_partitions,
 )
 from barloom.report import write_text_report
 from barloom.schema import BAR_COLUMNS, DAYS_SCHEMA, PROFILE, RULE_VERSION, VALIDATION_VERSION
-from barloom.sources.listing import scan_sources, stat_signature
-from barloom.sources.records import read_records
+from barloom.sources.listing import check_readable, scan_sources, stat_signature
+from barloom.sources.records import Wanted, read_files
 from barloom.files import write_json
 from barloom.state import State, output_lock, own_output, safe_path
 from barloom.streaming.progress import RunLog
@@ -39,6 +41,8 @@ COUNTERS = (
     "source_files", "new_days", "revised_days", "reused_days", "written_partitions", "stat_reused_files", "scope_reused_files",
     "content_revalidated_files", "checked_partitions", "content_verified_partitions", "recovered_partitions", "recovery_revalidated_files",
 )
+#: Reads of a source that does not keep still, at most, and seconds between looks at a running job.
+TRIES, POLL_SECONDS = 3, 0.1
 FAILURES = (BarError, OSError, ValueError, PySparkException, Py4JJavaError)
 
 
@@ -59,6 +63,7 @@ class Run:
         self.checked: set[str] = set()
         self.codes: dict[str, set[str]] = {}
         self.blocked_groups: dict[tuple, set[str]] = {}
+        self.told: tuple[int, int] | None = None
         #: source -> identity of what this run read or reused.
         self.identity: dict[str, dict] = {}
 
@@ -100,25 +105,15 @@ class Run:
             s["source"] = str(Path(s["path"]).relative_to(self.request.source))
         self.sources = {s["source"]: s for s in sources}
         self.days = self.state.days
-        self._check_missing()
-        self._check_partitions()
+        self._check_known()
         return True
 
-    def _check_missing(self) -> None:
-        wanted = lambda k: k["period"] in self.request.periods and (not self.request.codes or k["code"] in self.request.codes)
-        names = [n for n, k in self.state.meta["sources"].items() if wanted(k)]
-        if not names:
-            return
-        known = self.frame(names)
-        gone = sorted(r["source"] for r in changes.missing_sources(known, self.frame(self.sources)).collect())
-        for name in gone:
-            self.log.issue("source-missing", self.request.source / name)
-        if gone:
-            self.block(blocking.blocked_by_source(self.days, self.frame(gone)))
-
-    def _check_partitions(self) -> None:
+    def _check_known(self) -> None:
+        """Sources that are gone, and remembered partitions that this run touches: one job for both."""
         request, partitions = self.request, self.state.meta["partitions"]
-        if not partitions:
+        wanted = lambda k: k["period"] in request.periods and (not request.codes or k["code"] in request.codes)
+        known = [n for n, k in self.state.meta["sources"].items() if wanted(k)]
+        if not known and not partitions:
             return
         condition = F.col("period").isin(*request.periods)
         if request.codes:
@@ -126,11 +121,23 @@ class Run:
         if self.action == "convert" and request.mode != "full" and request.bounded:
             condition = condition & scope.partition_overlaps(F.col("day"), F.col("period"), *request.bounds)
         relevant = changes.relevant_partitions(self.frame(partitions, "partition string"), self.days, condition)
-        names, suspect = sorted(r["partition"] for r in relevant.collect()), {}
+        gone = changes.missing_sources(self.frame(known), self.frame(self.sources))
+        facts = gone.select(F.lit("gone").alias("fact"), F.col("source").alias("name")).unionByName(relevant.select(F.lit("partition").alias("fact"), F.col("partition").alias("name")))
+        found: dict[str, list[str]] = {"gone": [], "partition": []}
+        for r in facts.collect():
+            found[r["fact"]].append(r["name"])
+        for name in sorted(found["gone"]):
+            self.log.issue("source-missing", request.source / name)
+        if found["gone"]:
+            self.block(blocking.blocked_by_source(self.days, self.frame(found["gone"])))
+        self._check_outputs(sorted(found["partition"]))
+
+    def _check_outputs(self, names: list[str]) -> None:
+        partitions, suspect = self.state.meta["partitions"], {}
         for name in names:
             try:
                 path = safe_path(self.root, name)
-                if self.action == "verify" or request.mode == "full" or folder_signature(path) != partitions[name]["signature"]:
+                if self.action == "verify" or self.request.mode == "full" or folder_signature(path) != partitions[name]["signature"]:
                     suspect[name] = path
                 else:
                     self.checked.add(name)
@@ -205,20 +212,24 @@ class Run:
         cover = changes.covering(asked, held).select("source", "receipt_start", "receipt_end")
         inside = F.col("day").between(start, end)
         columns = ("raw_hash", "digest", "rows", "partition", "rule_version", "good")
-        told = self.state.receipt_days.where(inside).withColumnsRenamed({"start": "receipt_start", "end": "receipt_end"})
-        told = told.join(cover, ["source", "receipt_start", "receipt_end"], "left_semi").withColumns({"rule_version": F.lit(RULE_VERSION), "good": F.lit(True)})
+        held_days = self.state.receipt_days.where(inside).withColumnsRenamed({"start": "receipt_start", "end": "receipt_end"})
+        held_days = held_days.join(cover, ["source", "receipt_start", "receipt_end"], "left_semi").withColumns({"rule_version": F.lit(RULE_VERSION), "good": F.lit(True)})
         cached = mine.where(inside).join(good.withColumn("_good", F.lit(True)), "partition", "left").withColumn("good", F.coalesce("_good", F.lit(False)))
         cached = cached.join(cover, "source")
         key = F.concat_ws("|", "source", "receipt_start", "receipt_end")
-        judged = changes.corroborated(told.withColumn("receipt", key), cached.withColumn("receipt", key), ("source", "day"), columns, on="receipt")
-        verdict = {r["receipt"]: r["valid"] for r in judged.collect()}
-        counts = {r["source"]: r["count"] for r in mine.where(inside).groupBy("source").count().collect()}
-        covering = {(r["source"], r["receipt_start"], r["receipt_end"]) for r in cover.collect()}
+        judged = changes.corroborated(held_days.withColumn("receipt", key), cached.withColumn("receipt", key), ("source", "day"), columns, on="receipt")
+        facts = judged.select(F.lit("valid").alias("fact"), F.col("receipt").alias("name"), F.col("valid").cast("long").alias("n"))
+        facts = facts.unionByName(mine.where(inside).groupBy("source").agg(F.count("*").alias("n")).select(F.lit("days").alias("fact"), F.col("source").alias("name"), "n"))
+        facts = facts.unionByName(cover.select(F.lit("covers").alias("fact"), key.alias("name"), F.lit(1).cast("long").alias("n")))
+        told: dict[str, dict[str, int]] = {"valid": {}, "days": {}, "covers": {}}
+        for r in facts.collect():
+            told[r["fact"]][r["name"]] = r["n"]
         out = {}
         for r in receipts:
             # A receipt without days in the interval is valid if nothing is cached there either.
-            if (r["source"], r["start"], r["end"]) in covering and verdict.get("|".join((r["source"], r["start"], r["end"])), True):
-                out.setdefault(r["source"], ("scope_reused_files", counts.get(r["source"], 0), r["warnings"]))
+            name = "|".join((r["source"], r["start"], r["end"]))
+            if name in told["covers"] and told["valid"].get(name, 1):
+                out.setdefault(r["source"], ("scope_reused_files", told["days"].get(r["source"], 0), r["warnings"]))
         return out
 
     def _reuse(self, name: str, s: dict, how: tuple) -> None:
@@ -242,98 +253,181 @@ class Run:
 
     def _read_changed(self, names: list[str]) -> None:
         """Read, judge and fingerprint all changed sources; leaves pending days and candidates for completion."""
-        request, spark = self.request, self.spark
         self.failed: dict[str, object] = {}
-        steady = []
-        for name in names:
-            try:
-                check_sources(request.source, [self.sources[name]])
-                steady.append(name)
-            except (BarError, OSError) as exc:
-                self._fail(name, BarError(str(exc).replace("source-changed-before-publish", "source-changed")))
         stage = safe_path(self.root, f".staging/{self.run_id}")
         stage.mkdir(parents=True, exist_ok=True)
-        if steady:
-            info = [(self.sources[n]["path"], n, *(self.sources[n][k] for k in ("code", "market", "period", "kind"))) for n in steady]
-            info = local_frame(spark, info, "path string, source string, code string, market string, period string, kind string")
-            records = decode.with_days(read_records(spark, [self.sources[n]["path"] for n in steady]))
-            records.join(F.broadcast(info), "path").write.parquet(f"file://{stage}/records")
-            self._judge(steady, spark.read.parquet(f"file://{stage}/records"), stage)
+        files, records = self._snapshots(names, stage)
+        if files is not None:
+            self._judge(files, records, stage)
         if self.failed:
             self._block_failed()
 
-    def _judge(self, names: list[str], records: DataFrame, stage: Path) -> None:
-        start, end = (d and d.replace("-", "") for d in (self.request.start, self.request.end))
-        inside = scope.in_days(F.col("day"), start, end)
-        verdicts = {r["path"]: r for r in validate.file_verdicts(records, inside).collect()}
-        priced = records.where("failure IS NULL").select("path", "source", "period", "market", "kind", "code", "rec", "day", "clock", *[(F.col(f"w{k}") / 1000).alias(n) for k, n in enumerate(("open", "high", "low", "close"), 1)])
-        details = {(r["path"], r["blocking"]): r for r in validate.bad_price_summary(priced, inside, "path").collect()}
-        stamps = {}
-        if details:
-            shown = [(k[0], x["record"]) for k, r in details.items() for x in r["rows"]]
-            wanted = local_frame(self.spark, shown, "path string, rec int")
-            clock = F.date_format("clock", "yyyy-MM-dd HH:mm:ss").alias("clock")
-            stamps = {(r["path"], r["rec"]): r["clock"] for r in priced.join(F.broadcast(wanted), ["path", "rec"]).select("path", "rec", clock).collect()}
+    def _wanted(self) -> Wanted:
+        times: dict[str, set[int]] = {}
+        for c in (self.evidence or {}).get("comparisons", ()):
+            for s in self.sources.values():
+                if (s["code"], s["period"]) == (c["code"], c["period"]):
+                    times.setdefault(s["path"], set()).add(c["timestamp"] // 1000)
+        start, end = ((d or "").replace("-", "") for d in (self.request.start, self.request.end))
+        return Wanted(start, end, {k: frozenset(v) for k, v in times.items()})
+
+    def _snapshots(self, names: list[str], stage: Path) -> tuple[DataFrame | None, DataFrame | None]:
+        """Rows of files and rows of records of sources that kept still while they were read; those that moved are read again, TRIES times in all."""
+        self.verdicts: dict[str, dict] = {}
+        parts, left = [], names
+        for attempt in range(TRIES):
+            ready = [n for n in left if self._still_there(n)]
+            if not ready:
+                break
+            info = [(self.sources[n]["path"], n, *(self.sources[n][k] for k in ("code", "market", "period", "kind"))) for n in ready]
+            info = local_frame(self.spark, info, "path string, source string, code string, market string, period string, kind string")
+            place = f"file://{stage}/read-{attempt}"
+            read = read_files(self.spark, [self.sources[n]["path"] for n in ready], self._wanted()).join(F.broadcast(info), "path")
+            self._in_background(lambda: read.write.parquet(place), ready)
+            told = self.spark.read.schema(read.schema).parquet(place)
+            rows = {r["source"]: r for r in told.where("rec IS NULL").select("source", "sha256", "length", "n", "failure", "bad").collect()}
+            left = []
+            for name in ready:
+                if name in rows and self._kept_still(name, rows[name]["length"]):
+                    self.verdicts[name] = rows[name]
+                else:
+                    left.append(name)
+            steady = [n for n in ready if n not in left]
+            if steady:
+                parts.append(told if not left else told.join(F.broadcast(self.frame(steady)), "source", "left_semi"))
+            if not left:
+                break
+        for name in left:
+            if name not in self.failed:
+                self._fail(name, f"source-changed: {self.sources[name]['path']}")
+        if not parts:
+            return None, None
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        clocked = whole.where("rec IS NOT NULL").drop("sha256", "length", "failure", "n", "bad", "bad_inside", "inventory").withColumn("clock", market_clock(F.col("w0")))
+        return whole.where("rec IS NULL").select("source", "inventory"), clocked
+
+    def _still_there(self, name: str) -> bool:
+        """Take the identity of a readable source as it is now."""
+        s = self.sources[name]
+        try:
+            check_readable(Path(s["path"]), self.request.source)
+            s["signature"] = stat_signature(Path(s["path"]))
+            return True
+        except (BarError, OSError) as exc:
+            self._fail(name, exc)
+            return False
+
+    def _kept_still(self, name: str, length: int) -> bool:
+        try:
+            now = stat_signature(Path(self.sources[name]["path"]))
+        except OSError:
+            return False
+        return now == self.sources[name]["signature"] and now["size"] == length
+
+    def _in_background(self, job, names: list[str]) -> None:
+        """Run a Spark job that can be cancelled, and tell of sources while it runs, as the tasks that read them end."""
+        context, group, failure = self.spark.sparkContext, f"barloom-{uuid.uuid4().hex}", []
+
+        def work():
+            try:
+                context.setJobGroup(group, "read sources", interruptOnCancel=True)
+                job()
+            except Exception as exc:  # noqa: BLE001 - handed to the caller's thread
+                failure.append(exc)
+
+        thread = InheritableThread(target=work)
+        thread.start()
+        try:
+            while thread.is_alive():
+                thread.join(POLL_SECONDS)
+                self.check_cancel()
+                self._tell_progress(group, names)
+        except Cancelled:
+            context.cancelJobGroup(group)
+            thread.join()
+            raise
+        if failure:
+            raise failure[0]
+
+    def _tell_progress(self, group: str, names: list[str]) -> None:
+        tracker = self.spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(k) for j in tracker.getJobIdsForGroup(group) for k in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else ())]
+        done, total = (sum(getattr(s, k) for s in stages if s) for k in ("numCompletedTasks", "numTasks"))
+        if total and (done, total) != self.told:
+            self.told = (done, total)
+            self.log.emit("reading", sources=len(names), tasks_done=done, tasks=total)
+
+    def _judge(self, files: DataFrame, records: DataFrame, stage: Path) -> None:
+        inside = scope.in_days(F.col("day"), *((d and d.replace("-", "")) for d in (self.request.start, self.request.end)))
+        details: dict[tuple, dict] = {}
+        if any(v["bad"] for v in self.verdicts.values()):
+            stamp = F.date_format("clock", "yyyy-MM-dd HH:mm:ss").alias("datetime")
+            priced = records.select("source", "rec", "day", stamp, *[(F.col(f"w{k}") / 1000).alias(n) for k, n in enumerate(("open", "high", "low", "close"), 1)])
+            details = {(r["source"], r["blocking"]): r for r in validate.bad_price_summary(priced, inside, "source", show=("datetime",)).collect()}
+        sizes = [(n, v["length"]) for n, v in self.verdicts.items()]
+        known = [(n, k["signature"]["size"]) for n, k in self.state.meta["sources"].items() if n in self.verdicts and k.get("signature")]
+        frames = [local_frame(self.spark, rows, "source string, size long") for rows in (sizes, known)]
+        shrunk = {r["source"] for r in changes.shrunk(*frames).collect()} if known else set()
         self.bad_days: dict[str, list[str]] = {}
         sound, warnings = [], {}
-        for name in names:
+        for name, v in self.verdicts.items():
             s = self.sources[name]
-            v = verdicts.get(s["path"])
-            try:
-                if v is None or stat_signature(Path(s["path"])) != s["signature"] or v["length"] != s["signature"]["size"]:
-                    raise BarError(f"source-changed: {s['path']}")
-            except (BarError, OSError) as exc:
-                self._fail(name, exc)
-                continue
             self.identity[name] = {"source": name, "signature": s["signature"], "sha256": v["sha256"]}
             self.counts["content_revalidated_files"] += 1
-            known = self.state.meta["sources"].get(name, {})
-            if known.get("signature") and s["signature"]["size"] < known["signature"]["size"]:
+            if name in shrunk:
                 self._fail(name, "source-shrunk")
                 continue
-            told = {b: _price_details(s, details[s["path"], b], stamps) for b in (True, False) if (s["path"], b) in details}
-            if v["reason"]:
-                self._fail(name, v["reason"], told.get(True) if v["reason"] == "invalid-ohlc" else None)
-                if v["reason"] == "invalid-ohlc":
+            told = {b: _price_details(s, details[name, b]) for b in (True, False) if (name, b) in details}
+            if v["failure"]:
+                self._fail(name, v["failure"], told.get(True) if v["failure"] == "invalid-ohlc" else None)
+                if v["failure"] == "invalid-ohlc":
                     self.bad_days[name] = told[True]["days"]
                 continue
             warnings[name] = [{"category": "warning", "reason": "invalid-ohlc-outside-scope", **told[False], "path": s["path"]}] if False in told else []
             self.log.issues(dict(w) for w in warnings[name])
             sound.append(name)
-        self._compare_days(sound, warnings, records, inside, stage)
+        self._compare_days(sound, warnings, files, records, inside, stage)
 
-    def _compare_days(self, sound: list[str], warnings: dict, records: DataFrame, inside, stage: Path) -> None:
+    def _compare_days(self, sound: list[str], warnings: dict, files: DataFrame, records: DataFrame, inside, stage: Path) -> None:
         spark, keys = self.spark, ("source", "day")
-        records = records.join(F.broadcast(self.frame(sound)), "source", "left_semi") if sound else records.limit(0)
+        mine = F.broadcast(self.frame(sound))
+        records = records.join(mine, "source", "left_semi")
         prints = fingerprint.fingerprints(records.where(inside))
         prints = prints.withColumn("partition", scope.partition_of(F.col("kind"), F.col("period"), F.col("day"), F.col("market"))).withColumn("rule_version", F.lit(RULE_VERSION))
         days_columns = self.days.columns
         prints.select(*days_columns).write.parquet(f"file://{stage}/prints")
         prints = spark.read.schema(self.days.schema).parquet(f"file://{stage}/prints")
-        inventory = fingerprint.day_inventory(records, "source")
-        cached = self.days.join(self.frame(sound), "source", "left_semi")
-        lost = {r["source"] for r in changes.removed_days(cached, inventory, "source").select("source").distinct().collect()}
-        self._compare_evidence([n for n in sound if n not in lost], records)
+        inventory = files.join(mine, "source", "left_semi").select("source", F.explode("inventory").alias("d")).select("source", "d.day")
+        cached = self.days.join(mine, "source", "left_semi")
         fewer = prints.join(cached.select(*keys, F.col("rows").alias("was")), list(keys)).where("rows < was")
-        shorter = {r["source"] for r in fewer.select("source").distinct().collect()}
+        judged = changes.classify_days(prints, cached.where(inside), keys, ("raw_hash", "rule_version")).where("change <> 'removed'")
+        counted = changes.completeness(cached, inventory)
+        facts = changes.removed_days(cached, inventory, "source").groupBy("source").agg(F.lit("removed-days").alias("fact"), F.count("*").alias("n"))
+        facts = facts.unionByName(fewer.groupBy("source").agg(F.lit("removed-records").alias("fact"), F.count("*").alias("n")))
+        facts = facts.unionByName(judged.groupBy("source", F.col("change").alias("fact")).agg(F.count("*").alias("n")))
+        facts = facts.unionByName(counted.select("source", F.lit("days").alias("fact"), F.col("source_days").alias("n")))
+        found: dict[str, dict[str, int]] = {n: {} for n in sound}
+        for r in facts.collect():
+            found[r["source"]][r["fact"]] = r["n"]
+        self._compare_evidence([n for n in sound if "removed-days" not in found[n]], records)
         for name in sound:
-            if name in lost or name in shorter:
-                self._fail(name, "removed-days" if name in lost else "removed-records")
+            lost = next((k for k in ("removed-days", "removed-records") if k in found[name]), None)
+            if lost:
+                self._fail(name, lost)
         good = [n for n in sound if n not in self.failed]
-        now = prints.join(self.frame(good), "source", "left_semi")
-        judged = changes.classify_days(now, cached.where(inside), keys, ("raw_hash", "rule_version")).join(self.frame(good), "source", "left_semi").where("change <> 'removed'")
-        tally = {r["change"]: r["days"] for r in changes.change_counts(judged).collect()}
-        for change in ("new", "revised", "reused"):
-            self.counts[f"{change}_days"] += tally.get(change, 0)
+        for name in good:
+            for change in ("new", "revised", "reused"):
+                self.counts[f"{change}_days"] += found[name].get(change, 0)
+            self.candidates[name] = {"warnings": warnings[name], "day_count": found[name].get("days", 0)}
+        now = prints.join(F.broadcast(self.frame(good)), "source", "left_semi")
         wanted = judged if self.action == "verify" else judged.where("change <> 'reused'")
         pending = now.join(wanted.select(*keys), list(keys), "left_semi").select(*days_columns)
         pending.write.parquet(f"file://{stage}/pending")
         self.pending = spark.read.schema(self.days.schema).parquet(f"file://{stage}/pending")
-        bars = decode.to_bars(records.join(self.pending.select(*keys), list(keys), "left_semi"))
-        bars.write.parquet(f"file://{stage}/bars")
-        sizes = {r["source"]: r["n"] for r in inventory.groupBy("source").agg(F.count("*").alias("n")).collect()}
-        for name in good:
-            self.candidates[name] = {"warnings": warnings[name], "day_count": sizes.get(name, 0)}
+        #: Bars of the pending days, from the staged records.
+        self.bars = decode.to_bars(records.where(inside).join(self.pending.select(*keys), list(keys), "left_semi"))
         self.manifest = now.select("source", "day", "raw_hash", "digest", "rows", "partition")
 
     def _compare_evidence(self, names: list[str], records: DataFrame) -> None:
@@ -372,7 +466,7 @@ class Run:
         self.report["verification"]["external_evidence"] = external
         self.log.phase("publish")
         affected: dict[str, set[str]] = {}
-        for r in blocking.affected_sources(self.pending, self.days).collect():
+        for r in blocking.affected_sources(self.pending, self.days).collect() if self.candidates else ():
             affected.setdefault(r["partition"], set()).add(r["source"])
         names = sorted(affected)
         ready = {p: ids for p in names if (ids := self._identities(p, affected[p])) is not None}
@@ -443,36 +537,40 @@ class Run:
                 if target.exists():
                     if p not in known or hashes.get(p) != known[p]["sha256"]:
                         raise BarError("output-tampered-or-untracked")
-                    check_stored(self.spark, self.root, p)
                     old.append(p)
                 elif p in known:
                     raise BarError("output-missing")
             except FAILURES as exc:
                 out[p] = exc
+        for p in misfits(self.spark, self.root, old):
+            out[p] = BarError("output-schema-mismatch")
+        old = [p for p in old if p not in out]
         stage = safe_path(self.root, f".staging/{self.run_id}")
         place = scope.partition_of(F.col("kind"), F.col("period"), F.col("trade_date"), F.col("market"))
-        going = self.frame([p for p in names if p not in out], "partition string")
-        of = lambda df: df.withColumn("partition", place).join(F.broadcast(going), "partition", "left_semi")
-        incoming = of(self.spark.read.parquet(f"file://{stage}/bars"))
+        going = F.broadcast(self.frame([p for p in names if p not in out], "partition string"))
+        of = lambda df: df.withColumn("partition", place).join(going, "partition", "left_semi")
+        incoming = of(self.bars)
         existing = of(read_partitions(self.spark, self.root, old))
-        pending = self.pending.join(F.broadcast(going), "partition", "left_semi")
+        pending = self.pending.join(going, "partition", "left_semi")
         keys = ("partition", "code", "trade_date")
         by_day = lambda df: group_digests(df.select("partition", *BAR_COLUMNS), *keys).withColumnRenamed("trade_date", "day")
         # Row counts now; contents are compared with the digests of the sources once they are written.
         found = incoming.groupBy("partition", "code", F.col("trade_date").alias("day")).agg(F.count("*").alias("rows"))
         torn = changes.classify_days(found, pending.select(*found.columns), ("partition", "code", "day"), ("rows",)).where("change <> 'reused'")
-        for r in torn.select("partition").distinct().collect():
-            out[r["partition"]] = BarError("staging-readback-mismatch")
+        facts = torn.select("partition", F.lit("staging-readback-mismatch").alias("fact"))
         if self.action == "verify":
             pick = ["partition", *BAR_COLUMNS]
             same = merge.same_keys(existing.select(*pick), incoming.select(*pick), keys)
-            for r in merge.differing(same, incoming.select(*pick)).select("partition").distinct().collect():
-                out.setdefault(r["partition"], BarError("source-output-mismatch"))
+            facts = facts.unionByName(merge.differing(same, incoming.select(*pick)).select("partition", F.lit("source-output-mismatch").alias("fact")))
+        elif old:
+            lost = merge.removed_records(existing, incoming, keys, ("partition", "code", "timestamp"))
+            facts = facts.unionByName(lost.select("partition", F.lit("removed-records").alias("fact")))
+        for r in facts.distinct().orderBy(F.col("fact") != "staging-readback-mismatch").collect():
+            out.setdefault(r["partition"], BarError(r["fact"]))
+        if self.action == "verify":
             return {p: out.get(p, ()) for p in names}
-        for r in merge.removed_records(existing, incoming, keys, ("partition", "code", "timestamp")).select("partition").distinct().collect():
-            out.setdefault(r["partition"], BarError("removed-records"))
-        merged = merge.replace_days(existing, incoming.select(*existing.columns), keys)
-        bad = self.frame([p for p in out], "partition string")
+        merged = merge.replace_days(existing, incoming.select(*existing.columns), keys) if old else incoming
+        bad = self.frame(out, "partition string")
         write_partitions(merged.join(F.broadcast(bad), "partition", "left_anti").drop("partition"), stage / "data")
         return out | self._read_back(stage, [p for p in names if p not in out], by_day, hashes)
 
@@ -487,9 +585,12 @@ class Run:
         pending = self.pending.join(going, "partition", "left_semi").select("source", *columns)
         kept = self.days.join(going, "partition", "left_semi").select("source", *columns).join(pending.select("source", "day"), ["source", "day"], "left_anti")
         expected = kept.unionByName(pending).select(*columns)
-        wrong = changes.classify_days(written, expected, ("partition", "code", "day"), ("digest", "rows")).where("change <> 'reused'")
-        wrong = {r["partition"] for r in wrong.select("partition").distinct().collect()}
-        digests = {r["partition"]: r["digest"] for r in merged_digest(expected, "partition").collect()}
+        torn = changes.classify_days(written, expected, ("partition", "code", "day"), ("digest", "rows")).where("change <> 'reused'")
+        facts = torn.select("partition", F.lit(None).cast("string").alias("digest")).distinct().unionByName(merged_digest(expected, "partition"))
+        wrong, digests = set(), {}
+        for r in facts.collect():
+            wrong.update([r["partition"]] if r["digest"] is None else ())
+            digests.update({r["partition"]: r["digest"]} if r["digest"] else {})
         fresh = folder_hashes(self.spark, {p: stage / p for p in names})
         out: dict[str, object] = {}
         for p in names:
@@ -508,9 +609,20 @@ class Run:
         rows = self.days.join(mine, "source", "left_semi").where(overlap).select("source", "partition")
         if self.candidates:
             rows = rows.unionByName(self.manifest.join(self.frame(self.candidates), "source", "left_semi").select("source", "partition"))
+        facts = rows.select("source", F.lit("partition").alias("fact"), F.col("partition").alias("value")).distinct()
+        if self.candidates:
+            held = self.days.join(mine, "source", "left_semi").groupBy("source").agg(F.count("*").cast("string").alias("value"))
+            open_days = self.pending.join(self.days.select("source", "day", "raw_hash"), ["source", "day", "raw_hash"], "left_anti").select("source").distinct()
+            facts = facts.unionByName(held.select("source", F.lit("days").alias("fact"), "value")).unionByName(open_days.select("source", F.lit("open").alias("fact"), F.lit("").alias("value")))
         relevant: dict[str, set[str]] = {}
-        for r in rows.distinct().collect():
-            relevant.setdefault(r["source"], set()).add(r["partition"])
+        counts, unpublished = {}, set()
+        for r in facts.collect():
+            if r["fact"] == "partition":
+                relevant.setdefault(r["source"], set()).add(r["value"])
+            elif r["fact"] == "days":
+                counts[r["source"]] = int(r["value"])
+            else:
+                unpublished.add(r["source"])
         suspect = {}
         for p in sorted(set().union(*relevant.values()) - self.blocked if relevant else ()):
             try:
@@ -535,9 +647,6 @@ class Run:
         fresh = [n for n in self.sources if n not in meta["sources"]]
         if not self.candidates and not fresh:
             return
-        counts = {r["source"]: r["count"] for r in self.days.join(mine, "source", "left_semi").groupBy("source").count().collect()}
-        open_days = self.pending.join(self.days.select("source", "day", "raw_hash"), ["source", "day", "raw_hash"], "left_anti")
-        unpublished = {r["source"] for r in open_days.select("source").distinct().collect()}
         granted = []
         for name, c in self.candidates.items():
             self.check_cancel()
@@ -589,11 +698,8 @@ class Run:
             shutil.rmtree(safe_path(self.root, f".staging/{self.run_id}"), ignore_errors=True)
 
 
-def _price_details(s: dict, row, stamps: dict) -> dict:
-    rows = [
-        {"record": x["record"], "date": stamps[s["path"], x["record"]][:10], "datetime": stamps[s["path"], x["record"]], **{k: x[k] for k in ("open", "high", "low", "close")}}
-        for x in row["rows"]
-    ]
+def _price_details(s: dict, row) -> dict:
+    rows = [{"record": x["record"], "date": x["datetime"][:10], **{k: x[k] for k in ("datetime", "open", "high", "low", "close")}} for x in row["rows"]]
     return {"code": s["code"], "period": s["period"], "count": row["count"], "blocking": row["blocking"], "days": list(row["days"]), "rows": rows}
 
 

@@ -8,6 +8,8 @@ import os
 import shutil
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +53,34 @@ def read_partitions(spark: SparkSession, root: Path, partitions: list[str]) -> D
     return spark.read.schema(STORED_SCHEMA).option("basePath", f"file://{root}/data").parquet(*[f"file://{root}/{p}" for p in partitions])
 
 
+_STORED = ",".join(sorted(f"{f.name} {f.dataType.simpleString()}" for f in STORED_SCHEMA if f.name in BAR_COLUMNS))
+_ARROW_NAMES = {"string": "string", "int64": "bigint", "double": "double"}
+
+
+def _footers(batches):
+    """partition, columns: the columns of each data file as its footer tells."""
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            try:
+                found.append(",".join(sorted(f"{f.name} {_ARROW_NAMES.get(str(f.type), f.type)}" for f in pq.read_schema(path))))
+            except (OSError, pa.ArrowInvalid) as exc:
+                found.append(f"unreadable: {exc}")
+        yield pa.RecordBatch.from_arrays([batch.column("partition"), pa.array(found, pa.string())], names=["partition", "columns"])
+
+
+def misfits(spark: SparkSession, root: Path, partitions: list[str]) -> list[str]:
+    """Partitions with a data file that has not exactly the bar columns; executors read the footers."""
+    files = [(p, str(f)) for p in partitions for f in data_files(safe_path(root, p))]
+    if not files:
+        return []
+    listed = local_frame(spark, files, "partition string, path string").repartition(F.col("path"))
+    wrong = listed.mapInArrow(_footers, "partition string, columns string").where(F.col("columns") != _STORED)
+    return [r["partition"] for r in wrong.select("partition").distinct().collect()]
+
+
 def check_stored(spark: SparkSession, root: Path, partition: str) -> None:
-    """BarError unless the folder's files have exactly the bar columns."""
-    found = spark.read.parquet(f"file://{root}/{partition}").schema
-    wanted = {f.name: f.dataType for f in STORED_SCHEMA if f.name in BAR_COLUMNS}
-    if {f.name: f.dataType for f in found} != wanted:
+    if misfits(spark, root, [partition]):
         raise BarError("output-schema-mismatch")
 
 

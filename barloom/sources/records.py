@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import hashlib
+import os
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from barloom.functions.binary import le_word
-from barloom.schema import HEADER_HEX, RECORD_BYTES
+from barloom.schema import CLOCK_OFFSET, EXACT_AMOUNT, HEADER_HEX, RECORD_BYTES
 from barloom.sources.local import local_frame
 
 #: Words that bars, checks or audits need.
 WORDS = (0, 1, 2, 3, 4, 6, 8, 9, 13, 14)
-RECORDS = "path string, sha256 string, length long, failure string, rec int, raw binary, " + ", ".join(f"w{k} long" for k in WORDS)
+#: Rows of two sorts: one a file (rec is null) with what was found in the whole of it, and records that the caller wants.
+_ARROW = pa.schema([
+    ("path", pa.string()), ("sha256", pa.string()), ("length", pa.int64()), ("failure", pa.string()), ("n", pa.int64()), ("bad", pa.int64()), ("bad_inside", pa.int64()),
+    ("inventory", pa.list_(pa.struct([("day", pa.string()), ("rows", pa.int64())]))), ("rec", pa.int32()), ("day", pa.string()), ("raw", pa.binary()),
+    *((f"w{k}", pa.int64()) for k in WORDS),
+])
+RECORDS = from_arrow_schema(_ARROW)
+#: An amount's high word up to which the 64-bit value is exact.
+HIGH = EXACT_AMOUNT >> 32
 #: Records of one Arrow batch of output.
 BATCH = 100_000
 
@@ -28,40 +39,98 @@ def file_failure(length, head) -> "F.Column":
     )
 
 
-def _unpack(batches):
-    names = ["path", "sha256", "length", "failure", "rec", "raw", *(f"w{k}" for k in WORDS)]
-    for batch in batches:
-        for path, content, failure in zip(*(batch.column(c) for c in ("path", "content", "failure"))):
-            path, failure = path.as_py(), failure.as_py()
-            data = content.as_buffer()
-            digest, size = hashlib.sha256(data).hexdigest(), data.size
-            if failure:
-                row = [[path], [digest], [size], [failure], [None], [None], *([None] for _ in WORDS)]
-                types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.binary(), *(pa.int64() for _ in WORDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=names)
-                continue
-            words = np.frombuffer(data, "<u4", offset=8).reshape(-1, RECORD_BYTES // 4)
-            for start in range(0, len(words), BATCH):
-                part = words[start : start + BATCH]
-                n = len(part)
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(RECORD_BYTES), n, [None, pa.py_buffer(np.ascontiguousarray(part).tobytes())])
-                columns = [
-                    pa.array([path] * n), pa.array([digest] * n), pa.array(np.full(n, size)), pa.nulls(n, pa.string()),
-                    pa.array(np.arange(start, start + n, dtype=np.int32)), raw.cast(pa.binary()),
-                    *(pa.array(part[:, k].astype(np.int64)) for k in WORDS),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+class Wanted(NamedTuple):
+    """Which records of a file to return: those of days from start to end (YYYYMMDD texts, open where empty), and of some times by path."""
 
+    start: str = ""
+    end: str = ""
+    times: dict[str, frozenset[int]] = {}
 
-def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All records of the files; a refused file is one row with its failure and no record."""
+    def inside(self, days: np.ndarray) -> np.ndarray:
+        out = np.ones(len(days), bool)
+        if self.start:
+            out &= days >= self.start
+        if self.end:
+            out &= days <= self.end
+        return out
+
+
+def record_days(seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct market days of records as texts, and the place of each record's day among them."""
+    number, place = np.unique((seconds.astype(np.int64) + CLOCK_OFFSET) // 86400, return_inverse=True)
+    return np.char.replace(number.astype("datetime64[D]").astype("U10"), "-", ""), place
+
+
+def _failure(words: np.ndarray, bad_inside: bool) -> str | None:
+    """The first check, in their fixed order, that a record of the file does not pass."""
+    seconds = words[:, 0].astype(np.int64)
+    checks = (
+        ("invalid-time-order", (seconds == 0).any() or (np.diff(seconds) <= 0).any()),
+        ("invalid-ohlc", bad_inside),
+        ("unknown-status", (words[:, 14] != 0).any()),
+        ("amount-not-exactly-representable", ((words[:, 9] > HIGH) | ((words[:, 9] == HIGH) & (words[:, 8] > 0))).any()),
+    )
+    return next((reason for reason, failed in checks if failed), None)
+
+
+def _rows(count: int, **columns) -> pa.RecordBatch:
+    """A batch of the whole schema; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(count, f.type)).cast(f.type) for f in _ARROW], schema=_ARROW)
+
+
+def _one(value, name: str) -> pa.Array:
+    return pa.array([value], _ARROW.field(name).type)
+
+
+def _read(wanted: Wanted):
+    def file_row(path, data, failure, **found):
+        found = {"path": path, "sha256": hashlib.sha256(data).hexdigest(), "length": data.size, "failure": failure, **found}
+        return _rows(1, **{k: _one(v, k) for k, v in found.items()})
+
+    def run(batches):
+        for batch in batches:
+            for path, content, failure in zip(*(batch.column(c) for c in ("path", "content", "failure"))):
+                path, failure, data = path.as_py(), failure.as_py(), content.as_buffer()
+                if failure:
+                    yield file_row(path, data, failure)
+                    continue
+                words = np.frombuffer(data, "<u4", offset=8).reshape(-1, RECORD_BYTES // 4)
+                days, place = record_days(words[:, 0])
+                o, h, low, c = (words[:, k] for k in (1, 2, 3, 4))
+                bad = (words[:, 1:5] == 0).any(axis=1) | (h < np.maximum(np.maximum(o, low), c)) | (low > np.minimum(np.minimum(o, h), c))
+                inside = wanted.inside(days)[place]
+                inventory = [{"day": d, "rows": n} for d, n in zip(days.tolist(), np.bincount(place, minlength=len(days)).tolist())]
+                yield file_row(
+                    path, data, _failure(words, bool((bad & inside).any())), n=len(words), bad=int(bad.sum()), bad_inside=int((bad & inside).sum()), inventory=inventory
+                )
+                times = wanted.times.get(path)
+                also = np.isin(words[:, 0], list(times)) if times else False
+                at = np.flatnonzero(inside | bad | also)
+                for start in range(0, len(at), BATCH):
+                    own = at[start : start + BATCH]
+                    part = np.ascontiguousarray(words[own])
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(RECORD_BYTES), len(own), [None, pa.py_buffer(part.tobytes())])
+                    yield _rows(
+                        len(own), path=pa.array([path] * len(own)), rec=pa.array(own.astype(np.int32)), day=pa.array(days[place[own]].tolist()), raw=raw.cast(pa.binary()),
+                        **{f"w{k}": pa.array(part[:, k].astype(np.int64)) for k in WORDS},
+                    )
+
+    return run
+
+
+def read_files(spark: SparkSession, paths: list[str], wanted: Wanted = Wanted()) -> DataFrame:
+    """One pass over each file: a row of what the whole of it holds, and rows of its wanted records and of all with bad prices."""
     files = spark.read.format("binaryFile").load([f"file://{p}" if p.startswith("/") else p for p in paths])
     path = F.regexp_replace("path", "^file:/*", "/").alias("path")
     judged = files.select(path, "content", file_failure(F.length("content"), F.substring("content", 1, 8)).alias("failure"))
     # The reader has no row for a file without a byte.
-    empty = local_frame(spark, [(p,) for p in paths], "path string").join(files.select(path), "path", "left_anti")
-    empty = empty.select("path", F.unhex(F.lit("")).alias("content"), F.lit("unknown-header").alias("failure"))
-    return judged.unionByName(empty).mapInArrow(_unpack, RECORDS)
+    empty = local_frame(spark, [(p, "unknown-header", b"") for p in paths if not os.path.getsize(p)], "path string, failure string, content binary")
+    return judged.unionByName(empty).mapInArrow(_read(wanted), RECORDS)
+
+
+def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All records of the files; a refused file is one row with its failure and no record."""
+    return read_files(spark, paths).where("rec IS NOT NULL OR n IS NULL")
 
 
 def read_records_sql(files: DataFrame) -> DataFrame:
