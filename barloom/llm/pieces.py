@@ -209,6 +209,11 @@ class Tables:
                 joint[at] = score(parts[at] + parts[at + 1])
             border -= at < border
 
+    def forget(self) -> None:
+        """Drop the caches, so that what a worker holds between tasks is the model alone."""
+        self.pairs.clear()
+        self.segments.clear()
+
     def spell(self, char: str) -> list[int]:
         raw = MARK.encode("utf-8") if char == _OWN_MARK else char.encode("utf-8")
         return [self.byte_ids[b] for b in raw]
@@ -313,6 +318,7 @@ def encode_texts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
                     doc_ids, encoded, held = [], [], 0
         if doc_ids:
             yield rows(doc_ids, encoded)
+        t.forget()
 
     src = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
     return src.mapInArrow(run, "doc_id long, ids array<int>, n_ids long")
@@ -347,6 +353,7 @@ def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
                 names = ["doc_id", "n_ids", "ids_sha256", "text_sha256", "exact"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names=names)
+        t.forget()
 
     src = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
     return src.mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, text_sha256 string, exact boolean")

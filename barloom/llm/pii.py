@@ -250,8 +250,8 @@ def term_codes(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.min(ranked).getField("code").alias("code"))
 
 
-def _term_spans(block):
-    """Adds occurrences of a sorted block of terms to `terms`, an array of (start, end, code)."""
+def _term_spans(block, finish=None):
+    """Adds occurrences of a sorted block of terms to `terms`, an array of (start, end, code); `finish` makes the rows to return of such batches."""
 
     def run(batches):
         known, codes = block.value
@@ -280,7 +280,8 @@ def _term_spans(block):
                 new = [{"start": a, "end": b, "code": int(c)} for (a, b), c in zip(points, codes[at[mine]])]
                 found.append(sorted([*(earlier[i] or []), *new], key=lambda s: s["start"]))
             cols = [batch.column(n) if n != "terms" else pa.array(found, batch.schema.field("terms").type) for n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+            marked = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+            yield from finish([marked]) if finish else (marked,)
 
     return run
 
@@ -298,8 +299,8 @@ def _code_points(text: str, starts: list[int], stops: list[int]) -> list[tuple[i
     return out
 
 
-def mark_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Adds `terms`: spans of words whose hash is in the table of terms and codes.
+def mark_terms(docs: DataFrame, terms: DataFrame, finish=None, schema=None) -> DataFrame:
+    """Adds `terms`: spans of words whose hash is in the table of terms and codes; or what `finish` makes of such rows, in the last pass.
 
     A pass holds TERMS_PER_PASS terms on the driver and on each worker; where there are more, a pass's
     rows are written to the shared folder before the next begins.
@@ -310,11 +311,10 @@ def mark_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     for k in range(blocks):
         rows = kept.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).toArrow().sort_by("term")
         block = docs.sparkSession.sparkContext.broadcast((rows["term"].to_numpy(), rows["code"].to_numpy().astype(np.int8)))
-        out = out.mapInArrow(_term_spans(block), out.schema)
         if k < blocks - 1:
-            out = cut_lineage(out)
+            out = cut_lineage(out.mapInArrow(_term_spans(block), out.schema))
             block.destroy()
-    return out
+    return out.mapInArrow(_term_spans(block, finish), schema or out.schema)
 
 
 def _spans_text(spans) -> str:
@@ -358,24 +358,25 @@ def sanitise_text(text: str, terms: list[dict]) -> str:
 
 
 def _sanitise(batches):
-    for batch in shingles.small_batches(batches):
-        texts = [t and sanitise_text(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("_terms").to_pylist())]
-        names = [n for n in batch.schema.names if n != "_terms"]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field("text").type) if n == "text" else batch.column(n) for n in names], names=names)
+    """The rows in `_row`, with their texts sanitised."""
+    for batch in batches:
+        row = batch.column("_row")
+        texts = [t and sanitise_text(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("terms").to_pylist())]
+        columns = {f.name: c for f, c in zip(row.type, row.flatten())}
+        columns["text"] = pa.array(texts, columns["text"].type)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The input with sanitised texts; all other columns as they were."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    marked = mark_terms(packed, term_codes(risky_terms(docs)))
-    flat = marked.select("_row.*", F.col("terms").alias("_terms"))
-    return flat.mapInArrow(_sanitise, docs.schema)
+    return mark_terms(packed, term_codes(risky_terms(docs)), _sanitise, docs.schema)
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:
     """doc_id, counts and spans of base entities, all spans (base, secret, term), and the counts of what the method adds."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return mark_terms(src, term_codes(risky_terms(src))).mapInArrow(_digest, _DIGESTS)
+    return mark_terms(src, term_codes(risky_terms(src)), _digest, _DIGESTS)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

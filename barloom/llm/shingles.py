@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 SIZE = 5
 #: Bytes of text, about, whose working arrays are held at once.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
