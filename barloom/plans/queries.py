@@ -12,9 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.binary import le_hex_int, le_word
+from barloom.functions.digest import check_digestible, group_digests
 from barloom.operators import blocking, changes, evidence, fingerprint, merge, reporting, scope, validate
 from barloom.operators.decode import amount_inexact, amount_of
-from barloom.sources.listing import kind_of
+from barloom.schema import BAR_FIELDS, DIGEST_TAG, HEADER_HEX
+from barloom.sources.listing import classify_listing, kind_of
+from barloom.sources.records import WORDS, read_records_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -38,7 +41,10 @@ def _e(spark, d) -> DataFrame:
     e = _t(spark, d, "events").select(
         "event_id", "user_id", F.col("event_type").alias("code"), F.date_format("ts", "yyyyMMdd").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "ts", "value"
     )
-    return e.withColumn("rec", F.row_number().over(W.partitionBy("code").orderBy("ts", "event_id")).cast("long"))
+    # Places within a day, after the rows of all earlier days: a code's rows are sorted day by day, not in one task.
+    earlier = fingerprint.running_offsets(e.groupBy("code", "day").agg(F.count("*").alias("rows")), "code")
+    placed = e.withColumn("place", F.row_number().over(W.partitionBy("code", "day").orderBy("ts", "event_id")))
+    return placed.join(earlier.drop("rows"), ["code", "day"]).withColumn("rec", F.col("place") + F.col("offset")).drop("place", "offset")
 
 
 _E = """e AS (SELECT event_id, user_id, event_type AS code, strftime(ts, '%Y%m%d') AS day, epoch_us(ts) AS us, ts, value,
@@ -188,10 +194,11 @@ def exists_scope(spark, d):
     return found.select(F.col("partition").alias("o_orderkey"), "o_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def missing_sources(spark, d):
     known = _t(spark, d, "customer").select(F.col("c_custkey").alias("source"))
-    return changes.missing_sources(known, _t(spark, d, "orders").select(F.col("o_custkey").alias("source"))).select(F.col("source").alias("c_custkey"))
+    listed = _t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("source"))
+    return changes.missing_sources(known, listed).select(F.col("source").alias("c_custkey"))
 
 
 @query(f"WITH {_B} SELECT day, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM b WHERE {_BAD} GROUP BY 1")
@@ -406,6 +413,82 @@ def not_null(spark, d):
     return _e(spark, d).groupBy("code", "day").agg((F.count_if(F.col("value").isNull() | F.col("code").isNull()) == 0).alias("sound"))
 
 
+def _sql_le(number: str, size: int) -> str:
+    """Little-endian hex of a number in SQL, from its padded hex text."""
+    return f"list_transform([lpad(to_hex({number}), {2 * size}, '0')], lambda h: " + " || ".join(f"substr(h, {2 * k + 1}, 2)" for k in reversed(range(size))) + ")[1]"
+
+
+def _sql_digest() -> str:
+    """Per code and day: SHA-256 over the tag, the number of rows, and each column of the ordered bars (offsets and bytes of texts, 8 bytes of numbers)."""
+    texts = {"trade_date": "day", "code": "code", "exchange": "'SH'", "datetime": "dt", "minute": "mi"}
+    parts = [f"hex('{DIGEST_TAG}')", "'00'", _sql_le("count(*)::BIGINT", 8)]
+    order = "ORDER BY ms, v, u"
+    for name, kind in BAR_FIELDS:
+        if name in texts:
+            width = f"strlen(any_value({texts[name]}))"
+            steps = f"list_transform(range(0, count(*) + 1), lambda i: lpad(to_hex(i * {width}), 8, '0'))"
+            swapped = f"list_transform({steps}, lambda h: substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))"
+            parts += [f"array_to_string({swapped}, '')", f"string_agg(hex({texts[name]}), '' {order})"]
+        else:
+            number = {"timestamp": "ms", "volume": "u"}.get(name, "bits")
+            parts.append(f"string_agg({number}_le, '' {order})")
+    return f"""WITH r AS (SELECT event_type AS code, strftime(ts, '%Y%m%d') AS day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS dt, strftime(ts, '%H:%M') AS mi,
+  CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) * 1000 AS ms, value AS v, user_id AS u FROM events),
+x AS (SELECT *, {_sql_le("ms", 8)} AS ms_le, {_sql_le("u", 8)} AS u_le, {_sql_le("CAST(CAST(v AS DOUBLE) AS BIT)::UBIGINT", 8)} AS bits_le FROM r)
+SELECT code, day, count(*) AS rows, sha256(unhex({" || ".join(parts)})) AS digest FROM x GROUP BY code, day"""
+
+
+@query(_sql_digest())
+def content_digest(spark, d):
+    value, seconds = F.col("value").cast("double"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    bars = _t(spark, d, "events").select(
+        F.date_format("ts", "yyyyMMdd").alias("trade_date"), F.col("event_type").alias("code"), F.lit("SH").alias("exchange"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.date_format("ts", "HH:mm").alias("minute"), (seconds * 1000).alias("timestamp"),
+        *[value.alias(c) for c in ("open", "high", "low", "close")], F.col("user_id").alias("volume"), value.alias("amount"),
+    )
+    check_digestible(bars)
+    return group_digests(bars, "code", "trade_date").withColumnRenamed("trade_date", "day").select("code", "day", "rows", "digest")
+
+
+@query("SELECT o_orderkey, rec, " + ", ".join(f"(o_orderkey * {7919 * (k + 1)} + rec * {k + 1}) % 4294967296 AS w{k}" for k in WORDS) + " FROM (SELECT o_orderkey, unnest(range(0, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END)) AS rec FROM orders)")
+def record_decode(spark, d):
+    """Files of one or two records, made byte by byte, and their words."""
+    word = lambda k, rec: le_hex_int((F.col("o_orderkey") * (7919 * (k + 1)) + rec * (k + 1)) % 2**32)
+    record = lambda rec: F.concat(*[word(k, rec) for k in range(16)])
+    content = F.unhex(F.concat(F.lit(HEADER_HEX), record(0), F.when(F.col("o_orderkey") % 3 == 0, record(1)).otherwise("")))
+    rows = read_records_sql(_t(spark, d, "orders").select(F.col("o_orderkey").alias("path"), content.alias("content")))
+    return rows.select(F.col("path").alias("o_orderkey"), F.col("rec").cast("long").alias("rec"), *[f"w{k}" for k in WORDS])
+
+
+_LISTED = """SELECT p_partkey, market, p_size % 11 <> 0 AS readable,
+  CASE WHEN p_size % 7 = 0 THEN 'odd' ELSE '' END || lpad(CAST((p_partkey * 311) % 1000000 AS VARCHAR), 6, '0') || CASE WHEN p_size % 2 = 0 THEN '.DAT' ELSE '.dat' END AS name
+  FROM (SELECT p_partkey, p_size, CASE WHEN p_size <= 25 THEN 'SH' ELSE 'SZ' END AS market FROM part)"""
+
+
+@query(f"""WITH l AS ({_LISTED}), c AS (SELECT *, CASE WHEN regexp_full_match(name, '[0-9]{{6}}\\.(?i:dat)') THEN substr(name, 1, 6) || '.' || market END AS code FROM l),
+k AS (SELECT *, CASE WHEN code IN ('000001.SH', '000005.SH', '000300.SH', '000905.SH', '399001.SZ', '399006.SZ') THEN 'index'
+  WHEN market = 'SH' AND substr(code, 1, 3) IN ('600', '601', '603', '605', '688', '689') THEN 'stock'
+  WHEN market = 'SZ' AND substr(code, 1, 3) IN ('000', '001', '002', '003', '300', '301') THEN 'stock' END AS kind FROM c)
+SELECT p_partkey, code, kind, CASE WHEN code IS NULL THEN 'nonstandard-name' WHEN kind IS NULL THEN 'unclassified' WHEN right(code, 4) = '7.SZ' THEN 'code-filter' WHEN NOT readable THEN 'inaccessible-file' END AS reason,
+  CASE WHEN code IS NULL THEN 'malformed' WHEN kind IS NULL OR right(code, 4) = '7.SZ' OR NOT readable THEN 'excluded' END AS category FROM k""")
+def listing_reasons(spark, d):
+    part = _t(spark, d, "part")
+    market = F.when(F.col("p_size") <= 25, "SH").otherwise("SZ")
+    number = F.lpad(((F.col("p_partkey") * 311) % 1_000_000).cast("string"), 6, "0")
+    name = F.concat(F.when(F.col("p_size") % 7 == 0, "odd").otherwise(""), number, F.when(F.col("p_size") % 2 == 0, ".DAT").otherwise(".dat"))
+    listing = part.select("p_partkey", market.alias("market"), (F.col("p_size") % 11 != 0).alias("readable"), name.alias("name"))
+    found = classify_listing(listing, wanted=~F.col("code").endswith("7.SZ"))
+    return found.select("p_partkey", "code", "kind", "reason", "category")
+
+
+@query("""WITH d AS (SELECT DISTINCT o_custkey AS source, strftime(o_orderdate, '%Y%m') AS day FROM orders), n AS (SELECT DISTINCT c_custkey AS source FROM customer WHERE c_nationkey < 5)
+SELECT source, day FROM d WHERE source IN (SELECT source FROM n)""")
+def evidence_needs(spark, d):
+    days = _t(spark, d, "orders").select(F.col("o_custkey").alias("source"), F.date_format("o_orderdate", "yyyyMM").alias("day")).distinct()
+    needs = _t(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("source"))
+    return merge.same_keys(days, needs, ("source",))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Per code and day of the scope: fingerprint, and the number of bad price rows."""
     rows = _b(spark, d)

@@ -180,3 +180,112 @@ def test_evidence_decides_publication(spark, setup, tmp_path, close, status):
     report = run(spark, replace(request, evidence=path))
     assert report["status"] == status and target.exists() == (status == "complete")
     assert report["verification"]["external_evidence"]["matched"] == (status == "complete")
+
+
+def test_reading_is_cancelled_and_told_of(spark, setup):
+    request, source, target = setup
+    events = []
+    report = run(spark, request, progress=events.append, cancel=lambda: any(e["event"] == "source" for e in events))
+    assert report["status"] == "cancelled" and not target.exists()
+    report = run(spark, request, progress=events.append)
+    assert report["status"] == "complete" and [e["phase"] for e in events if e["event"] == "phase"][-5:] == ["scan", "check", "source", "publish", "report"]
+    assert sum(report["timings"].values()) <= report["elapsed_seconds"] + 0.01
+    assert all("issue_counts" in e and "counts" in e for e in events if e["event"].endswith("_complete"))
+
+
+@pytest.mark.parametrize("moves,status", [(1, "complete"), (5, "partial")])
+def test_sources_that_move_are_read_again(spark, setup, monkeypatch, moves, status):
+    from barloom.plans import engine
+
+    request, source, target = setup
+    kept, seen = engine.Run._in_background, []
+
+    def moving(self, job, names):
+        kept(self, job, names)
+        seen.append(names)
+        if len(seen) <= moves:
+            write_dat(source, *(row(k * DAY) for k in range(2 + len(seen))))
+
+    monkeypatch.setattr(engine.Run, "_in_background", moving)
+    report = run(spark, request)
+    assert report["status"] == status and len(seen) == min(moves + 1, engine.TRIES)
+    assert len(closes(spark, target)) == 3 if status == "complete" else "source-changed" in reasons(report) and not target.exists()
+
+
+def test_receipts_cover_narrower_days_of_unchanged_files_only(spark, setup, monkeypatch):
+    from barloom.plans import engine
+
+    request, source, target = setup
+    write_dat(source, *(row(k * DAY) for k in range(4)))
+    scoped = lambda start, end, **more: replace(request, mode="range", start=start, end=end, **more)
+    told = lambda report: (report["status"], report["counts"]["scope_reused_files"], report["counts"]["content_revalidated_files"])
+    assert told(run(spark, scoped("20260922", "20260924"))) == ("complete", 0, 1)
+    assert told(run(spark, scoped("20260923", "20260924"))) == ("complete", 1, 0)
+    # A day beyond the receipt, a full run and a comparison read the file again, as does another version of the rules.
+    assert told(run(spark, scoped("20260923", "20260925"))) == ("complete", 0, 1)
+    assert told(run(spark, scoped("20260923", "20260924"), "verify")) == ("complete", 0, 1)
+    assert told(run(spark, replace(request, mode="full"))) == ("complete", 0, 1)
+    monkeypatch.setattr(engine, "VALIDATION_VERSION", "another")
+    assert told(run(spark, scoped("20260922", "20260924"))) == ("complete", 0, 1)
+    monkeypatch.undo()
+    # So does an output that no longer is what was published.
+    part = next(target.glob("*.parquet"))
+    part.write_bytes(part.read_bytes() + b"x")
+    report = run(spark, scoped("20260922", "20260924"))
+    assert report["status"] == "partial" and "output-tampered" in reasons(report) and report["counts"]["scope_reused_files"] == 0
+
+
+def test_a_bad_day_blocks_its_partition_for_all_codes(spark, setup):
+    request, source, target = setup
+    other = write_dat(source.with_name("600001.DAT"), row(), row(40 * DAY))
+    assert run(spark, request)["status"] == "complete"
+    write_dat(source, row(w2=7100), row(DAY))
+    write_dat(other, row(w4=7200), row(40 * DAY, w4=7200))
+    report = run(spark, request)
+    assert report["status"] == "partial" and closes(spark, target) == [7.25] * 3
+    later = target.parent.parent / "bucket=202611/market=SH"
+    assert closes(spark, later) == [7.2]
+
+
+def test_other_processes_and_abandoned_staging(spark, setup):
+    import subprocess
+    import sys
+
+    request, _, target = setup
+    assert run(spark, request)["status"] == "complete"
+    hold = "import fcntl, sys; f = open(sys.argv[1], 'a'); fcntl.flock(f, fcntl.LOCK_EX); print('held', flush=True); sys.stdin.read()"
+    with subprocess.Popen([sys.executable, "-c", hold, str(request.output / ".barloom.lock")], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as other:
+        assert other.stdout.readline() == b"held\n"
+        refused = run(spark, request)
+        assert refused["status"] == "failed" and "output-locked" in reasons(refused)
+        other.stdin.close()
+    left = request.output / ".staging/abandoned/data"
+    left.mkdir(parents=True)
+    assert run(spark, request)["status"] == "complete" and not left.exists()
+    (request.output / ".journal/x.json").write_text("{}")
+    assert "pending-recovery" in reasons(run(spark, request, "verify"))
+
+
+def test_files_of_a_partition_are_sorted_and_plain(spark, setup):
+    import pyarrow.parquet as pq
+
+    request, source, target = setup
+    write_dat(source.with_name("600001.DAT"), row(), row(DAY))
+    run(spark, request)
+    (part,) = target.glob("*.parquet")
+    meta, table = pq.read_metadata(part), pq.read_table(part, partitioning=None)
+    chunk = meta.row_group(0).column(0)
+    assert chunk.compression == "SNAPPY" and not chunk.has_dictionary_page and not list(target.glob(".*.crc"))
+    keys = list(zip(table["code"].to_pylist(), table["timestamp"].to_pylist()))
+    assert keys == sorted(keys) and len(keys) == 4
+
+
+def test_a_schema_that_is_not_ours_is_found(spark, setup, tmp_path):
+    from barloom.publish import misfits
+
+    request, _, target = setup
+    run(spark, request)
+    name = str(target.relative_to(request.output))
+    assert misfits(spark, request.output, [name]) == []
+    spark.range(1).write.mode("overwrite").parquet(str(target))
+    assert misfits(spark, request.output, [name]) == [name]

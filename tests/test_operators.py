@@ -203,6 +203,10 @@ def test_report_text_and_progress():
     log.issues([{"category": "excluded", "reason": "unclassified"}])
     text = format_report(report)
     assert "blocked by: 600000.SH" in text and "errors: 1" in text and "excluded: 1" in text
+    old = report | {"issue_counts": None, "issues": report["issues"] * 70}
+    assert "errors: 70" in format_report(old) and "most common: unclassified (70)" in format_report(old) and "40 more in the JSON report" in format_report(old)
+    days = {"category": "warning", "reason": "invalid-ohlc", "days": ["20260901", "20260902", "20260903"]}
+    assert "days: 20260901, 20260902 and others, 3 in all" in format_report(report | {"issues": [days]})
     assert [e["event"] for e in events] == ["issue"] and report["issue_counts"] == {"error": 1, "excluded": 1}
 
 
