@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.errors import BarError
@@ -32,19 +32,31 @@ def _offsets(texts: Column, width: Column) -> Column:
 _TEXTS = tuple(name for name, kind in BAR_FIELDS if kind.typeName() == "string")
 
 
+_MADE: dict[str, Column] = {}
+
+
+def _digest_column() -> Column:
+    """SHA-256 of `_rows` and the `_width_` columns; made once for a Spark application, as it takes thousands of calls."""
+    key = SparkSession.active().sparkContext.applicationId
+    if key not in _MADE:
+        rows = F.col("_rows")
+        parts = [F.hex(F.lit(DIGEST_TAG + "\0")), le_hex_long(F.size(rows).cast("long"))]
+        for name, kind in BAR_FIELDS:
+            column = rows.getField(name)
+            if name in _TEXTS:
+                parts += [_offsets(column, F.col(f"_width_{name}")), F.hex(F.array_join(column, ""))]
+            else:
+                parts.append(le_hex_joined(column if kind.typeName() == "long" else F.transform(column, double_bits), 8))
+        _MADE.clear()
+        _MADE[key] = F.sha2(F.unhex(F.concat(*parts)), 256)
+    return _MADE[key]
+
+
 def digest_of_rows(groups: DataFrame, *keep: str) -> DataFrame:
     """keep, digest, rows: SHA-256 over the tag, the row count and each column of the sorted bar structs in `_rows`."""
     # Widths are columns of their own, else every step of a lambda would take the whole array apart again.
     sized = groups.select(*keep, "_rows", *[F.octet_length(F.get(F.col("_rows").getField(c), F.lit(0))).alias(f"_width_{c}") for c in _TEXTS])
-    rows = F.col("_rows")
-    parts = [F.hex(F.lit(DIGEST_TAG + "\0")), le_hex_long(F.size(rows).cast("long"))]
-    for name, kind in BAR_FIELDS:
-        column = rows.getField(name)
-        if name in _TEXTS:
-            parts += [_offsets(column, F.col(f"_width_{name}")), F.hex(F.array_join(column, ""))]
-        else:
-            parts.append(le_hex_joined(column if kind.typeName() == "long" else F.transform(column, double_bits), 8))
-    return sized.select(*keep, F.sha2(F.unhex(F.concat(*parts)), 256).alias("digest"), F.size(rows).cast("long").alias("rows"))
+    return sized.select(*keep, _digest_column().alias("digest"), F.size("_rows").cast("long").alias("rows"))
 
 
 def check_digestible(bars: DataFrame) -> None:
