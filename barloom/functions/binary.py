@@ -16,23 +16,3 @@ def le_word(block: Column, index: int, size: int = 4) -> Column:
 def le_hex_int(value: Column) -> Column:
     """Hex of a non-negative 32-bit integer, little-endian."""
     return _swap(F.lpad(F.hex(value.cast("long")), 8, "0"), 4)
-
-
-def le_hex_long(value: Column) -> Column:
-    """Hex of a 64-bit integer, little-endian."""
-    return _swap(F.lpad(F.hex(value), 16, "0"), 8)
-
-
-def double_bits(value: Column) -> Column:
-    """The bits of a double as a long."""
-    return F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), value).cast("long")
-
-
-def le_hex_joined(values: Column, size: int) -> Column:
-    """Joint hex of an array of integers, little-endian in `size` bytes each.
-
-    Two passes: a lambda evaluates its argument wherever it is named, so the hex
-    text is made in one and taken apart in the other.
-    """
-    texts = F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), 2 * size, "0"))
-    return F.array_join(F.transform(texts, lambda t: _swap(t, size)), "")

@@ -1,12 +1,17 @@
-"""Canonical content digests of bar groups as Spark aggregates."""
+"""Canonical content digests of bar groups as Spark aggregates.
+
+The expression over a group is long, so it is written as SQL text, which Spark
+parses in one call.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.errors import BarError
-from barloom.functions.binary import double_bits, le_hex_int, le_hex_joined, le_hex_long
 from barloom.schema import BAR_COLUMNS, BAR_FIELDS, DIGEST_TAG
 
 
@@ -15,48 +20,50 @@ def _sorted_rows() -> Column:
     return F.array_sort(F.collect_list(F.struct(*order)))
 
 
-def _offsets(texts: Column, width: Column) -> Column:
-    """Cumulative byte offsets of a string column as hex. Equal widths, the usual case, need no running state."""
-    n = F.size(texts)
-    even = F.forall(texts, lambda t: F.octet_length(t) == width)
-    fast = le_hex_joined(F.transform(F.sequence(F.lit(0), n), lambda i: i * width), 4)
-    start = F.struct(F.lit(0).alias("at"), le_hex_int(F.lit(0)).alias("out"))
-    slow = F.aggregate(
-        texts, start,
-        lambda a, t: F.struct((a["at"] + F.octet_length(t)).alias("at"), F.concat(a["out"], le_hex_int(a["at"] + F.octet_length(t))).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.when(even, fast).otherwise(slow)
+_TEXTS = tuple(name for name, kind in BAR_FIELDS if kind.typeName() == "string")
+
 
+def _little_endian(number: str, size: int) -> str:
+    """Hex of an integer in `size` bytes. Its own hex text is made once and then taken apart, as a lambda's argument is worked out wherever it is named."""
+    swapped = ", ".join(f"substring(h, {2 * k + 1}, 2)" for k in reversed(range(size)))
+    return f"transform(array(lpad(hex(CAST({number} AS BIGINT)), {2 * size}, '0')), h -> concat({swapped}))[0]"
 
-_TEXTS = tuple(name for name, kind in BAR_FIELDS if kind.typeName() == "string")
+
+def _joined(numbers: str, size: int) -> str:
+    """Joint hex of an array of integers."""
+    swapped = ", ".join(f"substring(h, {2 * k + 1}, 2)" for k in reversed(range(size)))
+    return f"array_join(transform(transform({numbers}, v -> lpad(hex(CAST(v AS BIGINT)), {2 * size}, '0')), h -> concat({swapped})), '')"
 
 
-_MADE: dict[str, Column] = {}
+def _offsets(texts: str, width: str) -> str:
+    """Cumulative byte offsets of an array of texts as hex. Equal widths, the usual case, need no running state."""
+    even = _joined(f"transform(sequence(0, size({texts})), i -> i * {width})", 4)
+    reach = "a.at + octet_length(t)"
+    step = f"named_struct('at', {reach}, 'out', concat(a.out, {_little_endian(reach, 4)}))"
+    running = f"aggregate({texts}, named_struct('at', 0, 'out', '00000000'), (a, t) -> {step}, a -> a.out)"
+    return f"CASE WHEN forall({texts}, t -> octet_length(t) = {width}) THEN {even} ELSE {running} END"
 
 
-def _digest_column() -> Column:
-    """SHA-256 of `_rows` and the `_width_` columns; made once for a Spark application, as it takes thousands of calls."""
-    key = SparkSession.active().sparkContext.applicationId
-    if key not in _MADE:
-        rows = F.col("_rows")
-        parts = [F.hex(F.lit(DIGEST_TAG + "\0")), le_hex_long(F.size(rows).cast("long"))]
-        for name, kind in BAR_FIELDS:
-            column = rows.getField(name)
-            if name in _TEXTS:
-                parts += [_offsets(column, F.col(f"_width_{name}")), F.hex(F.array_join(column, ""))]
-            else:
-                parts.append(le_hex_joined(column if kind.typeName() == "long" else F.transform(column, double_bits), 8))
-        _MADE.clear()
-        _MADE[key] = F.sha2(F.unhex(F.concat(*parts)), 256)
-    return _MADE[key]
+@cache
+def _digest_text() -> str:
+    """SHA-256 over the tag, the row count and each column of `_rows`: offsets and bytes of texts, eight bytes of numbers."""
+    parts = [f"'{(DIGEST_TAG + chr(0)).encode().hex()}'", _little_endian("size(_rows)", 8)]
+    for name, kind in BAR_FIELDS:
+        column = f"_rows.`{name}`"
+        if name in _TEXTS:
+            parts += [_offsets(column, f"_width_{name}"), f"hex(array_join({column}, ''))"]
+        elif kind.typeName() == "long":
+            parts.append(_joined(column, 8))
+        else:
+            parts.append(_joined(f"transform({column}, d -> CAST(reflect('java.lang.Double', 'doubleToRawLongBits', d) AS BIGINT))", 8))
+    return f"sha2(unhex(concat({', '.join(parts)})), 256)"
 
 
 def digest_of_rows(groups: DataFrame, *keep: str) -> DataFrame:
     """keep, digest, rows: SHA-256 over the tag, the row count and each column of the sorted bar structs in `_rows`."""
     # Widths are columns of their own, else every step of a lambda would take the whole array apart again.
-    sized = groups.select(*keep, "_rows", *[F.octet_length(F.get(F.col("_rows").getField(c), F.lit(0))).alias(f"_width_{c}") for c in _TEXTS])
-    return sized.select(*keep, _digest_column().alias("digest"), F.size("_rows").cast("long").alias("rows"))
+    sized = groups.select(*keep, "_rows", *[F.expr(f"octet_length(get(_rows.`{c}`, 0))").alias(f"_width_{c}") for c in _TEXTS])
+    return sized.select(*keep, F.expr(_digest_text()).alias("digest"), F.size("_rows").cast("long").alias("rows"))
 
 
 def check_digestible(bars: DataFrame) -> None:
