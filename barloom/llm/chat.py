@@ -16,7 +16,10 @@ have length 0.
 Defined results: null texts and roles are empty; turns sort by turn, then role,
 then text, so ties and repeated rows have one order; null turns come first; rows
 with a null conv_id form one conversation; an empty table has no conversations;
-other columns are ignored.
+other columns are ignored. A conversation is one row of output, so its turns are
+gathered in one task that holds its whole text. That is the row's own size: where
+one conversation, or the rows without an id, hold a large share of all text, the
+output has a row as large.
 """
 
 from __future__ import annotations
