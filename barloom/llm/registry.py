@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from barloom.llm import chat, decontaminate, licenses, media, neardup, pieces, pii, quality, toxicity, urlfilter
+from barloom.llm import chat, collocations, decontaminate, licenses, media, neardup, packing, pieces, pii, quality, resample, toxicity, urlfilter
 
-MODULES = (media, chat, decontaminate, licenses, urlfilter, neardup, pii, pieces, toxicity, quality)
+MODULES = (media, chat, decontaminate, licenses, urlfilter, neardup, pii, pieces, toxicity, quality, packing, resample, collocations)
 
 
 def queries() -> dict:
