@@ -3,10 +3,10 @@
 Every document becomes its ids and an end id. Documents longer than a sequence are
 cut into whole sequences, with the rest in front. Which pieces go together depends
 on how many there are of each length alone, so the plan is made from that histogram,
-which has one row a length at most: the fullest feasible combination of available
-lengths is found by subset sums over bitsets, and taken out as often as the counts
-allow (it stays the fullest for as long as it is feasible, so this equals taking it
-out bin by bin). Pieces then find their places: each has a number among those of
+which has one row a length at most: the longest length left opens a sequence, the
+fullest feasible combination of available lengths beside it is found by subset sums
+over bitsets, and taken out as often as the counts allow (it stays the fullest for as
+long as it is feasible, so this equals taking it out bin by bin). Pieces then find their places: each has a number among those of
 its length, from its task's own count and the sum of the counts of earlier tasks.
 
 No group is gathered anywhere: the driver holds the histogram and the plan, which
@@ -117,8 +117,12 @@ def tokenised_pieces(docs: DataFrame, path: str | None = None, capacity: int = C
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, schema)
 
 
-def fullest(lengths: list[int], counts: dict[int, int], capacity: int, seed: int = 0) -> dict[int, int]:
-    """The fullest combination of available lengths, beside a seed that is in it already; of several, the one with the most of the longest.
+#: Slack beyond the least that a combination may have, tried in turn: longer pieces go early for it.
+SLACKS = (0, 2, 8, 32)
+
+
+def fullest(lengths: list[int], counts: dict[int, int], capacity: int, seed: int, slack: int = 0) -> dict[int, int]:
+    """The fullest combination of available lengths with a seed among them; of those within the slack of it, the one with the most of the longest.
 
     lengths ascend. sums[i] has bit s if the first i lengths, as often as there are any, can add up to s.
     """
@@ -135,23 +139,25 @@ def fullest(lengths: list[int], counts: dict[int, int], capacity: int, seed: int
             left, step = left - step, step * 2
         usable.append(length)
         sums.append(reach)
-    rest = sums[-1].bit_length() - 1
-    chosen: dict[int, int] = {seed: 1} if seed else {}
+    most = sums[-1].bit_length() - 1
+    least, chosen = max(0, most - slack), {seed: 1}
     for at in range(len(usable) - 1, -1, -1):
         length = usable[at]
-        k = min(counts[length] - (length == seed), rest // length)
-        while not sums[at] >> (rest - k * length) & 1:
+        k = min(counts[length] - (length == seed), most // length)
+        # As many as leave a sum between least and most to the shorter ones.
+        while k and not (sums[at] & ((1 << most - k * length + 1) - 1)) >> max(0, least - k * length):
             k -= 1
         if k:
             chosen[length] = chosen.get(length, 0) + k
-            rest -= k * length
+            least, most = max(0, least - k * length), most - k * length
     return chosen
 
 
-def _plan(histogram: dict[int, int], capacity: int, seeded: bool) -> list[tuple[int, dict[int, int]]]:
+def _plan(histogram: dict[int, int], capacity: int, slack: int) -> list[tuple[int, dict[int, int]]]:
     counts, lengths, plan = dict(histogram), sorted(histogram), []
     while lengths:
-        chosen = fullest(lengths, counts, capacity, lengths[-1] if seeded else 0)
+        # The longest piece left opens a sequence.
+        chosen = fullest(lengths, counts, capacity, lengths[-1], slack)
         times = min(counts[n] // k for n, k in chosen.items())
         plan.append((times, chosen))
         for n, k in chosen.items():
@@ -161,13 +167,16 @@ def _plan(histogram: dict[int, int], capacity: int, seeded: bool) -> list[tuple[
 
 
 def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """Combinations of lengths, each with the number of sequences that are filled so.
-
-    Made twice, with any fullest combination and with the fullest that holds the longest length left; the one
-    with fewer sequences counts.
-    """
-    plans = [_plan(histogram, capacity, seeded) for seeded in (False, True)]
-    return min(plans, key=lambda plan: sum(times for times, _ in plan))
+    """Combinations of lengths, each with the number of sequences that are filled so: the best of the plans with each slack."""
+    bound, best = -(-sum(n * k for n, k in histogram.items()) // capacity), None
+    for slack in SLACKS:
+        plan = _plan(histogram, capacity, slack)
+        size = sum(times for times, _ in plan)
+        if best is None or size < best[0]:
+            best = size, plan
+        if size == bound:
+            break
+    return best[1]
 
 
 class Places:
