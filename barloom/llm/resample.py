@@ -154,7 +154,7 @@ nibbles AS (
   FROM distinct_grams
 ),
 buckets AS (
-  SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, n), lambda c, b: xor(c >> 4, _STEPS_[(xor(c, b) & 15) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, n), lambda c, b: xor(c >> 4, list_extract(_STEPS_, (xor(c, b) & 15) + 1))), 4294967295::BIGINT) % 10000 AS bucket
   FROM nibbles
 ),
 features AS (SELECT side, rid, bucket FROM grams JOIN buckets USING (g)),
@@ -177,4 +177,4 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
   CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN CAST(place AS BIGINT) END AS rank
 FROM ranked
 """
-ORACLE_SQL = {"op12_resampling": _SQL.replace("_STEPS_", str([*_STEPS]) + "::BIGINT[]")}
+ORACLE_SQL = {"op12_resampling": _SQL.replace("_STEPS_", str(_STEPS))}
