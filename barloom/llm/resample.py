@@ -146,9 +146,14 @@ WITH words AS (
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
   FROM benchmark
 ),
-places AS (SELECT side, rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS o(k)),
-grams AS (SELECT side, rid, array_to_string(w[i:i + k - 1], ' ') AS g FROM places),
-distinct_grams AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM grams)),
+places AS (SELECT side, rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+next_words AS (
+  SELECT side, rid, word, lead(word) OVER (PARTITION BY side, rid ORDER BY i) AS n1, lead(word, 2) OVER (PARTITION BY side, rid ORDER BY i) AS n2 FROM places
+),
+grams AS MATERIALIZED (
+  SELECT side, rid, unnest([word, word || ' ' || n1, word || ' ' || n1 || ' ' || n2]) AS g FROM next_words
+),
+distinct_grams AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM grams WHERE g IS NOT NULL)),
 nibbles AS (
   SELECT g, list_transform(range(0, len(x)), lambda p: CAST(strpos('123456789ABCDEF', x[p + CASE WHEN p % 2 = 0 THEN 2 ELSE 0 END]) AS BIGINT)) AS n
   FROM distinct_grams
@@ -157,7 +162,7 @@ buckets AS (
   SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, n), lambda c, b: xor(c >> 4, list_extract(_STEPS_, (xor(c, b) & 15) + 1))), 4294967295::BIGINT) % 10000 AS bucket
   FROM nibbles
 ),
-features AS (SELECT side, rid, bucket FROM grams JOIN buckets USING (g)),
+features AS MATERIALIZED (SELECT side, rid, bucket FROM grams JOIN buckets USING (g)),
 counts AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM features GROUP BY bucket),
 totals AS (SELECT sum(s) AS ss, sum(t) AS tt FROM counts),
 gains AS (
