@@ -12,6 +12,7 @@ from __future__ import annotations
 import shutil
 import uuid
 from dataclasses import replace
+from functools import partial
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
@@ -24,25 +25,26 @@ from barloom.config import Request
 from barloom.errors import BarError, Cancelled
 from barloom.functions.clock import market_clock
 from barloom.functions.digest import group_digests, merged_digest
-from barloom.operators import blocking, changes, decode, evidence, fingerprint, merge, scope, validate
+from barloom.operators import blocking, changes, decode, evidence, fingerprint, merge, scope
 from barloom.publish import (
     check_sources, commit_published, folder_hashes, folder_signature, forget, misfits, publish, read_partitions, recover, write_partitions,
 )
 from barloom.report import write_text_report
 from barloom.schema import BAR_COLUMNS, DAYS_SCHEMA, PROFILE, RULE_VERSION, VALIDATION_VERSION
-from barloom.sources.listing import check_readable, scan_sources, stat_signature
-from barloom.sources.records import Wanted, read_files
+from barloom.operators.segments import VERDICTS, join_all, verdict
+from barloom.sources.listing import check_readable, scan_sources
+from barloom.sources.records import Told, Wanted, cut, file_verdicts, read_files, record_columns
 from barloom.files import write_json
 from barloom.state import State, output_lock, own_output, safe_path
 from barloom.streaming.progress import RunLog
-from barloom.sources.local import local_frame
+from barloom.sources.local import hinted, local_frame
 
 COUNTERS = (
     "source_files", "new_days", "revised_days", "reused_days", "written_partitions", "stat_reused_files", "scope_reused_files",
     "content_revalidated_files", "checked_partitions", "content_verified_partitions", "recovered_partitions", "recovery_revalidated_files",
 )
-#: Reads of a source that does not keep still, at most, and seconds between looks at a running job.
-TRIES, POLL_SECONDS = 3, 0.1
+#: Seconds between looks at a running job.
+POLL_SECONDS = 0.1
 FAILURES = (BarError, OSError, ValueError, PySparkException, Py4JJavaError)
 
 
@@ -160,25 +162,32 @@ class Run:
     def source_phase(self) -> None:
         self.log.phase("source")
         reused = self._reusable() if self.action == "convert" and not self.evidence_failed else {}
-        total, changed = len(self.sources), []
         self.reused: dict[str, tuple] = {}
-        for index, (name, s) in enumerate(self.sources.items(), 1):
-            self.check_cancel()
-            self.log.emit("source", index=index, total=total, code=s["code"], period=s["period"])
-            if name in reused:
-                self._reuse(name, s, reused[name])
-            else:
-                changed.append(name)
-                continue
-            self.log.emit("source_complete", index=index, total=total, code=s["code"], period=s["period"])
+        self.failed: dict[str, object] = {}
+        self.verdicts: dict[str, dict] = {}
+        self.warnings: dict[str, list[dict]] = {}
+        self.bad_days: dict[str, list[str]] = {}
         self.candidates: dict[str, dict] = {}
         self.pending = local_frame(self.spark, [], DAYS_SCHEMA)
+        #: What is to be done for sources that are settled, until they are told of in their order.
+        self.settled = {n: partial(self._reuse, n, self.sources[n], how) for n, how in reused.items()}
+        self.turn = 0
+        changed = [n for n in self.sources if n not in reused]
+        self._take_turns()
         if changed:
             self._read_changed(changed)
-        at = {name: i for i, name in enumerate(self.sources, 1)}
-        for name in changed:
-            s = self.sources[name]
-            self.log.emit("source_complete", index=at[name], total=total, code=s["code"], period=s["period"])
+
+    def _take_turns(self) -> None:
+        """Tell of sources in their order, each with its issues, as far as they are settled."""
+        names = list(self.sources)
+        while self.turn < len(names) and names[self.turn] in self.settled:
+            self.check_cancel()
+            name = names[self.turn]
+            self.turn += 1
+            facts = {"index": self.turn, "total": len(names), "code": self.sources[name]["code"], "period": self.sources[name]["period"]}
+            self.log.emit("source", **facts)
+            self.settled.pop(name)()
+            self.log.emit("source_complete", **facts)
 
     def _reusable(self) -> dict[str, tuple]:
         """source -> (counter, days, stored warnings) for sources that need no reading."""
@@ -253,81 +262,110 @@ class Run:
 
     def _read_changed(self, names: list[str]) -> None:
         """Read, judge and fingerprint all changed sources; leaves pending days and candidates for completion."""
-        self.failed: dict[str, object] = {}
         stage = safe_path(self.root, f".staging/{self.run_id}")
         stage.mkdir(parents=True, exist_ok=True)
-        files, records = self._snapshots(names, stage)
-        if files is not None:
-            self._judge(files, records, stage)
+        self.shrunk = self._shrunk(names)
+        ready = [n for n in names if self._as_listed(n)]
+        self._take_turns()
+        if ready:
+            files, records = self._read(ready, stage)
+            sound = [n for n in ready if n in self.verdicts and n not in self.failed]
+            self._compare_days(sound, self.warnings, files, records, stage)
         if self.failed:
             self._block_failed()
 
-    def _wanted(self) -> Wanted:
-        times: dict[str, set[int]] = {}
-        for c in (self.evidence or {}).get("comparisons", ()):
-            for s in self.sources.values():
-                if (s["code"], s["period"]) == (c["code"], c["period"]):
-                    times.setdefault(s["path"], set()).add(c["timestamp"] // 1000)
-        start, end = ((d or "").replace("-", "") for d in (self.request.start, self.request.end))
-        return Wanted(start, end, {k: frozenset(v) for k, v in times.items()})
+    def _shrunk(self, names: list[str]) -> set[str]:
+        known = [(n, k["signature"]["size"]) for n in names if (k := self.state.meta["sources"].get(n, {})).get("signature")]
+        if not known:
+            return set()
+        sizes = [(n, self.sources[n]["signature"]["size"]) for n in names]
+        return {r["source"] for r in changes.shrunk(*(local_frame(self.spark, rows, "source string, size long") for rows in (sizes, known))).collect()}
 
-    def _snapshots(self, names: list[str], stage: Path) -> tuple[DataFrame | None, DataFrame | None]:
-        """Rows of files and rows of records of sources that kept still while they were read; those that moved are read again, TRIES times in all."""
-        self.verdicts: dict[str, dict] = {}
-        parts, left = [], names
-        for attempt in range(TRIES):
-            ready = [n for n in left if self._still_there(n)]
-            if not ready:
-                break
-            info = [(self.sources[n]["path"], n, *(self.sources[n][k] for k in ("code", "market", "period", "kind"))) for n in ready]
-            info = local_frame(self.spark, info, "path string, source string, code string, market string, period string, kind string")
-            place = f"file://{stage}/read-{attempt}"
-            read = read_files(self.spark, [self.sources[n]["path"] for n in ready], self._wanted()).join(F.broadcast(info), "path")
-            self._in_background(lambda: read.write.parquet(place), ready)
-            told = self.spark.read.schema(read.schema).parquet(place)
-            rows = {r["source"]: r for r in told.where("rec IS NULL").select("source", "sha256", "length", "n", "failure", "bad").collect()}
-            left = []
-            for name in ready:
-                if name in rows and self._kept_still(name, rows[name]["length"]):
-                    self.verdicts[name] = rows[name]
-                else:
-                    left.append(name)
-            steady = [n for n in ready if n not in left]
-            if steady:
-                parts.append(told if not left else told.join(F.broadcast(self.frame(steady)), "source", "left_semi"))
-            if not left:
-                break
-        for name in left:
-            if name not in self.failed:
-                self._fail(name, f"source-changed: {self.sources[name]['path']}")
-        if not parts:
-            return None, None
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        clocked = whole.where("rec IS NOT NULL").drop("sha256", "length", "failure", "n", "bad", "bad_inside", "inventory").withColumn("clock", market_clock(F.col("w0")))
-        return whole.where("rec IS NULL").select("source", "inventory"), clocked
-
-    def _still_there(self, name: str) -> bool:
-        """Take the identity of a readable source as it is now."""
+    def _as_listed(self, name: str) -> bool:
+        """Whether the source still is the file that was listed, by a path without links."""
         s = self.sources[name]
         try:
-            check_readable(Path(s["path"]), self.request.source)
-            s["signature"] = stat_signature(Path(s["path"]))
+            if check_readable(Path(s["path"]), self.request.source) != s["signature"]:
+                raise BarError(f"source-changed: {s['path']}")
             return True
         except (BarError, OSError) as exc:
-            self._fail(name, exc)
+            self.settled[name] = partial(self._fail, name, exc)
             return False
 
-    def _kept_still(self, name: str, length: int) -> bool:
-        try:
-            now = stat_signature(Path(self.sources[name]["path"]))
-        except OSError:
-            return False
-        return now == self.sources[name]["signature"] and now["size"] == length
+    def _wanted(self) -> Wanted:
+        paths: dict[tuple, list[str]] = {}
+        for s in self.sources.values():
+            paths.setdefault((s["code"], s["period"]), []).append(s["path"])
+        times: dict[str, set[int]] = {}
+        for c in (self.evidence or {}).get("comparisons", ()):
+            for path in paths.get((c["code"], c["period"]), ()):
+                times.setdefault(path, set()).add(c["timestamp"] // 1000)
+        start, end = ((d or "").replace("-", "") for d in (self.request.start, self.request.end))
+        return Wanted(start, end, {k: frozenset(v) for k, v in times.items()})
+
+    def _read(self, names: list[str], stage: Path) -> tuple[DataFrame, DataFrame]:
+        """One pass over the ranges of all files, into staging; a table of files and one of records. Files are judged as their last ranges end."""
+        columns = ("code", "market", "period", "kind")
+        info = [(self.sources[n]["path"], n, *(self.sources[n][k] for k in columns)) for n in names]
+        info = hinted(local_frame(self.spark, info, "path string, source string, code string, market string, period string, kind string"), len(names))
+        told = self.spark.sparkContext.accumulator([], Told())
+        files = [(self.sources[n]["path"], self.sources[n]["signature"]) for n in names]
+        read = read_files(self.spark, files, self._wanted(), told=told).join(info, "path")
+        ranges = {f[0]: {r.start: r for r in cut(f[0], f[1]["size"], f[1])} for f in files}
+        by_path = {self.sources[n]["path"]: n for n in names}
+        seen: dict[str, dict[int, dict]] = {}
+        read_so_far = 0
+
+        def listen() -> None:
+            nonlocal read_so_far
+            fresh, read_so_far = told.value[read_so_far:], len(told.value)
+            for segment in fresh:
+                own = seen.setdefault(segment["path"], {})
+                own[segment["start"]] = segment
+                if len(own) == len(ranges[segment["path"]]) and by_path[segment["path"]] not in self.verdicts:
+                    self._settle(by_path[segment["path"]], verdict(join_all(own.values())))
+            self._take_turns()
+
+        self._in_background(lambda: read.write.parquet(f"file://{stage}/read"), names, listen)
+        listen()
+        staged = self.spark.read.schema(read.schema).parquet(f"file://{stage}/read")
+        file_verdicts(staged).write.parquet(f"file://{stage}/files")
+        judged = self.spark.read.schema(VERDICTS).parquet(f"file://{stage}/files").join(info.select("path", "source"), "path")
+        for r in judged.select("source", "n", "length", "failure", "sha256", "bad").collect():
+            if r["source"] not in self.verdicts:
+                self._settle(r["source"], {**r.asDict(recursive=True)})
+            if r["source"] in self.identity:
+                self.identity[r["source"]]["sha256"] = r["sha256"]
+        self._take_turns()
+        records = staged.where("rec IS NOT NULL").select("source", *columns, *record_columns()).withColumn("clock", market_clock(F.col("w0")))
+        return judged.select("source", "inventory"), records
+
+    def _settle(self, name: str, found: dict) -> None:
+        self.verdicts[name] = found
+        self.settled[name] = partial(self._judge, name, found)
+
+    def _judge(self, name: str, found: dict) -> None:
+        """The source's own issues, from what was found in the whole of it."""
+        s, failure = self.sources[name], found["failure"]
+        if failure and failure.startswith("source-"):
+            self._fail(name, failure)
+            return
+        self.identity[name] = {"source": name, "signature": s["signature"], "sha256": found.get("sha256")}
+        self.counts["content_revalidated_files"] += 1
+        if name in self.shrunk:
+            self._fail(name, "source-shrunk")
+            return
+        told = {b["blocking"]: _price_details(s, b) for b in found["bad"]}
+        if failure:
+            self._fail(name, failure, told.get(True) if failure == "invalid-ohlc" else None)
+            if failure == "invalid-ohlc":
+                self.bad_days[name] = told[True]["days"]
+            return
+        self.warnings[name] = [{"category": "warning", "reason": "invalid-ohlc-outside-scope", **told[False], "path": s["path"]}] if False in told else []
+        self.log.issues(dict(w) for w in self.warnings[name])
 
-    def _in_background(self, job, names: list[str]) -> None:
-        """Run a Spark job that can be cancelled, and tell of sources while it runs, as the tasks that read them end."""
+    def _in_background(self, job, names: list[str], listen) -> None:
+        """Run a Spark job that can be cancelled; meanwhile listen to its finished tasks and tell of its progress."""
         context, group, failure = self.spark.sparkContext, f"barloom-{uuid.uuid4().hex}", []
 
         def work():
@@ -344,6 +382,7 @@ class Run:
                 thread.join(POLL_SECONDS)
                 self.check_cancel()
                 self._tell_progress(group, names)
+                listen()
         except Cancelled:
             context.cancelJobGroup(group)
             thread.join()
@@ -359,40 +398,10 @@ class Run:
             self.told = (done, total)
             self.log.emit("reading", sources=len(names), tasks_done=done, tasks=total)
 
-    def _judge(self, files: DataFrame, records: DataFrame, stage: Path) -> None:
-        inside = scope.in_days(F.col("day"), *((d and d.replace("-", "")) for d in (self.request.start, self.request.end)))
-        details: dict[tuple, dict] = {}
-        if any(v["bad"] for v in self.verdicts.values()):
-            stamp = F.date_format("clock", "yyyy-MM-dd HH:mm:ss").alias("datetime")
-            priced = records.select("source", "rec", "day", stamp, *[(F.col(f"w{k}") / 1000).alias(n) for k, n in enumerate(("open", "high", "low", "close"), 1)])
-            details = {(r["source"], r["blocking"]): r for r in validate.bad_price_summary(priced, inside, "source", show=("datetime",)).collect()}
-        sizes = [(n, v["length"]) for n, v in self.verdicts.items()]
-        known = [(n, k["signature"]["size"]) for n, k in self.state.meta["sources"].items() if n in self.verdicts and k.get("signature")]
-        frames = [local_frame(self.spark, rows, "source string, size long") for rows in (sizes, known)]
-        shrunk = {r["source"] for r in changes.shrunk(*frames).collect()} if known else set()
-        self.bad_days: dict[str, list[str]] = {}
-        sound, warnings = [], {}
-        for name, v in self.verdicts.items():
-            s = self.sources[name]
-            self.identity[name] = {"source": name, "signature": s["signature"], "sha256": v["sha256"]}
-            self.counts["content_revalidated_files"] += 1
-            if name in shrunk:
-                self._fail(name, "source-shrunk")
-                continue
-            told = {b: _price_details(s, details[name, b]) for b in (True, False) if (name, b) in details}
-            if v["failure"]:
-                self._fail(name, v["failure"], told.get(True) if v["failure"] == "invalid-ohlc" else None)
-                if v["failure"] == "invalid-ohlc":
-                    self.bad_days[name] = told[True]["days"]
-                continue
-            warnings[name] = [{"category": "warning", "reason": "invalid-ohlc-outside-scope", **told[False], "path": s["path"]}] if False in told else []
-            self.log.issues(dict(w) for w in warnings[name])
-            sound.append(name)
-        self._compare_days(sound, warnings, files, records, inside, stage)
-
-    def _compare_days(self, sound: list[str], warnings: dict, files: DataFrame, records: DataFrame, inside, stage: Path) -> None:
+    def _compare_days(self, sound: list[str], warnings: dict, files: DataFrame, records: DataFrame, stage: Path) -> None:
         spark, keys = self.spark, ("source", "day")
-        mine = F.broadcast(self.frame(sound))
+        inside = scope.in_days(F.col("day"), *((d and d.replace("-", "")) for d in (self.request.start, self.request.end)))
+        mine = hinted(self.frame(sound), len(sound))
         records = records.join(mine, "source", "left_semi")
         prints = fingerprint.fingerprints(records.where(inside))
         prints = prints.withColumn("partition", scope.partition_of(F.col("kind"), F.col("period"), F.col("day"), F.col("market"))).withColumn("rule_version", F.lit(RULE_VERSION))
@@ -421,7 +430,7 @@ class Run:
             for change in ("new", "revised", "reused"):
                 self.counts[f"{change}_days"] += found[name].get(change, 0)
             self.candidates[name] = {"warnings": warnings[name], "day_count": found[name].get("days", 0)}
-        now = prints.join(F.broadcast(self.frame(good)), "source", "left_semi")
+        now = prints.join(hinted(self.frame(good), len(good)), "source", "left_semi")
         wanted = judged if self.action == "verify" else judged.where("change <> 'reused'")
         pending = now.join(wanted.select(*keys), list(keys), "left_semi").select(*days_columns)
         pending.write.parquet(f"file://{stage}/pending")
@@ -434,7 +443,7 @@ class Run:
         if not self.evidence:
             return
         needed = [n for n in names if (self.sources[n]["code"], self.sources[n]["period"]) in self.needed]
-        bars = decode.to_bars(records.join(F.broadcast(self.frame(needed)), "source", "left_semi"))
+        bars = decode.to_bars(records.join(hinted(self.frame(needed), len(needed)), "source", "left_semi"))
         matches = evidence.match_evidence(evidence.expected_fields(self.spark, self.evidence), bars)
         self.matched = sum(r["matched"] for r in matches.collect())
 
@@ -442,7 +451,7 @@ class Run:
         rows = [(n, *(self.sources[n][k] for k in ("code", "market", "period", "kind"))) for n in self.failed]
         failed = local_frame(self.spark, rows, "source string, code string, market string, period string, kind string")
         self.block(blocking.blocked_by_source(self.days, failed))
-        bad = [(n, d) for n, days in getattr(self, "bad_days", {}).items() for d in days]
+        bad = [(n, d) for n, days in self.bad_days.items() for d in days]
         if bad:
             days = local_frame(self.spark, bad, "source string, day string").join(failed, "source")
             days = days.withColumn("partition", scope.partition_of(F.col("kind"), F.col("period"), F.col("day"), F.col("market")))
@@ -547,7 +556,7 @@ class Run:
         old = [p for p in old if p not in out]
         stage = safe_path(self.root, f".staging/{self.run_id}")
         place = scope.partition_of(F.col("kind"), F.col("period"), F.col("trade_date"), F.col("market"))
-        going = F.broadcast(self.frame([p for p in names if p not in out], "partition string"))
+        going = hinted(self.frame([p for p in names if p not in out], "partition string"), len(names))
         of = lambda df: df.withColumn("partition", place).join(going, "partition", "left_semi")
         incoming = of(self.bars)
         existing = of(read_partitions(self.spark, self.root, old))
@@ -570,8 +579,8 @@ class Run:
         if self.action == "verify":
             return {p: out.get(p, ()) for p in names}
         merged = merge.replace_days(existing, incoming.select(*existing.columns), keys) if old else incoming
-        bad = self.frame(out, "partition string")
-        write_partitions(merged.join(F.broadcast(bad), "partition", "left_anti").drop("partition"), stage / "data")
+        bad = hinted(self.frame(out, "partition string"), len(out))
+        write_partitions(merged.join(bad, "partition", "left_anti").drop("partition"), stage / "data")
         return out | self._read_back(stage, [p for p in names if p not in out], by_day, hashes)
 
     def _read_back(self, stage: Path, names: list[str], by_day, hashes: dict) -> dict[str, object]:
@@ -580,7 +589,7 @@ class Run:
             return {}
         place = scope.partition_of(F.col("kind"), F.col("period"), F.col("trade_date"), F.col("market"))
         written = by_day(read_partitions(self.spark, stage, names).withColumn("partition", place))
-        going = F.broadcast(self.frame(names, "partition string"))
+        going = hinted(self.frame(names, "partition string"), len(names))
         columns = ("partition", "code", "day", "digest", "rows")
         pending = self.pending.join(going, "partition", "left_semi").select("source", *columns)
         kept = self.days.join(going, "partition", "left_semi").select("source", *columns).join(pending.select("source", "day"), ["source", "day"], "left_anti")

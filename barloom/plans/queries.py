@@ -17,7 +17,8 @@ from barloom.operators import blocking, changes, evidence, fingerprint, merge, r
 from barloom.operators.decode import amount_inexact, amount_of
 from barloom.schema import BAR_FIELDS, DIGEST_TAG, HEADER_HEX
 from barloom.sources.listing import classify_listing, kind_of
-from barloom.sources.records import WORDS, read_records_sql
+from barloom.operators.segments import verdicts
+from barloom.sources.records import WORDS, Wanted, range_segments, read_records_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -248,6 +249,48 @@ def time_order(spark, d):
     return validate.time_order(rows, "code", "rec", "cents")
 
 
+#: Events of a code and of some users stand for a file, in time order; prices are in thousandths.
+_FILES = """f AS (SELECT event_type || '/' || user_id % 60 AS path, epoch_us(ts) // 1000000 AS s, CAST(round(value * 1000) AS BIGINT) AS o, user_id, event_id,
+  row_number() OVER (PARTITION BY event_type, user_id % 60 ORDER BY ts, event_id) - 1 AS rec FROM events),
+p AS (SELECT path, rec, s, o, o + (event_id % 97 - 1) * 1000 AS h, greatest(0, o - (event_id % 5) * 1000) AS l, o AS c, strftime(make_timestamp((s + 28800) * 1000000), '%Y%m%d') AS day FROM f)"""
+
+
+def _file_records(spark, d) -> DataFrame:
+    e = _t(spark, d, "events").select(
+        F.concat_ws("/", "event_type", (F.col("user_id") % 60).cast("string")).alias("path"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("w0"),
+        F.round(F.col("value") * 1000).cast("long").alias("w1"), "ts", "event_id",
+    )
+    placed = e.withColumn("rec", F.row_number().over(W.partitionBy("path").orderBy("ts", "event_id")).cast("long") - 1)
+    prices = {"w2": F.col("w1") + (F.col("event_id") % 97 - 1) * 1000, "w3": F.greatest(F.lit(0), F.col("w1") - (F.col("event_id") % 5) * 1000), "w4": F.col("w1")}
+    return placed.withColumns(prices).withColumns({f"w{k}": F.lit(0).cast("long") for k in (6, 8, 9, 13, 14)})
+
+
+@query(f"""WITH {_FILES}, r AS (SELECT *, s = 0 OR coalesce(s <= lag(s) OVER (PARTITION BY path ORDER BY rec), false) AS breaks,
+  o = 0 OR h = 0 OR l = 0 OR h < greatest(o, l) OR l > least(o, h) AS bad, day BETWEEN '20240105' AND '20240109' AS inside FROM p)
+SELECT path, count(*) AS n, CASE WHEN bool_or(breaks) THEN 'invalid-time-order' WHEN bool_or(bad AND inside) THEN 'invalid-ohlc' END AS failure,
+  count(*) FILTER (bad AND inside) AS bad_inside, count(*) FILTER (bad AND NOT inside) AS bad_outside, count(DISTINCT day) AS days FROM r GROUP BY path""")
+def segment_summary(spark, d):
+    """Files cut into ranges of seven records, their segments made apart and joined."""
+    found = verdicts(range_segments(_file_records(spark, d), 7, Wanted("20240105", "20240109")))
+    bad = lambda side: F.coalesce(F.aggregate("bad", F.lit(0).cast("long"), lambda n, b: n + F.when(b["blocking"] == side, b["count"]).otherwise(0)), F.lit(0))
+    return found.select("path", "n", "failure", bad(True).alias("bad_inside"), bad(False).alias("bad_outside"), F.size("inventory").cast("long").alias("days"))
+
+
+@query(f"""WITH {_FILES}, d AS (SELECT path, day, count(*) AS rows FROM p GROUP BY path, day) SELECT path, day, rows FROM d""")
+def segment_inventory(spark, d):
+    """Days of the same files: those at the borders of ranges are put together."""
+    found = verdicts(range_segments(_file_records(spark, d), 7)).select("path", F.explode("inventory").alias("d"))
+    return found.select("path", "d.day", "d.rows")
+
+
+@query(f"""WITH {_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rec) AS place FROM p WHERE o = 0 OR h = 0 OR l = 0 OR h < greatest(o, l) OR l > least(o, h))
+SELECT path, rec AS record, day, o / 1000.0::DOUBLE AS open, h / 1000.0::DOUBLE AS high, l / 1000.0::DOUBLE AS low FROM r WHERE place <= 10""")
+def segment_bad_rows(spark, d):
+    """The first bad rows of each file, from segments that keep their own first ones."""
+    found = verdicts(range_segments(_file_records(spark, d), 7)).select("path", F.explode("bad").alias("b")).select("path", F.explode("b.rows").alias("r"))
+    return found.select("path", "r.record", "r.day", "r.open", "r.high", "r.low")
+
+
 @query(f"WITH {_E} SELECT code, day, min(rec) AS first_rec, count(*) AS rows FROM e GROUP BY 1, 2")
 def day_groups(spark, d):
     return fingerprint.day_groups(_e(spark, d), "code")

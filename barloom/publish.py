@@ -17,6 +17,7 @@ from barloom.errors import BarError
 from barloom.schema import BAR_COLUMNS, PARTITION_COLUMNS, STORED_SCHEMA
 from barloom.sources.listing import check_readable, stat_signature
 from barloom.files import sync_path, write_json
+from barloom.sources.records import file_hashes
 from barloom.state import State, safe_path
 from barloom.sources.local import local_frame
 
@@ -104,14 +105,12 @@ def check_sources(root: Path, sources: list[dict], spark: SparkSession | None =
     """Every source is still the file that was read; with a session its content is hashed again as well."""
     for s in sources:
         path = root / s["source"]
-        check_readable(path, root)
-        if stat_signature(path) != s["signature"]:
+        if check_readable(path, root) != s["signature"]:
             raise BarError(f"source-changed-before-publish: {s['source']}")
-    if spark is not None and sources:
-        files = spark.read.format("binaryFile").load([f"file://{root / s['source']}" for s in sources])
-        found = {r["path"]: r["sha"] for r in files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("sha")).collect()}
+    if spark is not None:
+        found = file_hashes(spark, [(str(root / s["source"]), s["signature"]) for s in sources])
         for s in sources:
-            if found.get(str(root / s["source"])) != s["sha256"]:
+            if found[str(root / s["source"])] != s["sha256"]:
                 raise BarError(f"source-content-changed: {s['source']}")
 
 

@@ -13,7 +13,7 @@ from barloom.functions.digest import group_digests
 from barloom.operators import decode, evidence, fingerprint, scope, validate
 from barloom.schema import BAR_COLUMNS
 from barloom.sources.listing import scan_sources
-from barloom.sources.records import read_files, read_records, read_records_sql
+from barloom.sources.records import file_verdicts, read_files, read_records, read_records_sql
 from tests.conftest import HEADER, row, write_dat
 
 INFO = {"source": "s", "code": "600000.SH", "market": "SH", "period": "1d", "kind": "stock"}
@@ -90,7 +90,7 @@ def test_fixed_offset_clock(spark):
 def test_broken_files(spark, tmp_path, raw, reason):
     path = tmp_path / "600000.DAT"
     path.write_bytes(raw)
-    found = read_files(spark, [str(path)]).where("rec IS NULL").first()
+    found = file_verdicts(read_files(spark, [str(path)])).first()
     assert (found["failure"], found["n"]) == (reason, None)
 
 
@@ -101,7 +101,7 @@ def test_verdicts_in_their_order(spark, tmp_path):
         "600005": ([row(w1=7400, w14=1)], "invalid-ohlc"), "600006": ([row(w9=2**32 - 1)], "amount-not-exactly-representable"), "600007": ([row(w4=0)], "invalid-ohlc"),
     }
     paths = [write_dat(tmp_path / f"{k}.DAT", *rows) for k, (rows, _) in cases.items()]
-    found = {r["path"].rsplit("/", 1)[1][:6]: r["failure"] for r in read_files(spark, [str(p) for p in paths]).where("rec IS NULL").collect()}
+    found = {r["path"].rsplit("/", 1)[1][:6]: r["failure"] for r in file_verdicts(read_files(spark, [str(p) for p in paths])).collect()}
     assert found == {k: reason for k, (_, reason) in cases.items()}
 
 
