@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -47,6 +48,29 @@ def covering(requests: DataFrame, receipts: DataFrame, key: str = "source") -> D
     return requests.join(r, key).where((F.col("receipt_start") <= F.col("start")) & (F.col("receipt_end") >= F.col("end")))
 
 
+def first_covering(requests: DataFrame, receipts: DataFrame, key: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, start, end of requests that a receipt of their key contains, with the receipt that begins first (of equal ones, the one that ends first) and columns that it carries.
+
+    That receipt is the least (start, end) of those that end no earlier than the request does, so it is a running
+    minimum over ends, not a join of intervals. A key's ends are taken month by month, with the least of all later months
+    carried in, so that a key with very many receipts is not one task's. Both have YYYYMMDD texts.
+    """
+    month = F.substring("end", 1, 6).alias("month")
+    held = receipts.select(key, month, F.col("end").alias("at"), F.struct("start", "end", *carry).alias("receipt"))
+    asked = requests.select(key, month, F.col("end").alias("at"), F.lit(None).cast(held.schema["receipt"].dataType).alias("receipt"), "start")
+    # A receipt that ends on the request's day comes before it.
+    inside = W.partitionBy(key, "month").orderBy(F.col("at").desc(), F.col("receipt").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    rows = held.withColumn("start", F.lit(None).cast("string")).unionByName(asked)
+    best = rows.withColumn("inside", F.min("receipt").over(inside)).where("start IS NOT NULL")
+    months = rows.groupBy(key, "month").agg(F.min("receipt").alias("least"))
+    later = F.min("least").over(W.partitionBy(key).orderBy(F.col("month").desc()).rowsBetween(W.unboundedPreceding, -1))
+    carried = months.select(key, "month", later.alias("later"))
+    found = best.join(carried, [key, "month"]).withColumn("receipt", F.least("inside", "later"))
+    found = found.where(F.col("receipt.start") <= F.col("start"))
+    receipt = [F.col("receipt.start").alias("receipt_start"), F.col("receipt.end").alias("receipt_end"), *[F.col(f"receipt.{c}").alias(c) for c in carry]]
+    return found.select(key, "start", F.col("at").alias("end"), *receipt)
+
+
 def corroborated(manifest: DataFrame, cached: DataFrame, keys: tuple[str, ...], same: tuple[str, ...], on: str = "source") -> DataFrame:
     """on, valid: whether the manifest's days and the cached days are the same set with equal columns."""
     classified = classify_days(manifest, cached, (on, *keys), same)

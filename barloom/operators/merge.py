@@ -28,3 +28,20 @@ def differing(left: DataFrame, right: DataFrame) -> DataFrame:
     columns = left.columns
     one = left.exceptAll(right.select(*columns)).withColumn("side", F.lit("left"))
     return one.unionByName(right.select(*columns).exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def newest(base: DataFrame, later: list[DataFrame], keys: tuple[str, ...], broadcast: bool = False) -> DataFrame:
+    """The newest row of each key, of a base and later parts in order, each with one row a key.
+
+    Later parts are taken to be small: only they are grouped, and the base stays where it is if they may be broadcast.
+    """
+    if not later:
+        return base
+    fresh = later[0]
+    if len(later) > 1:
+        stacked = fresh.withColumn("_part", F.lit(0))
+        for k, part in enumerate(later[1:], 1):
+            stacked = stacked.unionByName(part.withColumn("_part", F.lit(k)))
+        fresh = stacked.groupBy(*keys).agg(F.max_by(F.struct(*base.columns), "_part").alias("_row")).select("_row.*")
+    replaced = fresh.select(*keys)
+    return base.join(F.broadcast(replaced) if broadcast else replaced, list(keys), "left_anti").select(*base.columns).unionByName(fresh.select(*base.columns))

@@ -9,6 +9,7 @@ journals and reports.
 
 from __future__ import annotations
 
+import json
 import shutil
 import uuid
 from dataclasses import replace
@@ -30,7 +31,7 @@ from barloom.publish import (
     check_sources, commit_published, folder_hashes, folder_signature, forget, misfits, publish, read_partitions, recover, write_partitions,
 )
 from barloom.report import write_text_report
-from barloom.schema import BAR_COLUMNS, DAYS_SCHEMA, PROFILE, RULE_VERSION, VALIDATION_VERSION
+from barloom.schema import BAR_COLUMNS, DAYS_SCHEMA, PROFILE, RECEIPTS_SCHEMA, RULE_VERSION, VALIDATION_VERSION
 from barloom.operators.segments import VERDICTS, join_all, verdict
 from barloom.sources.listing import check_readable, scan_sources
 from barloom.sources.records import Told, Wanted, cut, file_verdicts, read_files, record_columns
@@ -200,46 +201,44 @@ class Run:
         }
         if not same:
             return {}
-        mine = self.days.join(self.frame(same), "source", "left_semi")
-        good = self.frame(self.checked - self.blocked, "partition string")
+        mine = self.days.join(hinted(self.frame(same), len(same)), "source", "left_semi")
+        sound = self.checked - self.blocked
+        good = hinted(self.frame(sound, "partition string"), len(sound))
         if not request.bounded:
             if request.mode != "incremental":
                 return {}
             bad = {r["source"] for r in mine.join(good, "partition", "left_anti").select("source").distinct().collect()}
             counts = {r["source"]: r["count"] for r in mine.groupBy("source").count().collect()}
             return {n: ("stat_reused_files", counts.get(n, 0), []) for n, k in same.items() if k.get("complete") and n not in bad}
-        start, end = request.bounds
-        receipts = [
-            r for r in meta["receipts"]
-            if r["source"] in same and r["signature"] == same[r["source"]]["signature"] and r["sha256"] == same[r["source"]]["sha256"]
-            and r["rule_version"] == RULE_VERSION and r["validation_version"] == VALIDATION_VERSION
-        ]
-        if not receipts:
+        return self._covered(same, mine, good)
+
+    def _covered(self, same: dict[str, dict], mine: DataFrame, good: DataFrame) -> dict[str, tuple]:
+        """Sources whose asked days a receipt of the same content contains, and whose cached days are still those of the receipt."""
+        if not self.state.meta["parts"]["receipts"]:
+            return {}
+        (start, end), now = self.request.bounds, ("signature", "sha256", "rule_version", "validation_version")
+        rows = [(n, start, end, _canonical(k["signature"]), k["sha256"], RULE_VERSION, VALIDATION_VERSION) for n, k in same.items()]
+        asked = local_frame(self.spark, rows, "source string, start string, end string, " + ", ".join(f"{c} string" for c in now))
+        current = hinted(asked.drop("start", "end"), len(same))
+        receipts = self.state.table("receipts").join(current, ["source", *now])
+        # One row a source at most.
+        cover = {r["source"]: r for r in changes.first_covering(asked, receipts, carry=("warnings",)).collect()}
+        if not cover:
             return {}
-        asked = self.frame(same).withColumns({"start": F.lit(start), "end": F.lit(end)})
-        held = local_frame(self.spark, [(r["source"], r["start"], r["end"]) for r in receipts], "source string, start string, end string")
-        cover = changes.covering(asked, held).select("source", "receipt_start", "receipt_end")
+        schema = "source string, receipt_start string, receipt_end string"
+        chosen = hinted(local_frame(self.spark, [(n, r["receipt_start"], r["receipt_end"]) for n, r in cover.items()], schema), len(cover))
         inside = F.col("day").between(start, end)
         columns = ("raw_hash", "digest", "rows", "partition", "rule_version", "good")
-        held_days = self.state.receipt_days.where(inside).withColumnsRenamed({"start": "receipt_start", "end": "receipt_end"})
-        held_days = held_days.join(cover, ["source", "receipt_start", "receipt_end"], "left_semi").withColumns({"rule_version": F.lit(RULE_VERSION), "good": F.lit(True)})
-        cached = mine.where(inside).join(good.withColumn("_good", F.lit(True)), "partition", "left").withColumn("good", F.coalesce("_good", F.lit(False)))
-        cached = cached.join(cover, "source")
-        key = F.concat_ws("|", "source", "receipt_start", "receipt_end")
-        judged = changes.corroborated(held_days.withColumn("receipt", key), cached.withColumn("receipt", key), ("source", "day"), columns, on="receipt")
-        facts = judged.select(F.lit("valid").alias("fact"), F.col("receipt").alias("name"), F.col("valid").cast("long").alias("n"))
-        facts = facts.unionByName(mine.where(inside).groupBy("source").agg(F.count("*").alias("n")).select(F.lit("days").alias("fact"), F.col("source").alias("name"), "n"))
-        facts = facts.unionByName(cover.select(F.lit("covers").alias("fact"), key.alias("name"), F.lit(1).cast("long").alias("n")))
-        told: dict[str, dict[str, int]] = {"valid": {}, "days": {}, "covers": {}}
-        for r in facts.collect():
-            told[r["fact"]][r["name"]] = r["n"]
-        out = {}
-        for r in receipts:
-            # A receipt without days in the interval is valid if nothing is cached there either.
-            name = "|".join((r["source"], r["start"], r["end"]))
-            if name in told["covers"] and told["valid"].get(name, 1):
-                out.setdefault(r["source"], ("scope_reused_files", told["days"].get(r["source"], 0), r["warnings"]))
-        return out
+        held = self.state.table("receipt_days").where(inside).withColumnsRenamed({"start": "receipt_start", "end": "receipt_end"})
+        held = held.join(chosen, ["source", "receipt_start", "receipt_end"], "left_semi").withColumns({"rule_version": F.lit(RULE_VERSION), "good": F.lit(True)})
+        cached = mine.where(inside).join(chosen.select("source"), "source", "left_semi")
+        cached = cached.join(good.withColumn("_good", F.lit(True)), "partition", "left").withColumn("good", F.coalesce("_good", F.lit(False)))
+        valid = changes.corroborated(held, cached, ("day",), columns).select("source", F.lit("valid").alias("fact"), F.col("valid").cast("long").alias("n"))
+        facts: dict[str, dict[str, int]] = {n: {} for n in cover}
+        for r in valid.unionByName(cached.groupBy("source").agg(F.lit("days").alias("fact"), F.count("*").alias("n"))).collect():
+            facts[r["source"]][r["fact"]] = r["n"]
+        # A receipt without days in the interval is valid if nothing is cached there either.
+        return {n: ("scope_reused_files", facts[n].get("days", 0), json.loads(r["warnings"])) for n, r in cover.items() if facts[n].get("valid", 1)}
 
     def _reuse(self, name: str, s: dict, how: tuple) -> None:
         counter, days, warnings = how
@@ -679,27 +678,17 @@ class Run:
             return False
 
     def _grant_receipts(self, granted: list[str]) -> None:
-        meta, (start, end) = self.state.meta, self.request.bounds
-        stale = lambda r: r["source"] in granted and (r["signature"] != meta["sources"][r["source"]]["signature"] or (r["start"], r["end"]) == (start, end))
-        before = len(meta["receipts"])
-        meta["receipts"] = [r for r in meta["receipts"] if not stale(r)]
-        if len(meta["receipts"]) == before and not (self.request.bounded and granted):
+        """Commit what completion changed; a bounded run's sound sources get receipts. One of another content is never matched again."""
+        if not (self.request.bounded and granted):
             self.state.commit()
             return
-        receipt_days = self.state.receipt_days
-        keys = [(r["source"], r["start"], r["end"]) for r in meta["receipts"]]
-        kept = local_frame(self.spark, keys, "source string, start string, end string")
-        receipt_days = receipt_days.join(kept, ["source", "start", "end"], "left_semi").select(*receipt_days.columns)
-        if self.request.bounded and granted:
-            for name in granted:
-                s = meta["sources"][name]
-                meta["receipts"].append({
-                    "source": name, "start": start, "end": end, "signature": s["signature"], "sha256": s["sha256"], "rule_version": RULE_VERSION,
-                    "validation_version": VALIDATION_VERSION, "warnings": self.candidates[name]["warnings"],
-                })
-            fresh = self.manifest.join(self.frame(granted), "source", "left_semi").withColumns({"start": F.lit(start), "end": F.lit(end)})
-            receipt_days = receipt_days.unionByName(fresh.select(*receipt_days.columns))
-        self.state.commit(None, receipt_days)
+        meta, (start, end) = self.state.meta, self.request.bounds
+        rows = []
+        for name in granted:
+            s = meta["sources"][name]
+            rows.append((name, start, end, _canonical(s["signature"]), s["sha256"], RULE_VERSION, VALIDATION_VERSION, json.dumps(self.candidates[name]["warnings"])))
+        days = self.manifest.join(hinted(self.frame(granted), len(granted)), "source", "left_semi").withColumns({"start": F.lit(start), "end": F.lit(end)})
+        self.state.commit(receipts=local_frame(self.spark, rows, RECEIPTS_SCHEMA), receipt_days=days.select(*self.state.table("receipt_days").columns))
 
     def clean(self) -> None:
         """Staging of this run goes unless a journal still needs it."""
@@ -707,6 +696,10 @@ class Run:
             shutil.rmtree(safe_path(self.root, f".staging/{self.run_id}"), ignore_errors=True)
 
 
+def _canonical(signature: dict) -> str:
+    return json.dumps(signature, sort_keys=True)
+
+
 def _price_details(s: dict, row) -> dict:
     rows = [{"record": x["record"], "date": x["datetime"][:10], **{k: x[k] for k in ("datetime", "open", "high", "low", "close")}} for x in row["rows"]]
     return {"code": s["code"], "period": s["period"], "count": row["count"], "blocking": row["blocking"], "days": list(row["days"]), "rows": rows}

@@ -180,6 +180,32 @@ def receipt_range(spark, d):
     return changes.covering(asked[0].unionByName(asked[1]), receipts)
 
 
+@query("""WITH r AS (SELECT o_custkey % 5 AS source, strftime(o_orderdate, '%Y%m%d') AS start, strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 200 AS INTEGER), '%Y%m%d') AS "end" FROM orders WHERE o_orderkey % 10 < 3),
+q AS (SELECT DISTINCT l_suppkey % 5 AS source, strftime(l_shipdate, '%Y%m%d') AS start, strftime(CAST(l_shipdate AS DATE) + CAST(150 + l_linenumber * 8 AS INTEGER), '%Y%m%d') AS "end" FROM lineitem),
+m AS (SELECT source, start, "end", (SELECT min(row(r.start, r."end")) FROM r WHERE r.source = q.source AND r.start <= q.start AND r."end" >= q."end") AS best FROM q)
+SELECT source, start, "end", best[1] AS receipt_start, best[2] AS receipt_end FROM m WHERE best IS NOT NULL""")
+def receipt_first_cover(spark, d):
+    """Many intervals a key: the first receipt around each request, without a join of intervals."""
+    text = lambda c: F.date_format(c, "yyyyMMdd")
+    orders, items = _t(spark, d, "orders"), _t(spark, d, "lineitem")
+    receipts = orders.where("o_orderkey % 10 < 3").select(
+        (F.col("o_custkey") % 5).alias("source"), text("o_orderdate").alias("start"), text(F.date_add("o_orderdate", (F.col("o_orderkey") % 200).cast("int"))).alias("end")
+    )
+    asked = items.select(
+        (F.col("l_suppkey") % 5).alias("source"), text("l_shipdate").alias("start"), text(F.date_add("l_shipdate", (150 + F.col("l_linenumber") * 8).cast("int"))).alias("end")
+    )
+    return changes.first_covering(asked.distinct(), receipts)
+
+
+@query(f"""WITH {_OLDNEW}{_FP}, parts AS (SELECT *, 0 AS part FROM fo UNION ALL SELECT *, 1 FROM fn WHERE day >= '20240110' UNION ALL SELECT code, day, rows + 1, mark, 2 FROM fo WHERE day BETWEEN '20240120' AND '20240122')
+SELECT code, day, rows, mark FROM parts QUALIFY row_number() OVER (PARTITION BY code, day ORDER BY part DESC) = 1""")
+def newest_of_parts(spark, d):
+    """State days from a base and two later parts."""
+    base, new = _fp(_old(spark, d)), _fp(_new(spark, d))
+    again = base.where(F.col("day").between("20240120", "20240122")).withColumn("rows", F.col("rows") + 1)
+    return merge.newest(base, [new.where("day >= '20240110'"), again], ("code", "day"))
+
+
 @query(f"""WITH {_OLDNEW}{_FP} SELECT coalesce(fn.code, fo.code) AS source, bool_and(fo.code IS NOT NULL AND fn.code IS NOT NULL AND fo.rows = fn.rows AND fo.mark = fn.mark) AS valid
 FROM (SELECT * FROM fn WHERE day <= '20240110') fn FULL JOIN (SELECT * FROM fo WHERE day <= '20240110') fo ON fn.code = fo.code AND fn.day = fo.day GROUP BY 1""")
 def receipt_corroborated(spark, d):

@@ -7,6 +7,7 @@ import json
 import os
 import shutil
 from pathlib import Path
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.errors import BarError
-from barloom.schema import BAR_COLUMNS, PARTITION_COLUMNS, STORED_SCHEMA
+from barloom.functions.digest import group_digests, merged_digest
+from barloom.operators import scope
+from barloom.schema import BAR_COLUMNS, DAYS_SCHEMA, PARTITION_COLUMNS, STORED_SCHEMA
 from barloom.sources.listing import check_readable, stat_signature
 from barloom.files import sync_path, write_json
 from barloom.sources.records import file_hashes
 from barloom.state import State, safe_path
-from barloom.sources.local import local_frame
+from barloom.sources.local import hinted, local_frame
 
 
 def data_files(folder: Path) -> list[Path]:
@@ -48,7 +51,7 @@ def folder_hashes(spark: SparkSession, folders: dict[str, Path]) -> dict[str, st
 
 
 def read_partitions(spark: SparkSession, root: Path, partitions: list[str]) -> DataFrame:
-    """Bars of partition folders with their partition columns; schema and nulls are checked by check_stored."""
+    """Bars of partition folders with their partition columns; their schema and nulls are checked by misfits."""
     if not partitions:
         return local_frame(spark, [], STORED_SCHEMA)
     return spark.read.schema(STORED_SCHEMA).option("basePath", f"file://{root}/data").parquet(*[f"file://{root}/{p}" for p in partitions])
@@ -80,11 +83,6 @@ def misfits(spark: SparkSession, root: Path, partitions: list[str]) -> list[str]
     return [r["partition"] for r in wrong.select("partition").distinct().collect()]
 
 
-def check_stored(spark: SparkSession, root: Path, partition: str) -> None:
-    if misfits(spark, root, [partition]):
-        raise BarError("output-schema-mismatch")
-
-
 def write_partitions(bars: DataFrame, folder: Path) -> None:
     """One sorted file a partition folder, with plain Snappy pages."""
     spark, key = bars.sparkSession, "spark.sql.optimizer.plannedWrite.enabled"
@@ -137,7 +135,8 @@ def publish(root: Path, source_root: Path, run: str, partition: str, staged: Pat
         os.replace(target, backup)
     os.replace(staged, target)
     sync_path(target.parent)
-    return journal
+    # As it was swapped in: what is done to it from here on is found at the end of the run.
+    return {**journal, "signature": folder_signature(target)}
 
 
 def forget(root: Path, journal: dict) -> None:
@@ -150,67 +149,93 @@ def commit_published(state: State, journals: list[dict]) -> None:
     """Pending days of published partitions replace cached ones, in one new version of the state."""
     if not journals:
         return
-    root, days, fresh = state.root, state.days, None
-    by_run: dict[str, list[str]] = {}
+    root, by_run = state.root, {}
     for j in journals:
         by_run.setdefault(j["run"], []).append(j["partition"])
-        state.meta["partitions"][j["partition"]] = {"sha256": j["sha256"], "digest": j["digest"], "signature": folder_signature(safe_path(root, j["partition"]))}
+        state.meta["partitions"][j["partition"]] = {"sha256": j["sha256"], "digest": j["digest"], "signature": j.get("signature") or folder_signature(safe_path(root, j["partition"]))}
+    fresh = None
     for run, partitions in by_run.items():
-        pending = state.spark.read.schema(days.schema).parquet(f"file://{safe_path(root, f'.staging/{run}/pending')}")
-        pending = pending.where(F.col("partition").isin(*partitions))
+        pending = state.spark.read.schema(DAYS_SCHEMA).parquet(f"file://{safe_path(root, f'.staging/{run}/pending')}")
+        published = hinted(local_frame(state.spark, [(p,) for p in partitions], "partition string"), len(partitions))
+        pending = pending.join(published, "partition", "left_semi")
         fresh = pending if fresh is None else fresh.unionByName(pending)
-    state.commit(days.join(fresh.select("source", "day"), ["source", "day"], "left_anti").select(*days.columns).unionByName(fresh))
+    state.commit(days=fresh)
+
+
+def content_digests(spark: SparkSession, root: Path, partitions: list[str]) -> dict[str, str]:
+    """Digest of what each stored partition holds now, made from its days as at publication; one job for all."""
+    place = scope.partition_of(F.col("kind"), F.col("period"), F.col("trade_date"), F.col("market"))
+    bars = read_partitions(spark, root, partitions).withColumn("partition", place).select("partition", *BAR_COLUMNS)
+    days = group_digests(bars, "partition", "code", "trade_date").withColumnRenamed("trade_date", "day")
+    return {r["partition"]: r["digest"] for r in merged_digest(days, "partition").collect()} if partitions else {}
+
+
+class _Found(NamedTuple):
+    """What a journal's target is, as against the journal: its new content, its old one, nothing or another."""
+
+    target: str
+    committed: bool
+    backup: bool
+
+
+def _found(j: dict, target: str | None, backup: str | None, known: dict | None) -> _Found:
+    state = "new" if target == j["sha256"] else "old" if target is not None and target == j["old_sha256"] else "none" if target is None else "other"
+    committed = known is not None and all(known[k] == j[k] for k in ("sha256", "digest"))
+    return _Found(state, committed, j["old_sha256"] is not None and backup == j["old_sha256"])
+
+
+def _step(found: _Found, had_old: bool, unsound: Exception | None) -> str:
+    """What is done about a journal; unsound tells why a new content may not stand."""
+    steps = {
+        ("new", False, True): "commit", ("new", True, True): "keep", ("new", True, False): "keep and warn",
+        ("new", False, False): ("restore" if found.backup else "stop: recovery-backup-missing-or-tampered") if had_old else "quarantine",
+        "old": "nothing", "none": ("put back" if found.backup else "stop: recovery-output-tampered") if had_old else "nothing", "other": "stop: recovery-output-tampered",
+    }
+    return steps[found.target] if found.target in steps else steps[found.target, found.committed, unsound is None]
 
 
 def recover(state: State, source_root: Path, report: dict, log) -> None:
-    """Decide every journal that a crash left: go forward, back, or into quarantine."""
-    root, settled, done = state.root, set(), []
+    """Decide every journal that a crash left: forward, back, or into quarantine."""
+    root, spark = state.root, state.spark
     journals = [json.loads(p.read_text(encoding="utf-8")) for p in sorted(safe_path(root, ".journal").glob("*.json"))]
-    for j in journals:
-        if j.get("version") != 1 or j.get("source_root") != str(source_root.resolve()):
-            raise BarError("invalid-recovery-journal")
+    if any(j.get("version") != 1 or j.get("source_root") != str(source_root.resolve()) for j in journals):
+        raise BarError("invalid-recovery-journal")
     targets = {j["partition"]: safe_path(root, j["partition"]) for j in journals}
-    actual = folder_hashes(state.spark, targets)
-    backups = folder_hashes(state.spark, {j["partition"]: safe_path(root, j["backup"]) for j in journals})
-    forward = []
+    hashes = folder_hashes(spark, targets)
+    backups = folder_hashes(spark, {j["partition"]: safe_path(root, j["backup"]) for j in journals})
+    found = {p: _found(j, hashes.get(p), backups.get(p), state.meta["partitions"].get(p)) for j in journals for p in (j["partition"],)}
+    replaced = [p for p, f in found.items() if f.target == "new"]
+    if misfits(spark, root, replaced):
+        raise BarError("output-schema-mismatch")
+    digests, forward = content_digests(spark, root, replaced), []
     for j in journals:
-        partition, target, backup = j["partition"], targets[j["partition"]], safe_path(root, j["backup"])
-        found = actual.get(partition)
-        if found is None and backups.get(partition) == j["old_sha256"] is not None:
-            # The old folder was moved away, the new one was not moved in.
-            os.replace(backup, target)
-            found = j["old_sha256"]
-        if found == j["sha256"]:
-            known = state.meta["partitions"].get(partition)
-            committed = known is not None and known["sha256"] == j["sha256"] and known["digest"] == j["digest"]
+        p, unsound = j["partition"], None
+        if found[p].target == "new":
+            if digests.get(p) != j["digest"]:
+                raise BarError("recovery-readback-mismatch")
             try:
-                check_stored(state.spark, root, partition)
-                check_sources(source_root, j["sources"], state.spark)
+                check_sources(source_root, j["sources"], spark)
                 report["counts"]["recovery_revalidated_files"] += len(j["sources"])
             except (BarError, OSError) as exc:
-                if committed:
-                    log.issue(f"source-changed-since-committed-publication: {exc}", partition, "warning")
-                    report["counts"]["recovered_partitions"] += 1
-                else:
-                    if j["old_sha256"] is not None and backups.get(partition) != j["old_sha256"]:
-                        raise BarError("recovery-backup-missing-or-tampered") from exc
-                    os.replace(target, safe_path(root, f".staging/rejected-{j['run']}-{hashlib.sha256(partition.encode()).hexdigest()[:16]}"))
-                    if j["old_sha256"] is not None:
-                        os.replace(backup, target)
-                        known_signature = state.meta["partitions"].get(partition)
-                        if known_signature:
-                            known_signature["signature"] = folder_signature(target)
-                    log.issue(f"recovery-rejected: {exc}", partition)
-            else:
-                report["counts"]["recovered_partitions"] += 1
-                if not committed:
-                    forward.append(j)
-        elif found != j["old_sha256"]:
-            raise BarError("recovery-output-tampered")
-        settled.add(j["run"])
-        done.append(j)
+                unsound = exc
+        step = _step(found[p], j["old_sha256"] is not None, unsound)
+        if step.startswith("stop: "):
+            raise BarError(step.removeprefix("stop: ")) from unsound
+        if step in ("commit", "keep", "keep and warn"):
+            report["counts"]["recovered_partitions"] += 1
+        if step == "commit":
+            forward.append(j)
+        elif step == "keep and warn":
+            log.issue(f"source-changed-since-committed-publication: {unsound}", p, "warning")
+        elif step in ("restore", "quarantine"):
+            os.replace(targets[p], safe_path(root, f".staging/rejected-{j['run']}-{hashlib.sha256(p.encode()).hexdigest()[:16]}"))
+            log.issue(f"recovery-rejected: {unsound}", p)
+        if step in ("restore", "put back"):
+            os.replace(safe_path(root, j["backup"]), targets[p])
+            if p in state.meta["partitions"]:
+                state.meta["partitions"][p]["signature"] = folder_signature(targets[p])
     commit_published(state, forward)
-    for j in done:
+    for j in journals:
         forget(root, j)
     # The lock is held and no journal is left: what other runs staged is abandoned.
     for folder in safe_path(root, ".staging").iterdir():

@@ -1,8 +1,10 @@
 """The owned output folder: guards, lock, and versioned state.
 
-State is a folder `.state/v<n>` with Parquet tables of days and of receipt days
-and one JSON of sources, partitions and receipts. `.state/CURRENT` names the
-version in force and is replaced atomically, so a version is seen whole or not.
+State is a JSON `.state/v<n>.json` of sources and partitions that also names the parts
+of each table: one with most rows, and later ones with rows that are new or replace
+others of their key. A commit writes the rows that changed; parts are put together now
+and then. `.state/CURRENT` names the version in force and is replaced atomically, so a
+version is seen whole or not.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.config import Request
 from barloom.errors import BarError
 from barloom.files import write_json, write_text
-from barloom.schema import DAYS_SCHEMA, PROFILE, RECEIPT_DAYS_SCHEMA, RULE_VERSION
-from barloom.sources.local import local_frame
+from barloom.schema import DAYS_SCHEMA, PROFILE, RECEIPT_DAYS_SCHEMA, RECEIPTS_SCHEMA, RULE_VERSION
+from barloom.operators.merge import newest
+from barloom.sources.local import BROADCAST_ROWS, local_frame
 
 MARKER, LOCK = ".barloom.json", ".barloom.lock"
 FOLDERS = ("reports", ".state", ".staging", ".journal", "data")
@@ -74,6 +77,14 @@ def own_output(request: Request) -> Path:
     return root
 
 
+#: Tables of the state: columns and key.
+TABLES = {
+    "days": (DAYS_SCHEMA, ("source", "day")), "receipts": (RECEIPTS_SCHEMA, ("source", "start", "end")), "receipt_days": (RECEIPT_DAYS_SCHEMA, ("source", "start", "end", "day")),
+}
+#: Parts of a table are put together when there are so many, or when what came after the first has so many rows and this share of its rows.
+MOST_PARTS, LEAST_ROWS, SHARE = 16, 10_000, 0.5
+
+
 class State:
     """One version of the state, with the next one being built from it."""
 
@@ -81,41 +92,56 @@ class State:
         self.spark, self.root = spark, root
         pointer = safe_path(root, ".state/CURRENT")
         self.version = int(pointer.read_text()) if pointer.exists() else 0
-        self.meta = {"sources": {}, "partitions": {}, "receipts": []}
+        self.meta = {"sources": {}, "partitions": {}, "parts": {name: [] for name in TABLES}}
         if self.version:
-            self.meta = json.loads((self._folder / "meta.json").read_text(encoding="utf-8"))
+            self.meta = json.loads(safe_path(root, f".state/v{self.version}.json").read_text(encoding="utf-8"))
 
-    @property
-    def _folder(self) -> Path:
-        return safe_path(self.root, f".state/v{self.version}")
+    def _part(self, name: str) -> Path:
+        return safe_path(self.root, f".state/{name}")
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        if self.version and (self._folder / f"{name}.parquet").exists():
-            return self.spark.read.schema(schema).parquet(f"file://{self._folder}/{name}.parquet")
-        return local_frame(self.spark, [], schema)
+    def _read(self, table: str, part: dict) -> DataFrame:
+        return self.spark.read.schema(TABLES[table][0]).parquet(f"file://{self._part(part['name'])}")
 
-    @property
-    def days(self) -> DataFrame:
-        return self._table("days", DAYS_SCHEMA)
+    def table(self, name: str) -> DataFrame:
+        """The rows in force: the newest of each key. What came after the first part is small, so the first part is not shuffled for it."""
+        keys, parts = TABLES[name][1], self.meta["parts"][name]
+        if not parts:
+            return local_frame(self.spark, [], TABLES[name][0])
+        base, *later = (self._read(name, part) for part in parts)
+        return newest(base, later, keys, sum(p["rows"] for p in parts[1:]) <= BROADCAST_ROWS)
 
     @property
-    def receipt_days(self) -> DataFrame:
-        return self._table("receipt_days", RECEIPT_DAYS_SCHEMA)
-
-    def commit(self, days: DataFrame | None = None, receipt_days: DataFrame | None = None) -> None:
-        """Write the next version from the given tables, or the current ones, and the edited meta; then switch to it."""
-        old = self._folder if self.version else None
-        folder = safe_path(self.root, f".state/v{self.version + 1}")
-        shutil.rmtree(folder, ignore_errors=True)
-        folder.mkdir(parents=True)
-        for name, new in (("days", days), ("receipt_days", receipt_days)):
-            if new is not None:
-                new.write.parquet(f"file://{folder}/{name}.parquet")
-            elif old and (old / f"{name}.parquet").exists():
-                shutil.copytree(old / f"{name}.parquet", folder / f"{name}.parquet")
-        write_json(folder / "meta.json", self.meta)
-        write_text(safe_path(self.root, ".state/CURRENT"), str(self.version + 1))
-        self.version += 1
-        for past in safe_path(self.root, ".state").glob("v*"):
-            if past not in (folder, old):
-                shutil.rmtree(past, ignore_errors=True)
+    def days(self) -> DataFrame:
+        return self.table("days")
+
+    def _write(self, table: str, rows: DataFrame, version: int) -> dict:
+        """A part with the rows of a source together and in order, so that a few sources' rows are in few row groups."""
+        name, keys = f"{table}-{version}", TABLES[table][1]
+        rows.repartition(keys[0]).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"file://{self._part(name)}")
+        part = {"name": name}
+        return part | {"rows": self._read(table, part).count()}
+
+    def commit(self, **fresh: DataFrame) -> None:
+        """Write rows that are new or replace others of their key, and the edited meta, as the next version; then switch to it.
+
+        A part that no version names, as after a crash before the switch, is written over or removed.
+        """
+        version, kept = self.version + 1, {p["name"] for parts in self.meta["parts"].values() for p in parts}
+        for name, rows in fresh.items():
+            parts = self.meta["parts"][name]
+            part = self._write(name, rows, version)
+            if part["rows"]:
+                self.meta["parts"][name] = parts = [*parts, part]
+            later = sum(p["rows"] for p in parts[1:])
+            if len(parts) > MOST_PARTS or later > max(LEAST_ROWS, SHARE * parts[0]["rows"] if parts else 0):
+                self.meta["parts"][name] = [self._write(name, self.table(name), f"{version}-whole")]
+        write_json(safe_path(self.root, f".state/v{version}.json"), self.meta)
+        write_text(safe_path(self.root, ".state/CURRENT"), str(version))
+        self.version = version
+        kept |= {p["name"] for parts in self.meta["parts"].values() for p in parts}
+        # What the version before names stays, as frames of it may still be read.
+        for found in safe_path(self.root, ".state").iterdir():
+            if found.is_dir() and found.name not in kept:
+                shutil.rmtree(found, ignore_errors=True)
+            elif found.suffix == ".json" and found.name not in (f"v{version}.json", f"v{version - 1}.json"):
+                found.unlink()
