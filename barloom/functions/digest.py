@@ -1,82 +1,140 @@
-"""Canonical content digests of bar groups as Spark aggregates.
+"""Canonical content digests of bar groups: SHA-256 over columns of sorted rows.
 
-The expression over a group is long, so it is written as SQL text, which Spark
-parses in one call.
+Rows are dealt by group and sorted by Spark; tasks take the sorted Arrow batches as they come, hash every group
+that lies in a batch from slices of the batch's own buffers, and carry over only the rows of a group that is not whole yet.
 """
 
 from __future__ import annotations
 
-from functools import cache
+import hashlib
+import struct
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.errors import BarError
 from barloom.schema import BAR_COLUMNS, BAR_FIELDS, DIGEST_TAG
 
-
-def _sorted_rows() -> Column:
-    order = ["code", "timestamp", *(c for c in BAR_COLUMNS if c not in ("code", "timestamp"))]
-    return F.array_sort(F.collect_list(F.struct(*order)))
-
-
+_ORDER = ("code", "timestamp", *(c for c in BAR_COLUMNS if c not in ("code", "timestamp")))
 _TEXTS = tuple(name for name, kind in BAR_FIELDS if kind.typeName() == "string")
+_TAG = (DIGEST_TAG + chr(0)).encode()
+#: Digests of one Arrow batch of output.
+_FLUSH = 4096
 
 
-def _little_endian(number: str, size: int) -> str:
-    """Hex of an integer in `size` bytes. Its own hex text is made once and then taken apart, as a lambda's argument is worked out wherever it is named."""
-    swapped = ", ".join(f"substring(h, {2 * k + 1}, 2)" for k in reversed(range(size)))
-    return f"transform(array(lpad(hex(CAST({number} AS BIGINT)), {2 * size}, '0')), h -> concat({swapped}))[0]"
-
-
-def _joined(numbers: str, size: int) -> str:
-    """Joint hex of an array of integers."""
-    swapped = ", ".join(f"substring(h, {2 * k + 1}, 2)" for k in reversed(range(size)))
-    return f"array_join(transform(transform({numbers}, v -> lpad(hex(CAST(v AS BIGINT)), {2 * size}, '0')), h -> concat({swapped})), '')"
-
-
-def _offsets(texts: str, width: str) -> str:
-    """Cumulative byte offsets of an array of texts as hex. Equal widths, the usual case, need no running state."""
-    even = _joined(f"transform(sequence(0, size({texts})), i -> i * {width})", 4)
-    reach = "a.at + octet_length(t)"
-    step = f"named_struct('at', {reach}, 'out', concat(a.out, {_little_endian(reach, 4)}))"
-    running = f"aggregate({texts}, named_struct('at', 0, 'out', '00000000'), (a, t) -> {step}, a -> a.out)"
-    return f"CASE WHEN forall({texts}, t -> octet_length(t) = {width}) THEN {even} ELSE {running} END"
-
-
-@cache
-def _digest_text() -> str:
-    """SHA-256 over the tag, the row count and each column of `_rows`: offsets and bytes of texts, eight bytes of numbers."""
-    parts = [f"'{(DIGEST_TAG + chr(0)).encode().hex()}'", _little_endian("size(_rows)", 8)]
-    for name, kind in BAR_FIELDS:
-        column = f"_rows.`{name}`"
-        if name in _TEXTS:
-            parts += [_offsets(column, f"_width_{name}"), f"hex(array_join({column}, ''))"]
-        elif kind.typeName() == "long":
-            parts.append(_joined(column, 8))
-        else:
-            parts.append(_joined(f"transform({column}, d -> CAST(reflect('java.lang.Double', 'doubleToRawLongBits', d) AS BIGINT))", 8))
-    return f"sha2(unhex(concat({', '.join(parts)})), 256)"
-
-
-def digest_of_rows(groups: DataFrame, *keep: str) -> DataFrame:
-    """keep, digest, rows: SHA-256 over the tag, the row count and each column of the sorted bar structs in `_rows`."""
-    # Widths are columns of their own, else every step of a lambda would take the whole array apart again.
-    sized = groups.select(*keep, "_rows", *[F.expr(f"octet_length(get(_rows.`{c}`, 0))").alias(f"_width_{c}") for c in _TEXTS])
-    return sized.select(*keep, F.expr(_digest_text()).alias("digest"), F.size("_rows").cast("long").alias("rows"))
-
-
-def check_digestible(bars: DataFrame) -> None:
-    """The bar columns exactly; BarError otherwise."""
-    if set(bars.columns) != set(BAR_COLUMNS):
+def check_digestible(columns) -> None:
+    """The bar columns, whatever their order; BarError otherwise."""
+    if set(columns) != set(BAR_COLUMNS):
         raise BarError("digest-schema-mismatch")
 
 
-def group_digests(bars: DataFrame, *keys: str) -> DataFrame:
-    """keys, digest, rows: of each group of bars; a null in any bar column raises digest-null-field."""
-    missing = F.greatest(*[F.when(F.col(c).isNull(), 1).otherwise(0) for c in BAR_COLUMNS])
-    safe = bars.withColumn("code", F.when(missing == 1, F.raise_error("digest-null-field")).otherwise(F.col("code")))
-    return digest_of_rows(safe.groupBy(*keys).agg(_sorted_rows().alias("_rows")), *keys)
+def _digests(batch: pa.RecordBatch):
+    """From the first row and the end of a group in the batch to its digest."""
+    parts = []
+    for name, _ in BAR_FIELDS:
+        column = batch.column(name)
+        if column.null_count:
+            raise ValueError("digest-null-field")
+        parts.append(_text_buffers(column.cast(pa.string())) if name in _TEXTS else (None, memoryview(np.ascontiguousarray(column.to_numpy()).view(np.uint8))))
+
+    def digest(start: int, end: int) -> str:
+        out = hashlib.sha256(_TAG + struct.pack("<Q", end - start))
+        for offsets, data in parts:
+            if offsets is None:
+                out.update(data[8 * start : 8 * end])
+            else:
+                out.update((offsets[start : end + 1] - offsets[start]).astype("<i4").tobytes())
+                out.update(data[offsets[start] : offsets[end]])
+        return out.hexdigest()
+
+    return digest
+
+
+def _text_buffers(column: pa.Array) -> tuple[np.ndarray, memoryview]:
+    _, offsets, data = column.buffers()
+    return np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4), memoryview(data or b"")
+
+
+def _joined_hashes(batch: pa.RecordBatch):
+    """From the first row and the end of a group to the SHA-256 of its raw bytes."""
+    offsets, data = _text_buffers(batch.column("raw").cast(pa.binary()))
+    return lambda start, end: hashlib.sha256(data[offsets[start] : offsets[end]]).hexdigest()
+
+
+def _counts(batch: pa.RecordBatch):
+    return lambda start, end: end - start
+
+
+def _edges(batch: pa.RecordBatch, keys: tuple[str, ...]) -> list[int]:
+    """Rows at which another group begins, after the first row."""
+    changed = np.zeros(max(0, batch.num_rows - 1), bool)
+    for k in keys:
+        column = batch.column(k)
+        changed |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return (np.flatnonzero(changed) + 1).tolist()
+
+
+def _same_group(a: pa.RecordBatch, b: pa.RecordBatch, keys: tuple[str, ...]) -> bool:
+    return all(a.column(k)[0] == b.column(k)[0] for k in keys)
+
+
+def _of_groups(dealt: DataFrame, keys: tuple[str, ...], found: dict) -> DataFrame:
+    """keys and one value a group for each name in found, whose makers take a batch; rows are dealt by the keys and sorted by them first."""
+    kinds = [T.StructField(n, T.LongType() if maker is _counts else T.StringType()) for n, maker in found.items()]
+    names = [*keys, *found]
+
+    def made(batch: pa.RecordBatch, firsts: list[int], ends: list[int]) -> pa.RecordBatch:
+        values = [[of(a, b) for a, b in zip(firsts, ends)] for of in (maker(batch) for maker in found.values())]
+        at = pa.array(firsts, pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *map(pa.array, values)], names=names)
+
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return made(batch, [0], [batch.num_rows])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edges = _edges(batch, keys)
+            if held and _same_group(held[0], batch, keys):
+                held.append(batch.slice(0, edges[0] if edges else None))
+                if not edges:
+                    continue
+            else:
+                edges = [0, *edges]
+            if held:
+                yield whole(held)
+            # Groups from edge to edge are whole; the last one may go on.
+            for k in range(0, len(edges) - 1, _FLUSH):
+                part = edges[k : k + _FLUSH + 1]
+                yield made(batch, part[:-1], part[1:])
+            held = [batch.slice(edges[-1])]
+        if held:
+            yield whole(held)
+
+    return dealt.mapInArrow(run, T.StructType([dealt.schema[k] for k in keys] + kinds))
+
+
+def group_digests(bars: DataFrame, *keys: str, raw: bool = False) -> DataFrame:
+    """keys, digest, rows and, if asked, raw_hash of the raw bytes in time order: of each group of bars.
+
+    Keys are not null; a null in any bar column raises digest-null-field.
+    """
+    dealt = bars.select(*dict.fromkeys((*keys, *BAR_COLUMNS, *(["raw"] if raw else [])))).repartition(*keys)
+    dealt = dealt.sortWithinPartitions(*keys, *(c for c in _ORDER if c not in keys))
+    return _of_groups(dealt, keys, {"digest": _digests, "rows": _counts, **({"raw_hash": _joined_hashes} if raw else {})})
+
+
+def group_hashes(records: DataFrame, order: str, *keys: str) -> DataFrame:
+    """keys, raw_hash: SHA-256 of the raw bytes of each group in the given order."""
+    dealt = records.select(*keys, order, "raw").repartition(*keys).sortWithinPartitions(*keys, order)
+    return _of_groups(dealt, keys, {"raw_hash": _joined_hashes})
 
 
 def merged_digest(parts: DataFrame, *keys: str) -> DataFrame:

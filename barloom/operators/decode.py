@@ -27,8 +27,8 @@ def with_days(records: DataFrame) -> DataFrame:
     return timed.withColumn("day", compact_day(F.col("clock")))
 
 
-def to_bars(records: DataFrame) -> DataFrame:
-    """Bar columns and partition columns of records that have clock, day, code, market, period and kind."""
+def to_bars(records: DataFrame, *keep: str) -> DataFrame:
+    """Bar columns, partition columns and columns to keep of records that have clock, day, code, market, period and kind."""
     price = lambda k: (F.col(k) / 1000).cast("double")
     return records.select(
         F.col("day").alias("trade_date"), "code", F.col("market").alias("exchange"),
@@ -36,5 +36,5 @@ def to_bars(records: DataFrame) -> DataFrame:
         (F.col("w0") * 1000).alias("timestamp"),
         price("w1").alias("open"), price("w2").alias("high"), price("w3").alias("low"), price("w4").alias("close"),
         F.col("w6").alias("volume"), amount_of(F.col("w8"), F.col("w9")).alias("amount"),
-        "kind", "period", bucket_of(F.col("day"), F.col("period")).alias("bucket"), "market",
+        "kind", "period", bucket_of(F.col("day"), F.col("period")).alias("bucket"), "market", *keep,
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.digest import group_digests
+from barloom.functions.digest import group_digests, group_hashes
 from barloom.operators.decode import to_bars
 
 
@@ -28,9 +28,7 @@ def running_offsets(groups: DataFrame, *keys: str) -> DataFrame:
 
 def raw_hashes(records: DataFrame, *keys: str) -> DataFrame:
     """SHA-256 of each day's record bytes in record order."""
-    blocks = F.array_sort(F.collect_list(F.struct("rec", F.hex("raw").alias("h"))))
-    joined = F.array_join(F.transform(blocks, lambda b: b["h"]), "")
-    return records.groupBy(*keys, "day").agg(F.sha2(F.unhex(joined), 256).alias("raw_hash"))
+    return group_hashes(records, "rec", *keys, "day")
 
 
 def preclose_lists(records: DataFrame, *keys: str) -> DataFrame:
@@ -40,8 +38,6 @@ def preclose_lists(records: DataFrame, *keys: str) -> DataFrame:
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
-    """Per source and day: raw_hash, digest, rows. Records have days and their source's columns."""
-    keys = ("source", "code", "market", "period", "kind")
-    bars = to_bars(records)
-    digests = group_digests(bars.select(*[c for c in bars.columns if c not in ("kind", "period", "bucket", "market")], "kind", "period", "market"), "code", "market", "period", "kind", "trade_date")
-    return raw_hashes(records, *keys).join(digests.withColumnRenamed("trade_date", "day"), ["code", "market", "period", "kind", "day"])
+    """Per source and day: raw_hash, digest, rows, in one pass. Records have days and their source's columns; those of a source are in time order."""
+    keys = ("source", "code", "market", "period", "kind", "trade_date")
+    return group_digests(to_bars(records, "source", "raw"), *keys, raw=True).withColumnRenamed("trade_date", "day")

@@ -515,7 +515,7 @@ def content_digest(spark, d):
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.date_format("ts", "HH:mm").alias("minute"), (seconds * 1000).alias("timestamp"),
         *[value.alias(c) for c in ("open", "high", "low", "close")], F.col("user_id").alias("volume"), value.alias("amount"),
     )
-    check_digestible(bars)
+    check_digestible(bars.columns)
     return group_digests(bars, "code", "trade_date").withColumnRenamed("trade_date", "day").select("code", "day", "rows", "digest")
 
 
