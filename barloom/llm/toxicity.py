@@ -1,11 +1,11 @@
 """Op 3: toxicity by weak supervision.
 
 Many voters look at a text: words and beginnings of words mined from the labelled
-rows, each stem of a small lexicon of four languages, and patterns. A generative label model explains the votes of all
+rows so that together they reach as many toxic families as they can, each stem of a small lexicon of four languages, and patterns. A generative label model explains the votes of all
 documents by a hidden label: it has, for each class, a tree of voters (the
 strongest correlations given the class) and each voter's rate given its
 parent's vote, so accuracies and correlations are estimated together, by
-expectation maximisation from the rates on the labelled rows. A linear classifier on votes and
+expectation maximisation from the rates on the labelled rows, which keep their labels; a voter that does not fire abstains. A linear classifier on votes and
 the presence of words and their beginnings is then trained on the posterior labels of a bounded sample
 of labelled rows, and scores every text.
 
@@ -32,12 +32,14 @@ from barloom.llm.labelled import bounded_sample, labelled_texts, training_labels
 
 #: Labelled rows that the linear classifier is fitted on, at most.
 TRAIN_ROWS = 20_000
-#: Mined voters, at most; each is in so many toxic families, in so large a share of them, and so large a share of its families is toxic.
-MINED, MIN_FAMILIES, MIN_REACH, MIN_SHARE = 40, 5, 0.02, 0.7
+#: Mined voters, at most; each is in so many toxic families, in so large a share of them, so large a share of its families is toxic, and it adds so many that no other mined one reaches.
+MINED, MIN_FAMILIES, MIN_REACH, MIN_SHARE, MIN_ADDED = 40, 5, 0.015, 0.9, 2
+#: Features that mining chooses from, at most: those that tell most about the label.
+CANDIDATES = 8192
 #: Bytes of the beginnings of words that are features beside whole words.
-BEGINNINGS = (4, 5, 6)
-#: Features of the classifier, at most: those whose presence tells most about the label.
-VOCABULARY = 8192
+BEGINNINGS = (4, 6, 8)
+#: Features of the classifier, at most: those whose presence tells most about the label; and its ridge.
+VOCABULARY, RIDGE = 1024, 2e-3
 ROUNDS = 8
 THRESHOLD = 0.5
 
@@ -199,14 +201,44 @@ def _information(toxic: np.ndarray, texts: np.ndarray, all_toxic: int, rows: int
     return out
 
 
-def mine_words(common: list) -> np.ndarray:
-    """Hashes of the features whose presence speaks for label 1, by their counts in all labelled rows; of nested ones the shortest that does."""
-    clear = [(feature, kind, stem) for feature, kind, stem, toxic, texts in common if toxic >= MIN_SHARE * texts]
-    shortest: dict[int, int] = {}
-    for _, kind, stem in clear:
-        shortest[stem] = min(kind, shortest.get(stem, kind))
-    chosen = [feature for feature, kind, stem in clear if kind == shortest[stem]][:MINED]
-    return np.array(chosen, np.int64).view(np.uint64)
+def _held_features(rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position in the sorted vocabulary) pairs of all rows, which must be a bounded sample; rows are numbered here."""
+
+    def run(batches):
+        for batch in shingles.small_batches(batches):
+            row, col = _lookup(*_features(batch)[:2], vocabulary)
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            own = [col[a:b].astype(np.uint16).tobytes() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["columns"])
+
+    found = [np.frombuffer(b, np.uint16).astype(np.int64) for b in rows.mapInArrow(run, "columns binary").toArrow()["columns"].to_pylist()]
+    return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def mine_words(common: list, toxic_rows: DataFrame) -> np.ndarray:
+    """Hashes of features that speak for label 1 and together reach as many toxic families as they can.
+
+    Of the features of which at least MIN_SHARE of the families are toxic, the one in most families that no
+    chosen one is in comes next, as long as it adds MIN_ADDED of them; ties go to the shorter and then to the clearer.
+    toxic_rows are a bounded sample of rows of label 1, one a family.
+    """
+    clear = [(feature, kind, toxic / texts) for feature, kind, _, toxic, texts in common if toxic >= MIN_SHARE * texts][:CANDIDATES]
+    if not clear:
+        return np.zeros(0, np.uint64)
+    hashes, kinds, shares = (np.array(c) for c in zip(*clear))
+    order = np.argsort(hashes.astype(np.int64).view(np.uint64))
+    vocabulary, kinds, shares = hashes.astype(np.int64).view(np.uint64)[order], kinds[order], shares[order]
+    rows, cols = _held_features(toxic_rows, vocabulary)
+    chosen: list[int] = []
+    while len(chosen) < MINED:
+        added = np.bincount(cols, minlength=len(vocabulary))
+        best = max(range(len(vocabulary)), key=lambda k: (added[k], -kinds[k], shares[k], -k))
+        if added[best] < MIN_ADDED:
+            break
+        chosen.append(best)
+        left = ~np.isin(rows, rows[cols == best])
+        rows, cols = rows[left], cols[left]
+    return vocabulary[chosen]
 
 
 class LabelModel:
@@ -247,11 +279,12 @@ class LabelModel:
         self.accuracy = one
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(label 1). A voter that does not fire abstains: it tells nothing, as most voters know one language or one insult only."""
         parents = np.where(self.parent >= 0, votes[:, np.maximum(self.parent, 0)], 0).astype(int)
         logs = []
         for y, p in ((0, 1 - self.prior), (1, self.prior)):
             rate = np.take_along_axis(self.rate[y], parents, axis=0)
-            logs.append(np.log(p) + np.log(np.where(votes, rate, 1 - rate)).sum(axis=1))
+            logs.append(np.log(p) + np.where(votes, np.log(rate), 0).sum(axis=1))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
@@ -290,7 +323,11 @@ def _moments(patterns: DataFrame, size: int, model: LabelModel) -> tuple[np.ndar
 
 
 def fit_label_model(docs: DataFrame, rows: DataFrame, voters: Voters) -> LabelModel:
-    """Starts from the rates on the labelled rows, then explains the votes of all documents."""
+    """Starts from the rates on the labelled rows, then explains the votes of all documents.
+
+    The labelled rows keep their labels in every round and weigh as much as all documents together, so the hidden label
+    stays the one that they have instead of becoming whatever splits the votes best, such as a language.
+    """
 
     def labelled_moments(batches):
         total = np.zeros((2, voters.size + 1, voters.size + 1))
@@ -314,10 +351,13 @@ def fit_label_model(docs: DataFrame, rows: DataFrame, voters: Voters) -> LabelMo
         one = np.stack([np.full(m, 0.02), np.full(m, 0.5)]) * 100
         model = LabelModel(prior, one, np.einsum("yi,yj->yij", one, one) / 100, np.array([100.0, 100.0]))
     patterns = cut_lineage(_pattern_counts(docs, voters))
+    known = total if weight.min() > 0 else np.zeros_like(total)
     for _ in range(ROUNDS):
         singles, pairs, weight = _moments(patterns, voters.size, model)
         if weight.sum() == 0:
             break
+        share = weight.sum() / max(1.0, known[:, -1, -1].sum())
+        singles, pairs, weight = singles + share * known[:, -1, :-1], pairs + share * known[:, :-1, :-1], weight + share * known[:, -1, -1]
         model = LabelModel(weight[1] / weight.sum(), singles, pairs, weight)
     return model
 
@@ -373,7 +413,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
     chosen = training_labels(docs, labels, "toxic")
     rows = labelled_texts(docs, chosen)
     common = common_features(rows)
-    voters = Voters(mine_words(common))
+    sample = bounded_sample(chosen, train_rows)
+    voters = Voters(mine_words(common, labelled_texts(docs, sample.where("target = 1"))))
     model = fit_label_model(docs, rows, voters)
     vocabulary = np.sort(np.array([c[0] for c in common[:VOCABULARY]], np.int64).view(np.uint64))
 
@@ -387,7 +428,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
             own = [np.concatenate([np.flatnonzero(v).astype(np.uint16), k]).tobytes() for v, k in zip(votes, known)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(model.posterior(votes))], names=["columns", "posterior"])
 
-    sample = labelled_texts(docs, bounded_sample(chosen, train_rows)).mapInArrow(featurise, "columns binary, posterior double").toArrow()
+    sample = labelled_texts(docs, sample).mapInArrow(featurise, "columns binary, posterior double").toArrow()
     # Two bytes a feature: voters and vocabulary together are fewer than 65,536.
     target, lengths, parts = sample["posterior"].to_numpy(), [], []
     for chunk in sample["columns"].chunks:
@@ -398,7 +439,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Sco
     indptr = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))])
     indices = np.concatenate([np.zeros(0, np.uint16), *parts])
     del parts
-    weights, bias = fit_logistic(indptr, indices, voters.size + len(vocabulary), target)
+    weights, bias = fit_logistic(indptr, indices, voters.size + len(vocabulary), target, RIDGE)
     return Scorer(voters, vocabulary, weights, bias)
 
 

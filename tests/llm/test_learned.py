@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from barloom.llm import neardup, pieces, quality, shingles, toxicity
-from barloom.llm.labelled import training_labels
+from barloom.llm.labelled import labelled_texts, training_labels
 from tests.llm.helpers import nothing, odd_docs
 from tests.llm.test_text_search import brute_contamination, brute_secrets, brute_spans, brute_terms, words
 
@@ -103,8 +103,8 @@ def test_label_model_keeps_correlated_voters_apart():
     model = toxicity.LabelModel(0.3, *(np.array([m[j] for m in moments]) for j in range(3)))
     assert {model.parent[0], model.parent[1]} & {0, 1}
     single = model.posterior(np.array([[True, True, False]]))[0]
-    naive = 0.3 * 0.6**2 * 0.5 / (0.3 * 0.6**2 * 0.5 + 0.7 * 0.05**2 * 0.9)
-    assert single < naive and abs(single - 0.3 * 0.6 * 0.5 / (0.3 * 0.6 * 0.5 + 0.7 * 0.05 * 0.9)) < 0.05
+    naive = 0.3 * 0.6**2 / (0.3 * 0.6**2 + 0.7 * 0.05**2)
+    assert single < naive and abs(single - 0.3 * 0.6 / (0.3 * 0.6 + 0.7 * 0.05)) < 0.05
 
 
 def test_sliced_gradients_equal_one_gradient(monkeypatch):
@@ -120,8 +120,43 @@ def test_sliced_gradients_equal_one_gradient(monkeypatch):
     assert not none[0].any()
 
 
+def test_mined_words_reach_families_that_no_other_reaches(spark):
+    """Two insults that always come together, and a rarer one of other families: the second of the pair adds nothing."""
+    rng = random.Random(7)
+    noise = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(12))
+    rows = [(k, noise() + (" grumbax folterix" if k % 5 == 0 else " zwackelt" if k % 11 == 1 else "")) for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0 or k % 11 == 1)) for k, _ in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = labelled_texts(docs, training_labels(docs, labels, "toxic"))
+    mined = set(toxicity.mine_words(toxicity.common_features(found), found.where("target = 1")).tolist())
+    features = lambda w: set(toxicity._features(pa.RecordBatch.from_arrays([pa.array([w])], names=["text"]))[1].tolist())
+    assert len(mined) == 2 and mined & features("zwackelt") and mined & (features("grumbax") | features("folterix"))
+
+
+def test_known_labels_anchor_the_label_model(spark):
+    """A few voters of one kind of toxic texts fire together, one of another kind fires alone: it still speaks for the label."""
+    rng = random.Random(9)
+    noise = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(12))
+    kinds = {0: " idiot moron stupid loser", 1: " zwackelt"}
+    rows = [(k, noise() + kinds.get(k % 12, "")) for k in range(1200)]
+    labels = spark.createDataFrame([(k, int(k % 12 in kinds)) for k, _ in rows], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    wrong = [r["doc_id"] for r in scored if r["predicted"] != int(r["doc_id"] % 12 in kinds)]
+    assert len(wrong) <= 5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the given tables")
+def test_held_out_recall_of_the_given_table(spark):
+    """A floor: of the held-out rows labelled toxic most are found, with few false alarms."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = toxicity.score_toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    toxic = [r for r in rows if r["toxic"] == 1]
+    caught, alarms = sum(r["predicted"] for r in toxic), sum(r["predicted"] for r in rows if r["toxic"] == 0)
+    assert caught >= 0.82 * len(toxic) and alarms <= 0.1 * (caught + alarms)
+
+
 def test_label_model_against_enumeration():
-    """Posteriors are those of the joint distribution that the trees define, summed up vote by vote."""
+    """Posteriors are those of the votes that were cast, multiplied up voter by voter; who abstains tells nothing."""
     rng = np.random.default_rng(3)
     votes = rng.random((500, 5)) < 0.3
     weight = np.array([300.0, 200.0])
@@ -132,7 +167,7 @@ def test_label_model_against_enumeration():
         for y, p in ((0, 1 - model.prior), (1, model.prior)):
             for k, v in enumerate(row):
                 rate = model.rate[y, int(row[model.parent[k]]) if model.parent[k] >= 0 else 0, k]
-                p *= rate if v else 1 - rate
+                p *= rate if v else 1
             joint.append(p)
         assert abs(model.posterior(row[None])[0] - joint[1] / sum(joint)) < 1e-9
 
