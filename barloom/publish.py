@@ -57,24 +57,37 @@ def read_partitions(spark: SparkSession, root: Path, partitions: list[str]) -> D
     return spark.read.schema(STORED_SCHEMA).option("basePath", f"file://{root}/data").parquet(*[f"file://{root}/{p}" for p in partitions])
 
 
-_STORED = ",".join(sorted(f"{f.name} {f.dataType.simpleString()}" for f in STORED_SCHEMA if f.name in BAR_COLUMNS))
+_STORED = ",".join(f"{f.name} {f.dataType.simpleString()}" for f in STORED_SCHEMA if f.name in BAR_COLUMNS)
 _ARROW_NAMES = {"string": "string", "int64": "bigint", "double": "double"}
 
 
+def _columns_of(path: str) -> str:
+    """The columns of a data file in their order, as its footer tells, and those of them that hold nulls."""
+    try:
+        file = pq.ParquetFile(path)
+    except (OSError, pa.ArrowInvalid) as exc:
+        return f"unreadable: {exc}"
+    names = [f.name for f in file.schema_arrow]
+    nulls = set()
+    for g in range(file.metadata.num_row_groups):
+        for k, name in enumerate(names):
+            told = file.metadata.row_group(g).column(k).statistics
+            # Where a writer left the number out it is counted.
+            if (told.null_count if told is not None and told.has_null_count else file.read_row_group(g, [name]).column(0).null_count):
+                nulls.add(name)
+    found = ",".join(f"{f.name} {_ARROW_NAMES.get(str(f.type), f.type)}" for f in file.schema_arrow)
+    return found + "".join(f"; null {name}" for name in sorted(nulls))
+
+
 def _footers(batches):
-    """partition, columns: the columns of each data file as its footer tells."""
+    """partition, columns of each data file."""
     for batch in batches:
-        found = []
-        for path in batch.column("path").to_pylist():
-            try:
-                found.append(",".join(sorted(f"{f.name} {_ARROW_NAMES.get(str(f.type), f.type)}" for f in pq.read_schema(path))))
-            except (OSError, pa.ArrowInvalid) as exc:
-                found.append(f"unreadable: {exc}")
+        found = [_columns_of(path) for path in batch.column("path").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("partition"), pa.array(found, pa.string())], names=["partition", "columns"])
 
 
 def misfits(spark: SparkSession, root: Path, partitions: list[str]) -> list[str]:
-    """Partitions with a data file that has not exactly the bar columns; executors read the footers."""
+    """Partitions with a data file that has not exactly the bar columns in their order, or a null in one; executors read the footers."""
     files = [(p, str(f)) for p in partitions for f in data_files(safe_path(root, p))]
     if not files:
         return []

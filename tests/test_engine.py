@@ -327,5 +327,18 @@ def test_a_schema_that_is_not_ours_is_found(spark, setup, tmp_path):
     run(spark, request)
     name = str(target.relative_to(request.output))
     assert misfits(spark, request.output, [name]) == []
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (part,) = target.glob("*.parquet")
+    sound = pq.ParquetFile(part).read()
+    with_null = sound.set_column(11, "amount", pa.array([None, 1.0], pa.float64()))
+    for table in (sound.select(sound.column_names[::-1]), with_null, sound.set_column(10, "volume", sound["volume"].cast("int32"))):
+        pq.write_table(table, part)
+        assert misfits(spark, request.output, [name]) == [name]
+    pq.write_table(with_null, part, write_statistics=False)
+    assert misfits(spark, request.output, [name]) == [name]
+    pq.write_table(sound, part)
+    assert misfits(spark, request.output, [name]) == []
     spark.range(1).write.mode("overwrite").parquet(str(target))
     assert misfits(spark, request.output, [name]) == [name]
