@@ -28,7 +28,7 @@ from barloom.functions.clock import market_clock
 from barloom.functions.digest import group_digests, merged_digest
 from barloom.operators import blocking, changes, decode, evidence, fingerprint, merge, scope
 from barloom.publish import (
-    check_sources, commit_published, folder_hashes, folder_signature, forget, misfits, publish, read_partitions, recover, write_partitions,
+    SourceWatch, check_sources, commit_published, folder_hashes, folder_signature, forget, misfits, publish, read_partitions, recover, write_partitions,
 )
 from barloom.report import write_text_report
 from barloom.schema import BAR_COLUMNS, DAYS_SCHEMA, PROFILE, RECEIPTS_SCHEMA, RULE_VERSION, VALIDATION_VERSION
@@ -479,7 +479,7 @@ class Run:
         names = sorted(affected)
         ready = {p: ids for p in names if (ids := self._identities(p, affected[p])) is not None}
         staged = self._stage_partitions(list(ready)) if ready else {}
-        journals = []
+        journals, watch = [], SourceWatch(self.request.source)
         try:
             for index, name in enumerate(names, 1):
                 self.check_cancel()
@@ -493,10 +493,10 @@ class Run:
                         if isinstance(outcome, Exception):
                             raise outcome
                         if self.action == "verify":
-                            check_sources(self.request.source, ready[name])
+                            watch.check(ready[name])
                             self.counts["content_verified_partitions"] += 1
                         else:
-                            journals.append(publish(self.root, self.request.source, self.run_id, name, *outcome, ready[name]))
+                            journals.append(publish(self.root, watch, self.run_id, name, *outcome, ready[name]))
                             self.counts["written_partitions"] += 1
                     except FAILURES as exc:
                         self.log.issue(exc, name)

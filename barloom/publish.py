@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import shutil
+import time
 from pathlib import Path
 from typing import NamedTuple
 
@@ -125,25 +126,42 @@ def check_sources(root: Path, sources: list[dict], spark: SparkSession | None =
                 raise BarError(f"source-content-changed: {s['source']}")
 
 
+class SourceWatch:
+    """Looks at sources again before publications, each at most once in max_age seconds.
+
+    A day's partition has all sources of a market, so without this each source would be looked at twice a partition.
+    What changes between two looks is found by the check at the end of the run, which grants completion.
+    """
+
+    def __init__(self, root: Path, max_age: float = 1.0):
+        self.root, self.max_age, self.looked = root, max_age, {}
+
+    def check(self, sources: list[dict]) -> None:
+        for s in sources:
+            if time.monotonic() - self.looked.get(s["source"], float("-inf")) > self.max_age:
+                check_sources(self.root, [s])
+                self.looked[s["source"]] = time.monotonic()
+
+
 def _journal_path(root: Path, partition: str) -> Path:
     return safe_path(root, f".journal/{hashlib.sha256(partition.encode()).hexdigest()}.json")
 
 
-def publish(root: Path, source_root: Path, run: str, partition: str, staged: Path, hashes: tuple[str | None, str], digest: str, sources: list[dict]) -> dict:
+def publish(root: Path, watch: SourceWatch, run: str, partition: str, staged: Path, hashes: tuple[str | None, str], digest: str, sources: list[dict]) -> dict:
     """Swap a staged folder in. The journal stays until the state is committed."""
     target = safe_path(root, partition)
     backup = safe_path(root, f".staging/{run}/backup/{hashlib.sha256(partition.encode()).hexdigest()}")
     backup.parent.mkdir(parents=True, exist_ok=True)
     target.parent.mkdir(parents=True, exist_ok=True)
-    check_sources(source_root, sources)
+    watch.check(sources)
     journal = {
-        "version": 1, "run": run, "source_root": str(source_root.resolve()), "partition": partition, "staged": str(staged.relative_to(root)),
+        "version": 1, "run": run, "source_root": str(watch.root.resolve()), "partition": partition, "staged": str(staged.relative_to(root)),
         "backup": str(backup.relative_to(root)), "old_sha256": hashes[0], "sha256": hashes[1], "digest": digest, "sources": sources,
     }
     for part in (*data_files(staged), staged):
         sync_path(part)
     write_json(_journal_path(root, partition), journal)
-    check_sources(source_root, sources)
+    watch.check(sources)
     if target.exists():
         os.replace(target, backup)
     os.replace(staged, target)

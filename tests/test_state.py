@@ -216,6 +216,29 @@ def test_steps_of_recovery(target, had_old, backup, committed, sound, step):
     assert publish._step(publish._Found(target, committed, backup), had_old, None if sound else BarError("x")) == step
 
 
+def test_sources_are_looked_at_a_few_times_whatever_the_number_of_partitions(spark, setup, monkeypatch):
+    request, source, _ = setup
+    for code in ("600000", "600001"):
+        write_dat(request.source / f"SH/60/{code}.DAT", *(row(k * DAY) for k in range(12)))
+    looks, real = [], publish.check_readable
+    monkeypatch.setattr(publish, "check_readable", lambda path, root: looks.append(path) or real(path, root))
+    report = run(spark, replace(request, periods=("1d", "1m")))
+    assert report["status"] == "complete" and report["counts"]["written_partitions"] == 13
+    # Two sources in each of twelve partitions; the loop takes a second or two, and completion looks once more.
+    assert len(looks) <= 3 * 5
+
+
+def test_a_source_replaced_before_its_publication_is_not_published(spark, setup):
+    request, source, target = setup
+
+    def change(event):
+        if event["event"] == "partition":
+            write_dat(source, row(w4=7200), row(DAY))
+
+    report = run(spark, request, progress=change)
+    assert report["status"] == "partial" and not target.exists() and "source-changed-before-publish" in reasons(report)
+
+
 # -- receipts ----------------------------------------------------------------
 
 
