@@ -69,6 +69,17 @@ def _counts(batch: pa.RecordBatch):
     return lambda start, end: end - start
 
 
+def _audits(batch: pa.RecordBatch):
+    """From the first row and the end of a group to its audit words; null where they are not kept."""
+    column = batch.column("audit")
+    words, kept = column.fill_null(0).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    return lambda start, end: words[start:end].tolist() if kept[start:end].all() else None
+
+
+_KINDS = {_counts: (T.LongType(), pa.int64()), _audits: (T.ArrayType(T.LongType()), pa.list_(pa.int64()))}
+_TEXT = (T.StringType(), pa.string())
+
+
 def _edges(batch: pa.RecordBatch, keys: tuple[str, ...]) -> list[int]:
     """Rows at which another group begins, after the first row."""
     changed = np.zeros(max(0, batch.num_rows - 1), bool)
@@ -84,13 +95,12 @@ def _same_group(a: pa.RecordBatch, b: pa.RecordBatch, keys: tuple[str, ...]) ->
 
 def _of_groups(dealt: DataFrame, keys: tuple[str, ...], found: dict) -> DataFrame:
     """keys and one value a group for each name in found, whose makers take a batch; rows are dealt by the keys and sorted by them first."""
-    kinds = [T.StructField(n, T.LongType() if maker is _counts else T.StringType()) for n, maker in found.items()]
-    names = [*keys, *found]
+    kinds, names = [_KINDS.get(maker, _TEXT) for maker in found.values()], [*keys, *found]
 
     def made(batch: pa.RecordBatch, firsts: list[int], ends: list[int]) -> pa.RecordBatch:
         values = [[of(a, b) for a, b in zip(firsts, ends)] for of in (maker(batch) for maker in found.values())]
         at = pa.array(firsts, pa.int64())
-        return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *map(pa.array, values)], names=names)
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *(pa.array(v, k) for v, (_, k) in zip(values, kinds))], names=names)
 
     def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         batch = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -118,17 +128,17 @@ def _of_groups(dealt: DataFrame, keys: tuple[str, ...], found: dict) -> DataFram
         if held:
             yield whole(held)
 
-    return dealt.mapInArrow(run, T.StructType([dealt.schema[k] for k in keys] + kinds))
+    return dealt.mapInArrow(run, T.StructType([dealt.schema[k] for k in keys] + [T.StructField(n, k) for n, (k, _) in zip(found, kinds)]))
 
 
 def group_digests(bars: DataFrame, *keys: str, raw: bool = False) -> DataFrame:
-    """keys, digest, rows and, if asked, raw_hash of the raw bytes in time order: of each group of bars.
+    """keys, digest, rows: of each group of bars. If asked also raw_hash of the raw bytes and audit, the list of the audit words, in time order.
 
     Keys are not null; a null in any bar column raises digest-null-field.
     """
-    dealt = bars.select(*dict.fromkeys((*keys, *BAR_COLUMNS, *(["raw"] if raw else [])))).repartition(*keys)
+    dealt = bars.select(*dict.fromkeys((*keys, *BAR_COLUMNS, *(("raw", "audit") if raw else ())))).repartition(*keys)
     dealt = dealt.sortWithinPartitions(*keys, *(c for c in _ORDER if c not in keys))
-    return _of_groups(dealt, keys, {"digest": _digests, "rows": _counts, **({"raw_hash": _joined_hashes} if raw else {})})
+    return _of_groups(dealt, keys, {"digest": _digests, "rows": _counts, **({"raw_hash": _joined_hashes, "audit": _audits} if raw else {})})
 
 
 def group_hashes(records: DataFrame, order: str, *keys: str) -> DataFrame:

@@ -48,6 +48,13 @@ def covering(requests: DataFrame, receipts: DataFrame, key: str = "source") -> D
     return requests.join(r, key).where((F.col("receipt_start") <= F.col("start")) & (F.col("receipt_end") >= F.col("end")))
 
 
+def first_around(receipts: DataFrame, start: str, end: str, key: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key and the first receipt of each key around one interval, by start and then end, with columns that it carries."""
+    around = receipts.where((F.col("start") <= start) & (F.col("end") >= end))
+    least = F.min(F.struct(F.col("start").alias("receipt_start"), F.col("end").alias("receipt_end"), *carry)).alias("_first")
+    return around.groupBy(key).agg(least).select(key, "_first.*")
+
+
 def first_covering(requests: DataFrame, receipts: DataFrame, key: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """key, start, end of requests that a receipt of their key contains, with the receipt that begins first (of equal ones, the one that ends first) and columns that it carries.
 

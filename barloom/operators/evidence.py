@@ -82,7 +82,7 @@ def expected_fields(spark: SparkSession, payload: dict) -> DataFrame:
 
 def match_evidence(expected: DataFrame, bars: DataFrame) -> DataFrame:
     """item, matched: whether a bar of the code, period and timestamp has all expected values."""
-    keyed = expected.join(bars, ["code", "period", "timestamp"], "left") if "timestamp" in bars.columns else None
+    keyed = expected.join(bars, ["code", "period", "timestamp"], "left")
     actual = F.lit(False)
     for name, kind in BAR_FIELDS:
         side = {"string": "text", "long": "whole", "double": "number"}[kind.typeName()]

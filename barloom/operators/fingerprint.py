@@ -31,13 +31,11 @@ def raw_hashes(records: DataFrame, *keys: str) -> DataFrame:
     return group_hashes(records, "rec", *keys, "day")
 
 
-def preclose_lists(records: DataFrame, *keys: str) -> DataFrame:
-    """Previous-close words of each day of daily sources, for audits."""
-    rows = F.array_sort(F.collect_list(F.struct("rec", "w13")))
-    return records.where(F.col("period") == "1d").groupBy(*keys, "day").agg(F.transform(rows, lambda r: r["w13"]).alias("preclose_raw"))
-
-
 def fingerprints(records: DataFrame) -> DataFrame:
-    """Per source and day: raw_hash, digest, rows, in one pass. Records have days and their source's columns; those of a source are in time order."""
+    """Per source and day: raw_hash, digest, rows and, of daily sources, preclose_raw, the words of the previous close, in one pass.
+
+    Records have days and their source's columns; those of a source are in time order.
+    """
     keys = ("source", "code", "market", "period", "kind", "trade_date")
-    return group_digests(to_bars(records, "source", "raw"), *keys, raw=True).withColumnRenamed("trade_date", "day")
+    audited = records.withColumn("audit", F.when(F.col("period") == "1d", F.col("w13")))
+    return group_digests(to_bars(audited, "source", "raw", "audit"), *keys, raw=True).withColumnsRenamed({"trade_date": "day", "audit": "preclose_raw"})

@@ -217,12 +217,11 @@ class Run:
         if not self.state.meta["parts"]["receipts"]:
             return {}
         (start, end), now = self.request.bounds, ("signature", "sha256", "rule_version", "validation_version")
-        rows = [(n, start, end, _canonical(k["signature"]), k["sha256"], RULE_VERSION, VALIDATION_VERSION) for n, k in same.items()]
-        asked = local_frame(self.spark, rows, "source string, start string, end string, " + ", ".join(f"{c} string" for c in now))
-        current = hinted(asked.drop("start", "end"), len(same))
-        receipts = self.state.table("receipts").join(current, ["source", *now])
+        rows = [(n, _canonical(k["signature"]), k["sha256"], RULE_VERSION, VALIDATION_VERSION) for n, k in same.items()]
+        current = hinted(local_frame(self.spark, rows, "source string, " + ", ".join(f"{c} string" for c in now)), len(same))
+        receipts = self.state.table("receipts").join(current, ["source", *now], "left_semi")
         # One row a source at most.
-        cover = {r["source"]: r for r in changes.first_covering(asked, receipts, carry=("warnings",)).collect()}
+        cover = {r["source"]: r for r in changes.first_around(receipts, start, end, carry=("warnings",)).collect()}
         if not cover:
             return {}
         schema = "source string, receipt_start string, receipt_end string"
@@ -405,8 +404,9 @@ class Run:
         prints = fingerprint.fingerprints(records.where(inside))
         prints = prints.withColumn("partition", scope.partition_of(F.col("kind"), F.col("period"), F.col("day"), F.col("market"))).withColumn("rule_version", F.lit(RULE_VERSION))
         days_columns = self.days.columns
-        prints.select(*days_columns).write.parquet(f"file://{stage}/prints")
-        prints = spark.read.schema(self.days.schema).parquet(f"file://{stage}/prints")
+        prints = prints.select(*days_columns, "preclose_raw")
+        prints.write.parquet(f"file://{stage}/prints")
+        prints = spark.read.schema(prints.schema).parquet(f"file://{stage}/prints")
         inventory = files.join(mine, "source", "left_semi").select("source", F.explode("inventory").alias("d")).select("source", "d.day")
         cached = self.days.join(mine, "source", "left_semi")
         fewer = prints.join(cached.select(*keys, F.col("rows").alias("was")), list(keys)).where("rows < was")
@@ -436,7 +436,7 @@ class Run:
         self.pending = spark.read.schema(self.days.schema).parquet(f"file://{stage}/pending")
         #: Bars of the pending days, from the staged records.
         self.bars = decode.to_bars(records.where(inside).join(self.pending.select(*keys), list(keys), "left_semi"))
-        self.manifest = now.select("source", "day", "raw_hash", "digest", "rows", "partition")
+        self.manifest = now.select("source", "day", "raw_hash", "digest", "rows", "partition", "preclose_raw")
 
     def _compare_evidence(self, names: list[str], records: DataFrame) -> None:
         if not self.evidence:

@@ -197,6 +197,15 @@ def receipt_first_cover(spark, d):
     return changes.first_covering(asked.distinct(), receipts)
 
 
+@query("""WITH r AS (SELECT o_custkey AS source, strftime(o_orderdate, '%Y%m%d') AS start, strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 200 AS INTEGER), '%Y%m%d') AS "end" FROM orders)
+SELECT source, min(row(start, "end"))[1] AS receipt_start, min(row(start, "end"))[2] AS receipt_end FROM r WHERE start <= '19960301' AND "end" >= '19960310' GROUP BY source""")
+def receipt_around(spark, d):
+    """One interval for all keys, as a run asks it."""
+    text = lambda c: F.date_format(c, "yyyyMMdd")
+    receipts = _t(spark, d, "orders").select(F.col("o_custkey").alias("source"), text("o_orderdate").alias("start"), text(F.date_add("o_orderdate", (F.col("o_orderkey") % 200).cast("int"))).alias("end"))
+    return changes.first_around(receipts, "19960301", "19960310")
+
+
 @query(f"""WITH {_OLDNEW}{_FP}, parts AS (SELECT *, 0 AS part FROM fo UNION ALL SELECT *, 1 FROM fn WHERE day >= '20240110' UNION ALL SELECT code, day, rows + 1, mark, 2 FROM fo WHERE day BETWEEN '20240120' AND '20240122')
 SELECT code, day, rows, mark FROM parts QUALIFY row_number() OVER (PARTITION BY code, day ORDER BY part DESC) = 1""")
 def newest_of_parts(spark, d):
@@ -351,6 +360,20 @@ def evidence_summary(spark, d):
     return m.agg(F.count_if("matched").alias("matched"), F.count("*").alias("expected"), F.when(F.bool_and("matched"), "matched").otherwise("mismatch").alias("status"))
 
 
+@query(f"""WITH {_OLDNEW} SELECT old.event_id AS item, coalesce(old.value = new.value AND old.user_id = new.user_id, false) AS matched
+FROM old LEFT JOIN new ON old.code = new.code AND old.event_id = new.event_id""")
+def evidence_fields(spark, d):
+    """Expected values of three types, a row a field, as the engine compares them with bars."""
+    texts, wholes, numbers = (F.lit(None).cast(k) for k in ("string", "long", "double"))
+    field = lambda name, text=texts, whole=wholes, number=numbers: F.struct(F.lit(name).alias("field"), text.alias("text"), whole.alias("whole"), number.alias("number"))
+    expected = F.explode(F.array(field("close", number=F.col("value")), field("volume", whole=F.col("user_id").cast("long")), field("code", text=F.col("code"))))
+    wanted = _old(spark, d).select(F.col("event_id").alias("item"), "code", F.lit("1d").alias("period"), F.col("event_id").alias("timestamp"), expected.alias("e")).select("item", "code", "period", "timestamp", "e.*")
+    columns = {"code": F.col("code"), "timestamp": F.col("event_id"), "volume": F.col("user_id").cast("long")}
+    other = {"string": F.lit(""), "long": F.lit(0), "double": F.col("value")}
+    bars = _new(spark, d).select(*[columns.get(name, other[kind.typeName()]).alias(name) for name, kind in BAR_FIELDS], F.lit("1d").alias("period"))
+    return evidence.match_evidence(wanted, bars)
+
+
 @query(f"WITH {_OLDNEW} SELECT code, day, rec FROM old WHERE EXISTS (SELECT 1 FROM new WHERE new.code = old.code AND new.day = old.day AND new.day >= '20240120')")
 def verify_semi(spark, d):
     return merge.same_keys(_old(spark, d), _new(spark, d).where("day >= '20240120'"), ("code", "day")).select("code", "day", "rec")

@@ -16,7 +16,7 @@ STORED_SCHEMA = T.StructType([*BAR_SCHEMA.fields, *(T.StructField(n, _S, False)
 
 DAYS_SCHEMA = "source string, code string, market string, period string, kind string, day string, raw_hash string, digest string, rows long, rule_version string, partition string"
 RECEIPTS_SCHEMA = "source string, start string, end string, signature string, sha256 string, rule_version string, validation_version string, warnings string"
-RECEIPT_DAYS_SCHEMA = "source string, start string, end string, day string, raw_hash string, digest string, rows long, partition string"
+RECEIPT_DAYS_SCHEMA = "source string, start string, end string, day string, raw_hash string, digest string, rows long, partition string, preclose_raw array<bigint>"
 
 #: Results are comparable only under the same tag of content digests.
 DIGEST_TAG = "qmt-business-v2"

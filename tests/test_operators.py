@@ -48,7 +48,9 @@ def test_record_becomes_the_documented_bar_and_hashes(spark, tmp_path):
     day = fingerprint.fingerprints(rows).first()
     assert day["raw_hash"] == "ae4933b3fa0aa77e43b3e297b2f14cfb9d466ce71f8223d67871c9ee836e618f"
     assert day["digest"] == "8984c7df797684640e050941bd88f771cf140a7edd715a96eed12dc1eb588e2f" == canonical([bar])
-    assert fingerprint.preclose_lists(rows, "source").first()["preclose_raw"] == [7000]
+    assert day["preclose_raw"] == [7000]
+    minute = fingerprint.fingerprints(rows.withColumn("period", F.lit("1m"))).first()
+    assert minute["preclose_raw"] is None and minute["digest"] == day["digest"]
 
 
 def test_digest_ignores_order_and_padding(spark, tmp_path):
@@ -66,7 +68,7 @@ def test_digest_ignores_order_and_padding(spark, tmp_path):
 def test_groups_over_many_batches_have_the_digest_of_the_whole(spark, tmp_path):
     """Groups of one row, of some and of more than a batch, in batches of seven rows."""
     rows = [row(60 * k, w4=7200 + k % 100) for k in range(300)]
-    bars = decode.to_bars(records(spark, write_dat(tmp_path / "600000.DAT", *rows)), "raw")
+    bars = decode.to_bars(records(spark, write_dat(tmp_path / "600000.DAT", *rows)), "raw").withColumn("audit", F.col("volume"))
     bars = bars.withColumn("part", F.when(F.col("timestamp") % 1_000_000 == 0, F.col("timestamp")).otherwise(F.floor(F.col("timestamp") / 4_000_000) % 5))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
@@ -80,6 +82,7 @@ def test_groups_over_many_batches_have_the_digest_of_the_whole(spark, tmp_path):
     for part, own in by.items():
         told = found[part]
         assert (told["digest"], told["rows"]) == (canonical([tuple(b[c] for c in BAR_COLUMNS) for b in own]), len(own))
+        assert told["audit"] == [b["volume"] for b in own]
         assert told["raw_hash"] == hashlib.sha256(b"".join(b["raw"] for b in own)).hexdigest()
 
 

@@ -293,6 +293,7 @@ def test_cached_days_must_be_those_of_the_receipt(spark, setup):
     request, source, _ = setup
     assert run(spark, scoped(request))["status"] == "complete"
     st = State(spark, request.output)
+    assert st.table("receipt_days").first()["preclose_raw"] == [7000]
     st.commit(days=st.days.withColumn("digest", F.lit("uncorroborated")))
     report = run(spark, scoped(request))
     assert (report["counts"]["scope_reused_files"], report["counts"]["content_revalidated_files"]) == (0, 1)
