@@ -25,29 +25,38 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows of an Arrow batch that a worker is sent; texts are whole, so the default of 10,000 rows takes much memory on both sides.
+BATCH_ROWS = 1000
+
+
 @contextmanager
-def _shuffles_removed(spark: SparkSession):
-    """What is planned inside drops its shuffle files when it has run."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def _settings(spark: SparkSession, settings: dict[str, str]):
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def _bounded_run(spark: SparkSession):
+    """What is planned inside drops its shuffle files when it has run, and sends texts in small batches."""
+    return _settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)})
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder; the shuffle files behind it go once it is written, as nothing is computed from them again."""
     shared_folder(df.sparkSession)
-    with _shuffles_removed(df.sparkSession):
+    with _bounded_run(df.sparkSession):
         return df.select("*").checkpoint()
 
 
 def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table into the shared folder; the table read back, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_removed(df.sparkSession):
+    with _bounded_run(df.sparkSession):
         df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
