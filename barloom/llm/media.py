@@ -5,9 +5,14 @@ cut where a rolling gear hash meets a mask, chunks are deduplicated by digest
 with Spark joins, and ordered chunk lists rebuild every distinct medium, which
 is verified by its digest before features are computed from the bytes read back.
 
+The texts are read twice: for ids and chunk lists, then for the chunks. A chunk that
+is in very many media, or a medium of very many rows, is broadcast, never one task's.
+
 Defined results: a null or empty text has an empty payload padded to one block;
 equal texts share one medium and so all values; repeated rows and repeated or
-null ids each keep their own output row; other input columns are ignored.
+null ids each keep their own output row; an empty table gives no rows; other input
+columns are ignored. A text is one medium however long: it is chunked and read back
+in one task, in memory of a few times its bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import read_table
+from barloom.llm import shingles
+from barloom.llm.common import HOT_KEYS, cut_lineage, join_by_weight, read_table
 
 BLOCK = 576
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 1024, 12, 16384
@@ -104,65 +110,71 @@ class _Seen:
         return True
 
 
-_IDS = pa.schema([("doc_id", pa.int64()), ("media_id", pa.binary()), ("n_bytes", pa.int64())])
-_PARTS = pa.schema([("media_id", pa.binary()), ("seq", pa.int32()), ("n_chunks", pa.int32()), ("digest", pa.binary())])
+_ROWS = pa.schema([("doc_id", pa.int64()), ("media_id", pa.binary()), ("n_bytes", pa.int64()), ("digests", pa.list_(pa.binary()))])
 _BLOBS = pa.schema([("digest", pa.binary()), ("blob", pa.binary())])
 #: Bytes of blobs in one Arrow batch of output.
 _FLUSH = 4 << 20
 
 
-def _media_ids(batches):
-    for batch in batches:
-        ids, sizes = [], []
-        for text in batch.column("text").to_pylist():
+def _chunks(media: bytes):
+    start = 0
+    for end in cut_points(media):
+        yield media[start:end]
+        start = end
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _media_rows(batches):
+    seen = _Seen(REMEMBERED)
+    for batch in shingles.small_batches(batches):
+        rows = []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             payload, n = payload_of(text)
-            ids.append(hashlib.sha256(to_media(payload)).digest())
-            sizes.append(n)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64())], schema=_IDS)
+            media = to_media(payload)
+            media_id = hashlib.sha256(media).digest()
+            rows.append((doc_id, media_id, n, [hashlib.sha256(c).digest() for c in _chunks(media)] if seen.add(media_id) else None))
+        if rows:
+            yield _batch(rows, _ROWS)
 
 
-def _chunks(batches, with_blobs: bool):
+def _blobs(batches, hot: frozenset[bytes], of_hot: bool):
     media_seen, chunk_seen = _Seen(REMEMBERED), _Seen(REMEMBERED)
-    schema = _BLOBS if with_blobs else _PARTS
-    for batch in batches:
+    for batch in shingles.small_batches(batches):
         rows, held = [], 0
         for text in batch.column("text").to_pylist():
             media = to_media(payload_of(text)[0])
-            media_id = hashlib.sha256(media).digest()
-            if not media_seen.add(media_id):
+            if not media_seen.add(hashlib.sha256(media).digest()):
                 continue
-            start, cuts = 0, cut_points(media)
-            for seq, end in enumerate(cuts):
-                chunk = media[start:end]
-                start = end
+            for chunk in _chunks(media):
                 digest = hashlib.sha256(chunk).digest()
-                if not with_blobs:
-                    rows.append((media_id, seq, len(cuts), digest))
-                elif chunk_seen.add(digest):
+                if (digest in hot) == of_hot and chunk_seen.add(digest):
                     rows.append((digest, bz2.compress(chunk)))
                     held += len(rows[-1][1])
             if held > _FLUSH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield _batch(rows, _BLOBS)
                 rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            yield _batch(rows, _BLOBS)
 
 
-def media_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, media_id (digest of the stored form), n_bytes."""
+def media_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, media_id (digest of the stored form), n_bytes, digests: the ordered chunk list where a task meets a medium first, else null."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return src.mapInArrow(_media_ids, "doc_id long, media_id binary, n_bytes long")
+    return src.mapInArrow(_media_rows, "doc_id long, media_id binary, n_bytes long, digests array<binary>")
 
 
-def chunk_lists(docs: DataFrame) -> DataFrame:
-    """media_id, seq, n_chunks, digest: the ordered chunk list of each distinct medium."""
-    rows = docs.select("text").mapInArrow(lambda it: _chunks(it, False), "media_id binary, seq int, n_chunks int, digest binary")
-    return rows.dropDuplicates(["media_id", "seq"])
+def chunk_lists(rows: DataFrame) -> DataFrame:
+    """media_id, copies (rows of the medium), n_chunks, seq, digest: the ordered chunk list of each distinct medium."""
+    media = rows.groupBy("media_id").agg(F.count("*").alias("copies"), F.first("digests", ignorenulls=True).alias("digests"))
+    return media.select("media_id", "copies", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("seq", "digest"))
 
 
-def chunk_store(docs: DataFrame) -> DataFrame:
-    """digest, blob: each distinct chunk once, compressed."""
-    rows = docs.select("text").mapInArrow(lambda it: _chunks(it, True), "digest binary, blob binary")
+def chunk_store(docs: DataFrame, hot: frozenset[bytes] = frozenset(), of_hot: bool = False) -> DataFrame:
+    """digest, blob: each distinct chunk once, compressed; either the hot ones or all others."""
+    rows = docs.select("text").mapInArrow(lambda it: _blobs(it, hot, of_hot), "digest binary, blob binary")
     return rows.groupBy("digest").agg(F.first("blob").alias("blob"))
 
 
@@ -180,42 +192,59 @@ def feature_of(payload: bytes) -> str:
 
 _READ = pa.schema([
     ("media_id", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.binary()), ("tail_crc32", pa.int64()),
-    ("media_bytes", pa.int64()), ("feature", pa.string()), ("n_chunks", pa.int32()),
+    ("media_bytes", pa.int64()), ("feature", pa.string()), ("n_chunks", pa.int32()), ("copies", pa.int64()),
 ])
 
 
 def _rebuild(batches):
     for batch in batches:
         out = []
-        for media_id, parts in zip(batch.column("media_id").to_pylist(), batch.column("parts").to_pylist()):
+        for media_id, copies, parts in zip(*(batch.column(c).to_pylist() for c in ("media_id", "copies", "parts"))):
             media = b"".join(bz2.decompress(p["blob"]) for p in sorted(parts, key=lambda p: p["seq"]))
             if hashlib.sha256(media).digest() != media_id:
                 raise ValueError(f"chunks do not rebuild medium {media_id.hex()}")
             payload = from_media(media)
             out.append((
                 media_id, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-32:]),
-                len(media), feature_of(payload), len(parts),
+                len(media), feature_of(payload), len(parts), copies,
             ))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _READ)], schema=_READ)
+            yield _batch(out, _READ)
+
+
+def rebuild(lists: DataFrame, docs: DataFrame) -> DataFrame:
+    """Join chunk lists to the store, rebuild and verify each medium, and describe what was read back.
+
+    Chunks with more than a HOT_KEYS-th of all places in lists are fewer than HOT_KEYS; they are broadcast (of
+    MAX_CHUNK bytes each at most, so 64 MiB in all) and their places stay where they are. The rest is joined by shuffle.
+    """
+    total = lists.count()
+    crowded = cut_lineage(lists.groupBy("digest").count().where(F.col("count") * HOT_KEYS > total).select("digest"))
+    hot = frozenset(bytes(r["digest"]) for r in crowded.collect())
+    spread = chunk_store(docs, hot)
+    common = F.broadcast(chunk_store(docs, hot, True)) if hot else None
 
+    def with_blobs(part: DataFrame) -> DataFrame:
+        if common is None:
+            return part.join(spread, "digest")
+        rest = part.join(F.broadcast(crowded), "digest", "left_anti").join(spread, "digest")
+        return part.join(common, "digest").unionByName(rest)
 
-def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
-    """Join chunk lists to the store, rebuild and verify each medium, and describe what was read back."""
     piece = F.struct("seq", "blob")
     # A medium of one chunk is whole as soon as the chunk is found; only longer lists are gathered.
-    whole = lists.where("n_chunks = 1").join(store, "digest").select("media_id", F.array(piece).alias("parts"))
-    longer = lists.where("n_chunks > 1").join(store, "digest").groupBy("media_id").agg(F.collect_list(piece).alias("parts"))
+    whole = with_blobs(lists.where("n_chunks = 1")).select("media_id", "copies", F.array(piece).alias("parts"))
+    longer = with_blobs(lists.where("n_chunks > 1")).groupBy("media_id", "copies").agg(F.collect_list(piece).alias("parts"))
     return whole.unionByName(longer).mapInArrow(
         _rebuild,
-        "media_id binary, payload_bytes long, payload_digest binary, tail_crc32 long, media_bytes long, feature string, n_chunks int",
+        "media_id binary, payload_bytes long, payload_digest binary, tail_crc32 long, media_bytes long, feature string, n_chunks int, copies long",
     )
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """One row per input row: the digests and features of its medium as read back from the chunks."""
-    described = rebuild(chunk_lists(docs), chunk_store(docs))
-    return media_ids(docs).join(described, "media_id").select(
+    rows = cut_lineage(media_rows(docs))
+    described = cut_lineage(rebuild(cut_lineage(chunk_lists(rows)), docs))
+    return join_by_weight(rows.drop("digests"), described, ["media_id"], "copies", rows.count()).select(
         "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_digest")).alias("payload_sha256"), "tail_crc32",
         "media_bytes", F.lower(F.hex("media_id")).alias("media_sha256"), "feature", "n_chunks",
     )

@@ -3,15 +3,20 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from barloom.llm import chat, media
-from tests.llm.helpers import nothing, odd_docs
+from barloom.llm import chat, common, media
+from tests.llm.helpers import LONG, nothing, odd_docs
 
 
-def test_media_columns_against_their_definition(spark):
-    docs = odd_docs(spark, "plain", "é" * 5000, "\xff")
+@pytest.mark.parametrize("hot_keys", [1, 4, 4096])
+def test_media_columns_against_their_definition(spark, monkeypatch, hot_keys):
+    # All chunks and media are spread, some are broadcast, all are.
+    monkeypatch.setattr(media, "HOT_KEYS", hot_keys)
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+    docs = odd_docs(spark, "plain", "é" * 5000, "\xff", *[LONG + str(k) for k in range(4)])
     rows = media.media_columns(docs).collect()
     assert len(rows) == docs.count()
     expected = Counter()
