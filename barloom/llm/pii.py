@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import shingles
-from barloom.llm.common import cut_lineage, read_table
+from barloom.llm.common import cut_lineage, join_by_weight, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: All kinds of protected entities: the base ones, and those that the method adds.
@@ -231,11 +231,13 @@ def risky_terms(docs: DataFrame, support: int = SUPPORT, confidence: float = CON
     rows = docs.select("text").mapInArrow(_count, "term long, subject string, context long, n long")
     counts = cut_lineage(rows.groupBy("term", "subject", "context").agg(F.sum("n").alias("n")))
     near = counts.where("context IS NOT NULL").groupBy("term", "subject").agg(F.sum("n").alias("near"), F.count("*").alias("contexts"))
-    near = near.where(F.col("contexts") >= support)
+    near = cut_lineage(near.where(F.col("contexts") >= support))
     about = counts.where("term IS NULL").select("subject", F.col("n").alias("about"))
+    # A kind is the subject of most terms, an entity may be that of very many: neither is one task's.
+    about = cut_lineage(about.join(near.groupBy("subject").agg(F.count("*").alias("_terms")), "subject"))
     total = counts.where("subject IS NULL").select("term", F.col("n").alias("occurrences"))
     words = float(counts.where("subject IS NULL").agg(F.sum("n")).first()[0] or 1)
-    joined = near.join(about, "subject").join(total, "term")
+    joined = join_by_weight(near, about, ["subject"], "_terms", near.count()).drop("_terms").join(total, "term")
     usual = F.col("about") / F.lit(words)
     joined = joined.withColumn("share", (F.least("near", "occurrences") + SMOOTHING * usual) / (F.col("occurrences") + SMOOTHING))
     judged = joined.withColumn("bits", F.log2(F.col("share") / usual))
