@@ -3,7 +3,9 @@
 Words are runs of ASCII digits, letters (A-Z lower-cased) and non-ASCII code
 points. The normalised windows of the benchmark, 13 words each or a whole
 shorter item, form a hash set that is broadcast while its measured size is below
-BROADCAST_WINDOWS, and joined by shuffle beyond that. Documents are cut into
+BROADCAST_WINDOWS. A larger set is first reduced, by a shuffle of hashes, to windows
+whose hash occurs in documents; only where these are too many as well are windows
+of documents shuffled with their words. Documents are cut into
 overlapping pieces of bounded length, so memory does not follow text length; the
 windows of each piece are matched by hash and verified by their words. Matches
 alone are shuffled; they are merged per document.
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import read_table
+from barloom.llm.common import cut_lineage, read_table
 
 WINDOW = 13
 #: Windows are broadcast up to this many (about 100 bytes each).
@@ -89,12 +91,18 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, broadcast_limit: int = BROA
     windows = benchmark_windows(benchmark)
     sizes = {r["k"]: r["n"] for r in windows.groupBy("k").agg(F.count("*").alias("n")).collect()}
     wanted = windows.select(F.xxhash64("gram").alias("want_h"), F.col("gram").alias("want"), "item_id")
-    wanted = F.broadcast(wanted) if sum(sizes.values()) <= broadcast_limit else wanted
     pieces = _pieces(_keyed(docs))
     grams = [F.struct(F.lit(k).alias("k"), _grams(F.col("piece"), k).alias("grams")) for k in sorted(sizes) or [WINDOW]]
     by_k = pieces.select("_doc", "_text", "base", F.explode(F.array(*grams)).alias("g")) if len(grams) > 1 else pieces.select("_doc", "_text", "base", grams[0].alias("g"))
     found = by_k.select("_doc", "_text", "base", F.col("g.k").alias("k"), F.posexplode("g.grams").alias("at", "gram"))
-    found = found.withColumn("h", F.xxhash64("gram")).join(wanted, (F.col("h") == F.col("want_h")) & (F.col("gram") == F.col("want")))
+    found = found.withColumn("h", F.xxhash64("gram"))
+    few = sum(sizes.values()) <= broadcast_limit
+    if not few:
+        # Hashes alone are shuffled, each once a task; what no document holds need not be looked for again.
+        wanted = cut_lineage(wanted.join(found.select(F.col("h").alias("want_h")).distinct(), "want_h", "left_semi"))
+        few = wanted.count() <= broadcast_limit
+    wanted = F.broadcast(wanted) if few else wanted
+    found = found.join(wanted, (F.col("h") == F.col("want_h")) & (F.col("gram") == F.col("want")))
     span = F.struct((F.col("base") + F.col("at")).alias("start"), F.col("k").alias("n"))
     # Repeated rows and overlapping pieces find a window twice; sets make that one.
     return found.groupBy("_doc", "_text").agg(

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from barloom.llm import decontaminate, licenses, pii, urlfilter
 from tests.llm.helpers import nothing, odd_docs
 
@@ -36,15 +38,20 @@ def test_contamination_against_brute_force(spark):
     docs = odd_docs(spark, passage, "x " + passage.replace(" ", " -- ").upper() + " y", passage[6:], f"{far} {passage} {far}", "a short item, here and short item here", "É é É", "nu xi")
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     expected = sorted(((r["doc_id"], *brute_contamination(r["text"], ITEMS)) for r in docs.collect()), key=str)
-    for limit in (400_000, 0):
-        judged = decontaminate.judge(docs.select("doc_id", "text"), benchmark, limit).where("n_hit > 0").count()
-        assert judged == sum(e[2] > 0 for e in expected)
+    # All windows are few, those that documents hold are, none are.
+    absent = spark.createDataFrame([(99, " ".join(f"never{k}" for k in range(60)))], benchmark.schema)
+    for limit in (400_000, 20, 0):
+        judged = decontaminate.judge(docs.select("doc_id", "text"), benchmark.unionByName(absent), limit).where("n_hit > 0").select("n_words", "n_hit", F.size("items"))
+        assert sorted(map(tuple, judged.collect())) == sorted(e[1:4] for e in expected if e[2])
     found = sorted((tuple(r) for r in decontaminate.contamination_digests(docs, benchmark).collect()), key=str)
     assert found == expected
     kept = decontaminate.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns and kept.count() == sum(not e[-1] for e in expected)
     cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs.where("doc_id IN (1, 3)"), benchmark, "spans").collect()}
     assert cut[1].split() == ["x", "y"] and cut[3].split() == (far + " " + far).split()
+    whole = decontaminate.decontaminate(docs, benchmark.limit(0), "spans")
+    assert whole.exceptAll(docs).isEmpty() and docs.exceptAll(whole).isEmpty()
+    assert decontaminate.decontaminate(docs, benchmark, "spans").where("text IS NULL").count() == docs.where("text IS NULL").count()
     assert not decontaminate.contamination_digests(docs, benchmark.limit(0)).where("n_hit > 0").count()
     assert decontaminate.contamination_digests(nothing(spark), benchmark).collect() == []
 
