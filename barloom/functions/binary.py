@@ -9,10 +9,14 @@ def _swap(hexes: Column, size: int) -> Column:
 
 
 def le_word(block: Column, index: int, size: int = 4) -> Column:
-    """The index-th little-endian unsigned word of a binary column, as long."""
-    return F.conv(_swap(F.hex(F.substring(block, index * size + 1, size)), size), 16, 10).cast("long")
+    """The index-th little-endian word of a binary column, as long; words of 8 bytes are signed, shorter ones are not."""
+    return F.conv(_swap(F.hex(F.substring(block, index * size + 1, size)), size), 16, -10).cast("long")
 
 
-def le_hex_int(value: Column) -> Column:
-    """Hex of a non-negative 32-bit integer, little-endian."""
-    return _swap(F.lpad(F.hex(value.cast("long")), 8, "0"), 4)
+def le_hex_int(value: Column, size: int = 4) -> Column:
+    """Hex of an integer, little-endian: of any long in 8 bytes, else of a non-negative one; what does not fit is an error."""
+    value = value.cast("long")
+    packed = _swap(F.lpad(F.hex(value), 2 * size, "0"), size)
+    if size == 8:
+        return packed
+    return F.when((value < 0) | (value >= 1 << 8 * size), F.raise_error(F.concat(F.lit(f"no unsigned integer of {size} bytes: "), value.cast("string")))).otherwise(packed)

@@ -461,7 +461,7 @@ def set_equality(spark, d):
 @query("SELECT l_orderkey, l_linenumber, l_orderkey * 1000 + l_linenumber AS word FROM lineitem")
 def le_word_decode(spark, d):
     number = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", le_word(F.unhex(le_hex_int(number)), 0).alias("word"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", le_word(F.unhex(le_hex_int(number, 8)), 0, 8).alias("word"))
 
 
 @query("SELECT o_orderkey, CASE WHEN hi > 2097152 OR (hi = 2097152 AND lo > 0) THEN NULL ELSE CAST(lo + hi * 4294967296 AS DOUBLE) END AS amount, hi > 2097152 OR (hi = 2097152 AND lo > 0) AS inexact FROM (SELECT o_orderkey, o_custkey AS lo, o_orderkey * 200 AS hi FROM orders)")
