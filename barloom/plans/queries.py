@@ -292,7 +292,7 @@ p AS (SELECT path, rec, s, o, o + (event_id % 97 - 1) * 1000 AS h, greatest(0, o
 
 def _file_records(spark, d) -> DataFrame:
     e = _t(spark, d, "events").select(
-        F.concat_ws("/", "event_type", (F.col("user_id") % 60).cast("string")).alias("path"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("w0"),
+        F.concat_ws("/", "event_type", (F.col("user_id") % 60).cast("string")).alias("path"), F.expr("unix_micros(CAST(ts AS TIMESTAMP)) DIV 1000000").alias("w0"),
         F.round(F.col("value") * 1000).cast("long").alias("w1"), "ts", "event_id",
     )
     placed = e.withColumn("rec", F.row_number().over(W.partitionBy("path").orderBy("ts", "event_id")).cast("long") - 1)
