@@ -34,8 +34,11 @@ from barloom.llm.common import read_table
 MARK = "▁"
 #: Stands for a mark that is in the text itself; it cannot occur in valid text.
 _OWN_MARK = "\ud800"
+_NO_MERGE = float("-inf")
 #: Segments up to this many characters are cached, up to so many segments and pairs a worker.
 CACHED_CHARS, CACHED_SEGMENTS, CACHED_PAIRS = 48, 400_000, 1_000_000
+#: The recurrence to a boundary needs the characters before it only: it is kept for beginnings of these lengths, longest first, so many a worker.
+BEGINNINGS, CACHED_BEGINNINGS = (8, 5), 100_000
 
 
 def default_model() -> str:
@@ -149,8 +152,12 @@ class Tables:
         self.score = {p: s for p, s in pieces if p}
         self.piece = [p for p, _ in pieces]
         self.pairs: dict[int, bool] = {}
+        self.merges: dict[int, list[tuple[float, str, str]]] = {}
         self.segments: dict[str, bytes] = {}
+        self.beginnings: dict[str, tuple[tuple, tuple]] = {}
         alphabet = set("".join(self.score))
+        #: Neighbours within some piece; no merge joins any other two characters.
+        self.neighbours = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         # Pieces that merging never makes cannot be part of a path.
         self.ids = {p: i for i, (p, _) in enumerate(pieces) if p and self.merge(p) == [p]}
         self.longest = max(map(len, self.ids), default=1)
@@ -185,34 +192,42 @@ class Tables:
         if known is None:
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self._apart(list(self.piece[left]), list(self.piece[right]))
+            known = self.pairs[key] = self._apart(left, right)
         return known
 
-    def _apart(self, a: list[str], b: list[str]) -> bool:
-        score = self.score.get
-        parts, border = a + b, len(a)
-        joint = [score(x + y) for x, y in zip(parts, parts[1:])]
+    def _merges(self, piece: int) -> list[tuple[float, str, str]]:
+        """From the piece's characters on: the score of the merge that comes next (least at the end), the first and the last part before it."""
+        known = self.merges.get(piece)
+        if known is None:
+            parts, known = list(self.piece[piece]), []
+            while len(parts) > 1:
+                best, at = max((self.score.get(x + y, _NO_MERGE), -k) for k, (x, y) in enumerate(zip(parts, parts[1:])))
+                known.append((best, parts[0], parts[-1]))
+                parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+            known.append((_NO_MERGE, parts[0], parts[-1]))
+            self.merges[piece] = known
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
+        """The merges of both in their order, best score and then leftmost first, until the parts at the border merge or nothing does."""
+        score, a, b = self.score.get, iter(self._merges(left)), iter(self._merges(right))
+        (on_left, _, x), (on_right, y, _) = next(a), next(b)
         while True:
-            best, at = None, -1
-            for k, s in enumerate(joint):
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                return True
-            if at == border - 1:
+            joint = score(x + y)
+            if joint is not None and joint > on_left and joint >= on_right:
                 return False
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del joint[at]
-            if at:
-                joint[at - 1] = score(parts[at - 1] + parts[at])
-            if at < len(joint):
-                joint[at] = score(parts[at] + parts[at + 1])
-            border -= at < border
+            if on_left >= on_right:
+                if on_left == _NO_MERGE:
+                    return True
+                on_left, _, x = next(a)
+            else:
+                on_right, y, _ = next(b)
 
     def forget(self) -> None:
         """Drop the caches, so that what a worker holds between tasks is the model alone."""
         self.pairs.clear()
         self.segments.clear()
+        self.beginnings.clear()
 
     def spell(self, char: str) -> list[int]:
         raw = MARK.encode("utf-8") if char == _OWN_MARK else char.encode("utf-8")
@@ -221,8 +236,14 @@ class Tables:
     def _within_window(self, segment: str) -> bytes | None:
         """The same recurrence for a segment no longer than the window, whose paths all meet at its end; None if a character needs spelling."""
         ids, pairs, reach = self.ids.get, self.pairs.get, self.reach.get
-        last, back = [-1], [0]
-        for j in range(1, len(segment) + 1):
+        last, back, size = [-1], [0], len(segment)
+        for n in BEGINNINGS:
+            if n < size:
+                known = self.beginnings.get(segment[:n])
+                if known is not None:
+                    last, back = list(known[0]), list(known[1])
+                    break
+        for j in range(len(last), size + 1):
             for i in range(max(0, j - reach(segment[j - 3 : j], 2)) if j > 2 else 0, j):
                 piece = ids(segment[i:j])
                 if piece is not None:
@@ -237,24 +258,45 @@ class Tables:
                     break
             else:
                 return None
-        out, j = [], len(segment)
+            if j in BEGINNINGS and j < size:
+                if len(self.beginnings) >= CACHED_BEGINNINGS:
+                    self.beginnings.clear()
+                self.beginnings[segment[:j]] = tuple(last), tuple(back)
+        out, j = [], size
         while j:
             out.append(last[j])
             j = back[j]
         return array("i", out[::-1]).tobytes()
 
+    def _parts(self, segment: str) -> list[str]:
+        """The segment cut between characters that are neighbours in no piece."""
+        near = self.neighbours
+        cuts = [0, *(k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in near), len(segment)]
+        return [segment[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def encode_segment(self, segment: str) -> bytes:
         """Ids, 4 bytes each, of a segment between two boundaries that no piece crosses."""
+        if len(segment) > CACHED_CHARS:
+            return self._encode_part(segment)
+        # Letters alone are seldom cut, so they are not looked at.
+        parts, known = [segment] if segment[1:].isalpha() else self._parts(segment), self.segments
+        if len(parts) == 1:
+            return self._kept(segment, self._encode_part(segment))
+        return self._kept(segment, b"".join([known.get(p) or self._kept(p, self._encode_part(p)) for p in parts]))
+
+    def _kept(self, segment: str, ids: bytes) -> bytes:
+        if len(self.segments) >= CACHED_SEGMENTS:
+            self.segments.clear()
+        self.segments[segment] = ids
+        return ids
+
+    def _encode_part(self, segment: str) -> bytes:
         ids = self._within_window(segment) if len(segment) <= self.longest else None
         if ids is None:
             encoder = StreamingEncoder(self)
             for start in range(0, len(segment), 4096):
                 encoder.feed(segment[start : start + 4096])
             ids = encoder.finish().tobytes()
-        if len(segment) <= CACHED_CHARS:
-            if len(self.segments) >= CACHED_SEGMENTS:
-                self.segments.clear()
-            self.segments[segment] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
